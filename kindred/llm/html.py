@@ -146,7 +146,7 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return found
 
 
-def main_text(page: str, penalty: dict[str, float], default: float = 1.0) -> str:
+def main_text(page: str, penalty: dict[str, float], default: float = 0.25) -> str:
     found = tokens(page)
     scores = [(0.0 if boiler else float(len(text.split()))) if text is not None else -penalty.get(tag, default) for text, tag, boiler, _, _ in found]
     a, b = best_run(scores)

@@ -40,7 +40,7 @@ KINDS = ("assign", "access", "hex", "lexed")
 NAME_WEIGHTS = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "key": 0.6, "credential": 0.9, "credentials": 0.9, "auth": 0.7, "private": 0.8, "bearer": 0.9}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|example|placeholder|none|null|true|false|todo|test|your[-_].*|<.*>|\$\{.*\}|\$\w+|%\(.*\)s|\{\{.*\}\})$")
 PAIR = re.compile(
-    r"""(?P<quote>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{1,63})(?P=quote)[ \t]*(?::=|=>|=(?!=)|:(?!//))[ \t]*(?P<value>(?:"[^"\n]*"|'[^'\n]*')(?:[ \t]*\+[ \t]*(?:"[^"\n]*"|'[^'\n]*'))*|[^\s"',;(){}\[\]]+)"""
+    r"""(?P<quote>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,63})(?P=quote)[ \t]*(?::=|=>|=(?!=)|:(?!//))[ \t]*(?P<value>(?:"[^"\n]*"|'[^'\n]*')(?:[ \t]*\+[ \t]*(?:"[^"\n]*"|'[^'\n]*'))*|[^\s"',;(){}\[\]]+)"""
 )
 STRING = re.compile(r"\"([^\"\n]*)\"|'([^'\n]*)'")
 
