@@ -6,7 +6,7 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,3 +37,17 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
 
 def parts(total: float, each: float, least: int = 1) -> int:
     return max(least, math.ceil(total / each))
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """df with nth, 1 for the first row by ``order`` and on without gaps: a range sort, then
+    the number of rows in the partitions before, so that no task sees all rows."""
+    placed = saved(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    counts = placed.groupBy("_part").count().orderBy("_part").collect()  # a row for each partition
+    starts, total = [], 0
+    for part, n in counts:
+        starts.append((part, total))
+        total += n
+    table = df.sparkSession.createDataFrame(starts, "_part int, _start long")
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return placed.withColumn("_in", inside).join(F.broadcast(table), "_part").withColumn("nth", F.col("_start") + F.col("_in")).drop("_part", "_in", "_start")
