@@ -97,7 +97,8 @@ def det_contact_linkedin(rows: DataFrame, star: bool = False) -> DataFrame:
 def det_contact_name_domain(rows: DataFrame) -> DataFrame:
     keys = keyed(rows, F.when(F.col("block_key").isNotNull() & F.col("company_domain").isNotNull(), F.concat("block_key", F.lit(" @ "), "company_domain")), "name", "email")
     pairs = pairs_of(keys, "name", "email")
-    conflict = t.email_domain(F.col("email1")) != t.email_domain(F.col("email2"))  # null unless both are there
+    both = F.col("email1").isNotNull() & F.col("email2").isNotNull()
+    conflict = F.when(both, t.email_domain(F.col("email1")) != t.email_domain(F.col("email2")))
     pairs = similar_names(pairs.where(~F.coalesce(conflict, F.lit(False))), 0.85)
     return rule(pairs, 3, "deterministic_medium", 0.88, ["first_name", "last_name", "company_domain"], F.concat(F.lit("Same name + company domain: "), "key"))
 

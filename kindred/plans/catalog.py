@@ -29,35 +29,35 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def scalar(name: str, fixture: str, value: Column, sql: str) -> None:
-    query(name, f"with {o.FX} select record_id, {sql} as result from {fixture}")(lambda spark, d: load(spark, d, fixture).select("record_id", value.alias("result")))
+def scalar(name: str, fixture: str, value: Callable[[], Column], sql: str) -> None:
+    query(name, f"with {o.FX} select record_id, {sql} as result from {fixture}")(lambda spark, d: load(spark, d, fixture).select("record_id", value().alias("result")))
 
 
 c = F.col
-scalar("norm_domain", "fx_companies", t.norm_domain(c("domain")), o.norm_domain("domain"))
-scalar("url_netloc", "fx_companies", t.url_netloc(c("website")), o.netloc("website"))
-scalar("root_domain", "fx_companies", t.root_domain(t.norm_domain(c("domain"))), o.root_domain(o.norm_domain("domain")))
-scalar("norm_phone", "fx_companies", t.norm_phone(c("phone")), o.norm_phone("phone"))
-scalar("norm_state", "fx_companies", t.norm_state(c("state")), o.norm_state("state"))
-scalar("norm_city_country", "fx_companies", F.concat_ws("/", t.norm_place(c("city")), t.norm_place(c("country"))), f"concat_ws('/', {o.place('city')}, {o.place('country')})")
-scalar("norm_company_name", "fx_companies", t.norm_company_name(c("name")), o.norm_company_name("name"))
-scalar("norm_linkedin_company", "fx_companies", t.norm_linkedin_company(c("linkedin_url")), o.linkedin_company("linkedin_url"))
-scalar("block_key_company", "fx_companies", t.block_key_company(t.norm_company_name(c("name"))), o.block_company(o.norm_company_name("name")))
-scalar("split_additional_domains", "fx_companies", F.array_join(t.split_additional_domains(c("additional_domains")), "|"), f"array_to_string({o.additional('additional_domains')}, '|')")
-scalar("generate_id", "fx_companies", t.generate_id(c("name"), c("domain")), "md5(concat_ws('|', name, domain))[1:12]")
-scalar("null_placeholder", "fx_companies", t.null_placeholder(c("domain")), "coalesce(nullif(domain, ''), '—')")
-scalar("csv_escape", "fx_companies", t.csv_escape(F.concat(c("name"), F.lit(', "x"'))), """'"' || replace(name || ', "x"', '"', '""') || '"'""")
-scalar("norm_email", "fx_contacts", t.norm_email(F.concat(F.lit(" "), F.upper("email"))), o.missing(o.strip("lower(' ' || upper(email))")))
-scalar("norm_person_name", "fx_contacts", t.norm_person_name(F.concat(F.lit("o'"), F.upper("last_name"), F.lit("-x y"))), o.person_name("'o''' || upper(last_name) || '-x y'"))
-scalar("norm_linkedin_person", "fx_contacts", t.norm_linkedin_person(c("linkedin_url")), o.linkedin_person("linkedin_url"))
-scalar("email_domain", "fx_contacts", t.email_domain(c("email")), o.email_domain("email"))
-scalar("full_name", "fx_contacts", t.full_name(c("first_name"), c("last_name")), "trim(coalesce(first_name, '') || ' ' || coalesce(last_name, ''))")
-scalar("company_domain_derive", "fx_contacts", t.company_domain_derive(F.when(F.length("email") % 2 == 0, F.concat(F.lit("http://www."), "company_name", F.lit("/x"))), c("email")), o.derived_domain("(case when length(email) % 2 = 0 then 'http://www.' || company_name || '/x' end)", "email"))
-scalar("block_key_contact", "fx_contacts", t.block_key_contact(c("first_name"), c("last_name")), "lower(last_name) || '_' || lower(first_name)[1]")
-scalar("int_parse", "fx_companies", records.int_parse(F.concat(c("employee_count").cast("string"), F.when(c("employee_count") % 2 == 0, ".7").when(c("employee_count") % 5 == 0, "x").otherwise(""))), "case when employee_count % 2 = 0 or employee_count % 5 <> 0 then employee_count end")
-scalar("coalesce_mapping", "fx_companies", records.coalesce_mapping([c("website"), c("domain")]), "coalesce(domain, website)")
-scalar("raw_data_map", "fx_companies", F.to_json(records.raw_data_map(["lead_status", "owner_id"])), """'{' || concat_ws(',', '"lead_status":"' || lead_status || '"', '"owner_id":"' || owner_id || '"') || '}'""")
-scalar("recency", "fx_companies", F.round(q.recency(c("last_activity_date"), AS_OF), 6), f"round({o.recency('last_activity_date')}, 6)")
+scalar("norm_domain", "fx_companies", lambda: t.norm_domain(c("domain")), o.norm_domain("domain"))
+scalar("url_netloc", "fx_companies", lambda: t.url_netloc(c("website")), o.netloc("website"))
+scalar("root_domain", "fx_companies", lambda: t.root_domain(t.norm_domain(c("domain"))), o.root_domain(o.norm_domain("domain")))
+scalar("norm_phone", "fx_companies", lambda: t.norm_phone(c("phone")), o.norm_phone("phone"))
+scalar("norm_state", "fx_companies", lambda: t.norm_state(c("state")), o.norm_state("state"))
+scalar("norm_city_country", "fx_companies", lambda: F.concat_ws("/", t.norm_place(c("city")), t.norm_place(c("country"))), f"concat_ws('/', {o.place('city')}, {o.place('country')})")
+scalar("norm_company_name", "fx_companies", lambda: t.norm_company_name(c("name")), o.norm_company_name("name"))
+scalar("norm_linkedin_company", "fx_companies", lambda: t.norm_linkedin_company(c("linkedin_url")), o.linkedin_company("linkedin_url"))
+scalar("block_key_company", "fx_companies", lambda: t.block_key_company(t.norm_company_name(c("name"))), o.block_company(o.norm_company_name("name")))
+scalar("split_additional_domains", "fx_companies", lambda: F.array_join(t.split_additional_domains(c("additional_domains")), "|"), f"array_to_string({o.additional('additional_domains')}, '|')")
+scalar("generate_id", "fx_companies", lambda: t.generate_id(c("name"), c("domain")), "md5(concat_ws('|', name, domain))[1:12]")
+scalar("null_placeholder", "fx_companies", lambda: t.null_placeholder(c("domain")), "coalesce(nullif(domain, ''), '—')")
+scalar("csv_escape", "fx_companies", lambda: t.csv_escape(F.concat(c("name"), F.lit(', "x"'))), """'"' || replace(name || ', "x"', '"', '""') || '"'""")
+scalar("norm_email", "fx_contacts", lambda: t.norm_email(F.concat(F.lit(" "), F.upper("email"))), o.missing(o.strip("lower(' ' || upper(email))")))
+scalar("norm_person_name", "fx_contacts", lambda: t.norm_person_name(F.concat(F.lit("o'"), F.upper("last_name"), F.lit("-x y"))), o.person_name("'o''' || upper(last_name) || '-x y'"))
+scalar("norm_linkedin_person", "fx_contacts", lambda: t.norm_linkedin_person(c("linkedin_url")), o.linkedin_person("linkedin_url"))
+scalar("email_domain", "fx_contacts", lambda: t.email_domain(c("email")), o.email_domain("email"))
+scalar("full_name", "fx_contacts", lambda: t.full_name(c("first_name"), c("last_name")), "trim(coalesce(first_name, '') || ' ' || coalesce(last_name, ''))")
+scalar("company_domain_derive", "fx_contacts", lambda: t.company_domain_derive(F.when(F.length("email") % 2 == 0, F.concat(F.lit("http://www."), "company_name", F.lit("/x"))), c("email")), o.derived_domain("(case when length(email) % 2 = 0 then 'http://www.' || company_name || '/x' end)", "email"))
+scalar("block_key_contact", "fx_contacts", lambda: t.block_key_contact(c("first_name"), c("last_name")), "lower(last_name) || '_' || lower(first_name)[1]")
+scalar("int_parse", "fx_companies", lambda: records.int_parse(F.concat(c("employee_count").cast("string"), F.when(c("employee_count") % 2 == 0, ".7").when(c("employee_count") % 5 == 0, "x").otherwise(""))), "case when employee_count % 2 = 0 or employee_count % 5 <> 0 then employee_count end")
+scalar("coalesce_mapping", "fx_companies", lambda: records.coalesce_mapping([c("website"), c("domain")]), "coalesce(domain, website)")
+scalar("raw_data_map", "fx_companies", lambda: F.to_json(records.raw_data_map(["lead_status", "owner_id"])), """'{' || concat_ws(',', '"lead_status":"' || lead_status || '"', '"owner_id":"' || owner_id || '"') || '}'""")
+scalar("recency", "fx_companies", lambda: F.round(q.recency(c("last_activity_date"), AS_OF), 6), f"round({o.recency('last_activity_date')}, 6)")
 
 
 def companies(spark: SparkSession, d: str) -> DataFrame:
