@@ -15,9 +15,11 @@ How Spark runs it. Documents with equal sets become one representative. Then, in
 each bucket, all members are compared with its smallest one, never with each
 other, and confirmed links are joined to components. Only members of a bucket
 that still lie in different components are compared with one another, in blocks
-of ``block`` members; blocks go to different tasks and emit only pairs whose
-estimate passes. Sets are recomputed from the text for the documents in candidate
-pairs alone.
+of ``block`` members; blocks go to different tasks. They emit a pair in the first
+of the buckets that it shares, and only if its estimate passes and so does a bound
+that loses no link: each document has a bitmap of its hashed set, and bits in which
+two bitmaps differ are no more than the elements in which the sets do. Sets are
+recomputed from the text for the documents in candidate pairs alone.
 
 Defined cases: texts without words, or null, have an empty set and are linked
 with nothing; a text shorter than a shingle has its whole word sequence as its
@@ -126,6 +128,62 @@ def floor_of(threshold: float, k: int, bits: int) -> float:
     return threshold - 6 * (c * (1 - c) / k) ** 0.5 / (1 - chance)
 
 
+def bitmap(items: np.ndarray) -> bytes:
+    """A bit for each hash modulo a power of two, 8 to 16 bits for each element."""
+    size = 1 << max(6, (8 * len(items) - 1).bit_length())
+    flags = np.zeros(size, bool)
+    flags[(items & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def folded(maps: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (rows of bytes) of half or less the size."""
+    return maps if maps.shape[1] == width else np.bitwise_or.reduce(maps.reshape(len(maps), -1, width), axis=1)
+
+
+class Members:
+    """Members of a bucket, or of two of its blocks, and which pairs of them may be links."""
+
+    def __init__(self, group: pd.DataFrame, k: int, bits: int, least: float, threshold: tuple[int, int]) -> None:
+        self.ids, self.component, self.n = group["id"].to_numpy(), group["component"].to_numpy(), group["n_shingles"].to_numpy()
+        self.sigs = np.frombuffer(b"".join(group["sig"]), np.uint64).reshape(len(group), -1)
+        self.keys = np.stack(group["buckets"].to_numpy())
+        self.bucket, self.own = group["bucket"].iloc[0], group["own"].to_numpy()
+        width = np.array([len(x) for x in group["bits"]])
+        self.width, self.row, self.maps = width, np.zeros(len(group), np.int64), {}
+        for w in np.unique(width).tolist():
+            some = np.flatnonzero(width == w)
+            self.row[some] = np.arange(len(some))
+            self.maps[w] = np.frombuffer(b"".join(group["bits"].iloc[some]), np.uint8).reshape(len(some), w)
+        self.k, self.bits, self.least, self.threshold = k, bits, least, threshold
+
+    def near(self, x: int, y: np.ndarray) -> np.ndarray:
+        """Those of the members y that may be linked with x and first meet it in this bucket."""
+        t0, t1 = self.threshold
+        n = self.n
+        y = y[(self.component[y] != self.component[x]) & (t1 * np.minimum(n[x], n[y]) >= t0 * np.maximum(n[x], n[y]))]
+        y = y[similarity(self.sigs[x], self.sigs[y], self.k, self.bits) >= self.least]
+        if len(y):
+            shared = self.keys[y] == self.keys[x]
+            y = y[self.keys[x][shared.argmax(1)] == self.bucket]
+        out = []
+        for w in np.unique(self.width[y]).tolist():
+            some = y[self.width[y] == w]
+            least = min(w, self.width[x])
+            a, b = folded(self.maps[self.width[x]][self.row[x]][None], least), folded(self.maps[w][self.row[some]], least)
+            differ = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+            out.append(some[differ * (t1 + t0) <= (n[x] + n[some]) * (t1 - t0)])
+        return np.concatenate(out) if out else y
+
+    def pairs(self, i: int, j: int) -> pd.DataFrame:
+        left, right = np.flatnonzero(self.own == i), np.flatnonzero(self.own == j)
+        out = []
+        for x in left.tolist():
+            y = self.near(x, right if i != j else right[self.ids[right] > self.ids[x]])
+            out.append(np.c_[np.minimum(self.ids[x], self.ids[y]), np.maximum(self.ids[x], self.ids[y])])
+        return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 2), self.ids.dtype), columns=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), bands: int = 40, rows: int = 4, bits: int = 4, block: int = 1024) -> DataFrame:
     """Links documents whose sets have threshold[1] * intersection >= threshold[0] * union.
 
@@ -150,9 +208,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
             "set_b": [int(words.mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets],
             "buckets": [keys[row[i]] if i in row else None for i in range(len(sets))],
             "sig": [sigs[row[i]].tobytes() if i in row else None for i in range(len(sets))],
+            "bits": [bitmap(s) if len(s) else None for s in sets],
         }
 
-    signed = storage.saved(map_texts(docs, sign, "n_shingles long, set_a long, set_b long, buckets array<long>, sig binary", as_bytes=True), "signed")
+    signed = storage.saved(map_texts(docs, sign, "n_shingles long, set_a long, set_b long, buckets array<long>, sig binary, bits binary", as_bytes=True), "signed")
     linkable = signed.where("doc_id is not null and n_shingles > 0")
     same = ["n_shingles", "set_a", "set_b"]
     firsts = linkable.groupBy(*same).agg(F.min("doc_id").alias("first"))
@@ -200,8 +259,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     n = F.ceil(F.col("members") / block).cast("int")
     own = F.pmod(F.xxhash64("id"), n).cast("int")
     open_members = placed.join(mixed, "bucket", "left_semi").select("bucket", "id", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
-    open_members = open_members.join(signed.select(F.col("doc_id").alias("id"), "sig").where("sig is not null").dropDuplicates(["id"]), "id")
-    open_members = open_members.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sig")
+    shown = signed.select(F.col("doc_id").alias("id"), "n_shingles", "buckets", "sig", "bits").where("sig is not null").dropDuplicates(["id"])
+    open_members = open_members.join(shown, "id").select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n_shingles", "buckets", "sig", "bits")
 
     def cross(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -212,21 +271,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
             change = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1 if len(key) else np.empty(0, np.int64)
             held = frame.iloc[change[-1] :] if len(change) else frame
             bounds = [0, *change.tolist()]
-            yield from (pairs_of(frame.iloc[a:b]) for a, b in zip(bounds, bounds[1:], strict=False))
+            yield from (found(frame.iloc[a:b]) for a, b in zip(bounds, bounds[1:], strict=False))
         if held is not None and len(held):
-            yield pairs_of(held)
+            yield found(held)
 
-    def pairs_of(group: pd.DataFrame) -> pd.DataFrame:
-        ids, comps, own = group["id"].to_numpy(), group["component"].to_numpy(), group["own"].to_numpy()
-        sigs = np.frombuffer(b"".join(group["sig"]), np.uint64).reshape(len(group), -1)
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        out = []
-        for x in left.tolist():
-            y = right[(comps[right] != comps[x]) & ((i != j) | (ids[right] > ids[x]))]
-            y = y[similarity(sigs[x], sigs[y], k, bits) >= least]
-            out.append(np.c_[np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])])
-        return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 2), ids.dtype), columns=["a", "b"])
+    def found(group: pd.DataFrame) -> pd.DataFrame:
+        return Members(group, k, bits, least, threshold).pairs(group["i"].iloc[0], group["j"].iloc[0])
 
     sorted_members = open_members.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     rest = sorted_members.mapInPandas(cross, f"a {kind}, b {kind}").distinct().join(star, ["a", "b"], "left_anti")
@@ -243,9 +293,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     # a document's component: that of its set's representative; a doc_id that has several sets joins them
     of_set = linkable.select("doc_id", *same).join(firsts, same).join(labels.select(F.col("node").alias("first"), "component"), "first", "left")
     of_doc = of_set.groupBy("doc_id").agg(F.min(F.coalesce("component", "first")).alias("component"))
-    found = signed.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return signed.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:

@@ -92,6 +92,17 @@ def test_estimates_follow_similarity():
             assert abs(float(minhash.similarity(sig[k], sig[k + 1], 512, bits)) - true) < 0.16
 
 
+def test_bitmaps_bound_differences():
+    r = np.random.default_rng(4)
+    for n in (1, 5, 40, 700):
+        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.r_[a[: n // 2], r.integers(0, 2**63, 2 * n).astype(np.uint64)])
+        x, y = (np.frombuffer(minhash.bitmap(s), np.uint8)[None] for s in (a, b))
+        width = min(x.shape[1], y.shape[1])
+        differ = int(np.bitwise_count(minhash.folded(x, width) ^ minhash.folded(y, width)).sum())
+        assert differ <= len(np.setxor1d(a, b)) and (n < 5 or differ > 0.5 * len(np.setxor1d(a, b)))
+
+
 def check_shards(found, rows, shards=24):
     want = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in found) == want
