@@ -69,4 +69,36 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ppm_score, op2_warc_salvage, op3_chat_format, op4_minhash_dedup, op5_secret_scan, op6_packing, op7_html_extract, op8_vector_shards, op9_decontaminate, op10_repetition, pipeline)}
-ORACLE_SQL: dict[str, str] = {}
+_BASE32 = "".join(
+    f" || substr(a, 1 + ((n{k} >> {shift}) & 31), 1)" for k in range(8) for shift in (15, 10, 5, 0)
+)
+_DIGITS = ", ".join(f"cast('0x' || substr(h, {1 + 5 * k}, 5) as bigint) as n{k}" for k in range(8))
+_WARC_SQL = f"""
+with p as (select page_id, encode(coalesce(html, '')) as b, sha1(encode(coalesce(html, ''))) as h from pages),
+d as (select page_id, octet_length(b) as payload_bytes, h, max(page_id) over (partition by h) as last, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' as a, {_DIGITS} from p)
+select page_id, payload_bytes, ''{_BASE32} as payload_digest, case when page_id = last then 'response' else 'revisit' end as record_type, case when page_id <> last then last end as refers_to from d"""
+
+_CHAT_SQL = r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+ union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+o as (select *, row_number() over w - 1 as nth, coalesce(lag(role) over w, '') as before from t window w as (partition by conv_id order by turn nulls first, role, text)),
+g as (select *, (before = '' and role in ('system', 'user')) or (before in ('system', 'assistant') and role = 'user') or (before = 'user' and role = 'assistant') as fine from o)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by nth)) as turns_sha256,
+ coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by nth) filter (where role = 'assistant'), '')) as loss_sha256,
+ sum(12 + length(replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<', '%3C')) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 11)::bigint as formatted_chars,
+ bool_and(fine) as valid, coalesce(min(nth) filter (where not fine), -1)::int as first_bad_turn, arg_max(role, nth) = 'assistant' as complete
+from g group by conv_id"""
+
+_NEAR_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+sh as (select distinct doc_id, unnest(case when len(ws) = 0 then []::varchar[] when len(ws) < 2 then ws else list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) end) as s from w),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as k from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+e as (select x, y from p join n nx on x = nx.doc_id join n ny on y = ny.doc_id where 100 * k >= 80 * (nx.n + ny.n - k)),
+linked as (select x, y from e union select y, x from e),
+walk(x, y) as (select x, y from linked union select walk.x, linked.y from walk join linked on walk.y = linked.x),
+c as (select x as doc_id, least(x, min(y)) as component from walk group by x)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.component, d.doc_id) as component_id, coalesce(c.component, d.doc_id) = d.doc_id as kept from documents d left join n using (doc_id) left join c using (doc_id)"""
+
+#: The other queries have no SQL form; tests compare them with brute force.
+ORACLE_SQL: dict[str, str] = {"op2_warc_salvage": _WARC_SQL, "op3_chat_format": _CHAT_SQL, "op4_minhash_dedup": _NEAR_SQL}
