@@ -7,7 +7,8 @@ postings hold BM25 impacts divided by what it needs: ``share`` of the score that
 item's own words give it; so all items that a passage lifts to 1 are retrieved.
 Items are in blocks of ``BLOCK``, and each term has its maximum over all items and
 over each block: a passage whose sum of maxima stays below 1 is skipped, then each
-block whose sum does, and only the postings of the blocks left are added up.
+block whose sum does, and only the postings of the blocks left are added up. Frequent
+words, whose maxima are small, are set aside until a block may reach 1 without them.
 Retrieved items are verified: of the word trigrams of the item's question and of
 its answer, shares of at least ``overlap`` must occur in the passage.
 
@@ -27,6 +28,7 @@ side gives no rows; other columns are ignored by ``leaks`` and kept by
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -64,6 +66,13 @@ def grams(hashed: np.ndarray, n: int = 3) -> np.ndarray:
     return out
 
 
+def expanded(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all the ranges, and for each its range."""
+    many = last - first
+    own = np.repeat(np.arange(len(many)), many)
+    return np.arange(len(own)) - np.repeat(np.cumsum(many) - many - first, many), own
+
+
 class Index:
     """Items of one index block."""
 
@@ -95,6 +104,9 @@ class Index:
         self.block_most = np.maximum.reduceat(self.impact, start) if len(blocks) else np.empty(0)
         self.block_first = np.searchsorted(blocks // (len(items) // BLOCK + 1), np.arange(len(self.terms)))
         self.block_last = np.r_[self.block_first[1:], len(blocks)].astype(np.int64)
+        self.by_most = np.argsort(self.most, kind="stable")  # terms from the least maximum to the greatest
+        self.rank = np.empty_like(self.by_most)
+        self.rank[self.by_most] = np.arange(len(self.by_most))
         bits = max(8, (4 * len(self.terms)).bit_length())
         self.shift = np.uint64(64 - bits)
         self.maybe = np.zeros(1 << bits, bool)  # a quick test before the search for a term
@@ -122,26 +134,66 @@ class Index:
         score = np.bincount(self.item[postings], self.impact[postings])
         return [(i, float(score[i])) for i in np.flatnonzero(score >= 1 - 1e-9).tolist()]
 
+    def promising(self, place: np.ndarray, counts: np.ndarray, starts: np.ndarray, n: np.ndarray, before: np.ndarray, step: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Passages, with their terms, of which the maxima of some block may reach 1.
+
+        A passage's terms of the least maxima, up to half of what is needed, are set
+        aside: an item that reaches 1 has the other half from the rest, whose postings
+        are short.
+        """
+        word = np.flatnonzero(place >= 0)
+        of = np.repeat(np.arange(len(counts)), counts)[word]
+        segment = (word - starts[of]) // step
+        keys = [(before[of[ok]] + segment[ok] - d) * len(self.terms) + self.rank[place[word[ok]]] for d in (0, 1) if (ok := (segment >= d) & (segment - d < n[of])).any()]
+        if not keys:
+            return
+        keys = np.unique(np.concatenate(keys))
+        passage, term = keys // len(self.terms), self.by_most[keys % len(self.terms)]
+        first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
+        size = np.diff(np.r_[first, len(passage)])
+        most = self.most[term]
+        sums = np.cumsum(most)
+        total = np.add.reduceat(most, first)
+        inside = sums - np.repeat(sums[first] - most[first], size)
+        aside = np.add.reduceat(np.where(inside < 0.5, most, 0), first)
+        strong = np.flatnonzero((inside >= 0.5 - 1e-9) & np.repeat(total >= 1 - 1e-9, size))
+        if not len(strong):
+            return
+        group = np.repeat(np.arange(len(first)), size)[strong]
+        width, items = int(self.block.max()) + 1, len(self.ids)
+        bounds = np.searchsorted(group, np.arange(0, len(first) + (each := max(1, 4_000_000 // items)), each))
+        for low, high in zip(bounds, bounds[1:], strict=False):  # so many passages that a number for each and item is kept
+            if low == high:
+                continue
+            t, row = term[strong[low:high]], group[low:high] - group[low]
+            rest = aside[group[low] : group[high - 1] + 1, None]
+            entry, own = expanded(self.block_first[t], self.block_last[t])
+            ceiling = np.bincount(row[own] * width + self.block[entry], self.block_most[entry], len(rest) * width).reshape(-1, width)
+            alive = ceiling + rest >= 1 - 1e-6
+            some = alive.any(1)[row]
+            t, row = t[some], row[some]
+            entry, own = expanded(self.first[t], self.last[t])
+            good = alive[row[own], self.item[entry] // BLOCK]
+            entry, own = entry[good], own[good]
+            score = np.bincount(row[own] * items + self.item[entry], self.impact[entry], len(rest) * items).reshape(-1, items)
+            for g in (group[low] + np.flatnonzero((score + rest >= 1 - 1e-6).any(1))).tolist():
+                yield int(passage[first[g]]), term[first[g] : first[g] + size[g]]
+
     def search(self, hashed: np.ndarray, counts: np.ndarray, overlap: float) -> list[tuple[int, int, int, int, float, float]]:
         """(text, item, first word, past-last word, score, least share) of each text's best passage for each verified item."""
         best: dict[tuple[int, int], tuple] = {}
         if not len(self.terms) or not len(hashed):
             return []
         place = self.places(hashed)
-        sums = np.r_[0, np.cumsum(np.where(place >= 0, self.most[place], 0))]
         step = max(1, self.longest)
         ends = np.cumsum(counts)
         starts = ends - counts
-        n = np.maximum(1, -(-counts // step) - 1)
+        n = np.maximum(1, -(-counts // step) - 1)  # passages of each text
+        before = np.cumsum(n) - n
         text = np.repeat(np.arange(len(counts)), n)
-        nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-        a = starts[text] + nth * step
+        a = starts[text] + (np.arange(len(text)) - before[text]) * step
         z = np.minimum(a + 2 * step, ends[text])
-        for k in np.flatnonzero(sums[z] - sums[a] >= 1 - 1e-6).tolist():
-            here = place[a[k] : z[k]]
-            terms = np.unique(here[here >= 0])
-            if self.most[terms].sum() < 1 - 1e-9:
-                continue
+        for k, terms in self.promising(place, counts, starts, n, before, step):
             for i, score in self.retrieve(terms):
                 passage = {m: grams(hashed[a[k] : z[k]], m) for m in {m for _, m in self.checks[i]}}
                 least = min((np.isin(g, passage[m]).mean() for g, m in self.checks[i]), default=0.0)
