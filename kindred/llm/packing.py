@@ -21,9 +21,12 @@ doc_id is kept.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -31,6 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .. import storage
+from .words import blocks
 
 LONGEST, SHORTEST = 4096, 128
 #: Sequences that one partition can number.
@@ -39,32 +43,48 @@ PIECE = "start long, length long, ids_crc32 long, doc_tokens long, part int, loc
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+#: A word of Latin-1 letters and what follows it: the vocabularies here fold case and cut between letters and signs.
+CORE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#$%&*]*)")
+
+
 class WordEncoder:
     """Ids of texts as little-endian 32-bit numbers, from a cache by word.
 
     The vocabularies it serves drop white space and never join over it, so that a
-    text's ids are those of its words in turn.
+    text's ids are those of its words in turn. The cache has two generations of at
+    most ``most`` words; the older goes when the younger is full.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 700_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.most = Tokenizer.from_file(path), {"": b""}, most
-
-    def __call__(self, text: str) -> bytes:
-        found = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        cache = self.cache
-        try:
-            return b"".join([cache[w] for w in found])
-        except KeyError:
-            new = list({w for w in found if w not in cache})
-            if len(cache) + len(new) > self.most:
-                cache.clear()
-                cache[""] = b""
-                new = list(set(found) - {""})
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                cache[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-            return b"".join([cache[w] for w in found])
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer, self.young, self.old, self.most = Tokenizer.from_file(path), {"": b""}, {}, most
+
+    def learn(self, found: set[str]) -> None:
+        """Puts the ids of all the words into the younger generation."""
+        new = {w for w in found if w not in self.young}
+        if len(self.young) + len(new) > self.most:
+            self.old, self.young = self.young, {"": b""}
+            new = found - {""}
+        split = {w: (m[1].lower(), m[2]) for w in new if (m := CORE.fullmatch(w))}
+        parts = {x for pair in split.values() for x in pair if x} | (new - split.keys())
+        ids = {x: kept for x in parts if (kept := self.young.get(x) or self.old.get(x)) is not None}
+        asked = [x for x in parts if x not in ids]
+        for x, e in zip(asked, self.tokenizer.encode_batch(asked, add_special_tokens=False), strict=True):
+            ids[x] = np.array(e.ids, "<u4").tobytes()
+        ids[""] = b""
+        self.young.update(ids)
+        self.young.update({w: ids[a] + ids[b] for w, (a, b) in split.items()})
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for a, b in blocks(texts, 500_000):
+            cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[a:b]]
+            self.learn(set().union(*cut))
+            young = self.young
+            out += [b"".join([young[w] for w in c]) for c in cut]
+        return out
 
 
 def encoder(path: str) -> WordEncoder:
@@ -152,9 +172,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, longest: int = LONGES
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text or "") + end
-                packer.add((doc, ids), 0, len(ids) // 4)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+                packer.add((doc, ids + end), 0, len(ids) // 4 + 1)
             ready, packer.full = packer.full, []
             yield rows(ready)
         rest = packer.close()
