@@ -1,0 +1 @@
+"""Streaming: the surveyed engine works on batches only, so there is nothing here."""
