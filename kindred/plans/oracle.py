@@ -1,4 +1,4 @@
-"""DuckDB SQL of the functions and stages, built from expressions."""
+"""DuckDB SQL of the functions and stages, built from expressions. Numbers in texts round half up."""
 
 from __future__ import annotations
 
@@ -137,7 +137,7 @@ def jw(name: str, source: str) -> str:
 
 
 def percent(x: str) -> str:
-    return f"format('{{:.0f}}%', {x} * 100)"
+    return f"format('{{:.0f}}%', round({x} * 100))"
 
 
 FX = ",\n".join(f"{name} as ({sql})" for name, (sql, _) in fixtures.ALL.items())
@@ -179,7 +179,7 @@ sc1 as (select *, least(1.0::double, (0.45::double * name_sim + 0.25::double * l
  (case when loc_sim > 0.5 then 1 else 0 end) + (case when industry_sim > 0.7 then 1 else 0 end) + (case when phone_sim > 0.5 then 1 else 0 end) + (case when emp_sim > 0.5 then 1 else 0 end) dims from sc0),
 prob as (select id1, id2, case when score >= 0.82 then 'probabilistic_high' else 'probabilistic_medium' end match_type, score conf,
  array_to_string(list_filter([case when list_has_any(d1, d2) then 'domain' end, case when name_sim > 0.75 then 'name' end, case when l1 = l2 then 'linkedin_url' end, case when p1 = p2 then 'phone' end, case when city_sim > 0.85 then 'city' end, case when lower(s1) = lower(s2) then 'state' end, case when industry_sim > 0.85 then 'industry' end], lambda v: v is not null), ', ') fields,
- (case when score >= 0.82 then 'High' else 'Medium' end) || ' similarity match (score: ' || format('{{:.3f}}', score) || ')' explanation
+ (case when score >= 0.82 then 'High' else 'Medium' end) || ' similarity match (score: ' || format('{{:.3f}}', round(score, 3)) || ')' explanation
  from sc1 where (dims >= 2 or name_sim >= 0.92) and score >= 0.72)"""
 
 
@@ -221,7 +221,7 @@ sc1 as (select *, least(1.0::double, (0.55::double * name_sim + 0.25::double * c
  (case when company_sim > 0.7 then 1 else 0 end) + (case when title_sim > 0.7 then 1 else 0 end) + (case when d1 = d2 then 1 else 0 end) dims from gated),
 prob as (select id1, id2, case when cross_dom then 'probabilistic_medium' when score >= 0.82 then 'probabilistic_high' else 'probabilistic_medium' end match_type, case when cross_dom then round(name_sim * 0.85::double, 4) else score end conf,
  array_to_string(list_filter([case when m1 = m2 then 'email' end, case when first_sim > 0.8 then 'first_name' end, case when last_sim > 0.8 then 'last_name' end, case when company_sim > 0.7 then 'company_name' end, case when d1 = d2 then 'company_domain' end, case when title_sim > 0.7 then 'job_title' end], lambda v: v is not null), ', ') fields,
- case when cross_dom then 'Same name across different organizations (name similarity ' || {percent('name_sim')} || ')' else (case when score >= 0.82 then 'High' else 'Medium' end) || ' similarity match (score: ' || format('{{:.3f}}', score) || ')' end explanation
+ case when cross_dom then 'Same name across different organizations (name similarity ' || {percent('name_sim')} || ')' else (case when score >= 0.82 then 'High' else 'Medium' end) || ' similarity match (score: ' || format('{{:.3f}}', round(score, 3)) || ')' end explanation
  from sc1 where (dims > 1 or name_sim >= 0.90) and (cross_dom or score >= 0.68))"""
 
 COMPANY = f"with recursive {FX},\n{CO},\n{COD},\n{COP},\n{matches('co')}\n"
