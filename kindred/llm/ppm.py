@@ -11,14 +11,14 @@ start bytes 0xFE and followed by one end byte 0xFF, neither of which UTF-8 uses,
 so that the probabilities of all texts add up to at most one.
 
 How Spark runs it. The trie grows with the corpus and is never broadcast.
-Documents are dealt into groups of about ``group_bytes`` by a hash of their id; a
-group names its distinct (K+1)-grams once, each with its count in training texts.
+Documents are dealt into groups of about ``group_bytes`` by a hash of their id, and
+shuffled as compressed blocks of the documents of one batch and group; a group names its distinct (K+1)-grams once, each with its count in training texts.
 Counts are summed by gram (rows of a gram: at most one a group); the trie below a
 context of order 2 is then evaluated in one task, which turns each distinct gram
 into its log probability; these go back to the groups that asked by an equi-join
 on the gram, and each group adds them up over its documents. Only the counts of
 byte pairs (65,536 rows at most) pass through the driver. Words of the unigram
-base travel the same way, as 64-bit hashes.
+base travel the same way, as hashes of 62 bits.
 
 Defined cases: null text is an empty one (only the end byte is coded); repeated
 rows are scored each; an empty table gives no rows; a model learned from nothing
@@ -31,13 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
+import pyarrow.ipc
 from pyspark.sql import DataFrame, functions as F
 
 from .. import storage
 from . import words
 
 START, END = 0xFE, 0xFF
-GRAM, WORD = 0, 1
+#: Keys of words have this bit, which no gram of up to 7 bytes has, and are hashes of 62 bits else.
+WORD = 1 << 62
 
 
 def position_grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +73,7 @@ class Counter64:
         found, counts = np.unique(keys, return_counts=True)
         self.parts.append((found, counts * weights))
         self.waiting += len(found)
-        if self.waiting > max(2_000_000, 2 * len(self.keys)):
+        if self.waiting > max(500_000, len(self.keys)):
             self.settle()
 
     def settle(self) -> tuple[np.ndarray, np.ndarray]:
@@ -183,48 +187,68 @@ class Lookup:
         return out
 
 
-def score_documents(docs: DataFrame, learn, order: int = 5, group_bytes: int = 48 << 20, lower: bool = True) -> DataFrame:
+def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    hashed, counts = words.word_hashes(texts, lower=False)
+    return (hashed >> np.uint64(2)).view(np.int64) | WORD, counts
+
+
+def pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a group as last column, as one compressed block for each batch and group."""
+    for batch in batches:
+        order = pa.compute.sort_indices(batch.column("grp"))
+        batch = batch.take(order)
+        groups = batch.column("grp").to_numpy()
+        first = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(groups) else np.empty(0, np.int64)
+        blocks = []
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(groups)], strict=False):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch.slice(a, b - a))
+            blocks.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(groups[first], pa.int32()), pa.array(blocks, pa.binary())], ["grp", "block"])
+
+
+def score_documents(docs: DataFrame, learn, order: int = 5, group_bytes: int = 24 << 20, lower: bool = True) -> DataFrame:
     """Scores every text by a PPM model of the rows for which ``learn`` holds.
 
-    docs: doc_id and text; order: 2 to 7 context bytes; lower: lower-case A-Z first.
+    docs: doc_id and text; order: 2 to 6 context bytes; lower: lower-case A-Z first.
     Returns doc_id, learned, n_bytes, n_tokens, n_known, train_tokens, base_score
     (unigram words with one end token a text, add-one smoothed, log10) and score
     (the model's log10 probability of the bytes and the end).
     """
-    if not 2 <= order <= 7:
-        raise ValueError("order must be 2 to 7")
+    if not 2 <= order <= 6:
+        raise ValueError("order must be 2 to 6")
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.coalesce(learn, F.lit(False)).alias("learned"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = storage.parts(size, group_bytes)
-    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+    dealt = rows.select("doc_id", "text", "learned", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("grp")).mapInArrow(pressed, "grp int, block binary")
     fold = bytes(words.LOWER) if lower else None
 
-    def name_keys(group: pd.DataFrame) -> pd.DataFrame:
-        texts = [t.translate(fold) if fold else t for t in group["text"]]
-        found = {}
-        for learned in (True, False):
-            some = [t for t, x in zip(texts, group["learned"], strict=True) if x == learned]
-            grams, tokens = Counter64(), Counter64()
-            for a, b in words.blocks(some):
-                grams.add(position_grams(some[a:b], order)[0], int(learned))
-                tokens.add(words.word_hashes(some[a:b], lower=False)[0].view(np.int64), int(learned))
-            found[learned] = grams, tokens
-        out = []
-        for kind in (GRAM, WORD):
-            both, other = found[True][kind], found[False][kind].settle()
-            both.settle()
-            both.parts.append(other)
-            keys, counts = both.settle()
-            out.append(pd.DataFrame({"grp": group["grp"].iloc[0], "kind": kind, "key": keys, "n": counts}))
-        return pd.concat(out)
-
-    named = storage.saved(dealt.groupBy("grp").applyInPandas(name_keys, "grp int, kind int, key long, n long"), "ppm-named")
-    totals = storage.saved(named.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-totals")
-    grams = totals.where(F.col("kind") == GRAM)
+    def opened(table: pa.Table) -> Iterator[tuple[list, list[bytes], list[bool]]]:
+        """Ids, texts and flags of each block of a group."""
+        for block in table.column("block"):
+            part = pa.ipc.open_stream(block.as_buffer()).read_all()
+            texts = part.column(1).to_pylist()
+            yield part.column(0).to_pylist(), [t.translate(fold) for t in texts] if fold else texts, part.column(2).to_pylist()
+
+    def name_keys(table: pa.Table) -> pa.Table:
+        counter = Counter64()
+        for _, texts, flags in opened(table):
+            for learned in (True, False):
+                some = [t for t, x in zip(texts, flags, strict=True) if x == learned]
+                for a, b in words.blocks(some, 1_000_000):
+                    counter.add(position_grams(some[a:b], order)[0], int(learned))
+                    counter.add(word_keys(some[a:b])[0], int(learned))
+        keys, counts = counter.settle()
+        return pa.table({"grp": pa.array(np.full(len(keys), table.column("grp")[0].as_py()), pa.int32()), "key": keys, "n": counts})
+
+    named = storage.saved(dealt.groupBy("grp").applyInArrow(name_keys, "grp int, key long, n long"), "ppm-named")
+    totals = storage.saved(named.groupBy("key").agg(F.sum("n").alias("n")), "ppm-totals")
+    grams, of_words = totals.where(F.col("key") < WORD), totals.where(F.col("key") >= WORD)
     pairs = np.zeros((256, 256), np.int64)
     for pair, n in grams.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("n")).collect():  # 65,536 rows at most
         pairs[pair >> 8, pair & 255] = n
-    n_words, n_distinct = totals.where((F.col("kind") == WORD) & (F.col("n") > 0)).agg(F.sum("n"), F.count("*")).first()
+    n_words, n_distinct = of_words.where("n > 0").agg(F.sum("n"), F.count("*")).first()
     ends = rows.where("learned").count()
     n_train, n_distinct = (n_words or 0) + ends, n_distinct + (ends > 0)
 
@@ -233,30 +257,29 @@ def score_documents(docs: DataFrame, learn, order: int = 5, group_bytes: int = 4
             keys, n = np.concatenate([f["key"] for f in got]), np.concatenate([f["n"] for f in got])
             logs = gram_logs(keys, n, pairs, order)
             for i in range(0, len(keys), 100_000):
-                yield pd.DataFrame({"kind": GRAM, "key": keys[i : i + 100_000], "value": logs[i : i + 100_000]})
-
-    logs = grams.repartition(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))).select("key", "n").mapInPandas(evaluate, "kind int, key long, value double")
-    values = logs.unionByName(totals.where(F.col("kind") == WORD).select("kind", "key", F.col("n").cast("double").alias("value")))
-    answers = named.join(values, ["kind", "key"]).select("grp", "kind", "key", "value")
-
-    def add_up(group: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        texts = [t.translate(fold) if fold else t for t in group["text"]]
-        is_word = got["kind"].to_numpy() == WORD
-        keys, value = got["key"].to_numpy(), got["value"].to_numpy()
-        of_gram, of_word = Lookup(keys[~is_word], value[~is_word]), Lookup(keys[is_word], value[is_word])
-        out = np.zeros((len(texts), 4))
-        for a, b in words.blocks(texts):
-            asked, sizes = position_grams(texts[a:b], order)
-            out[a:b, 3] = np.add.reduceat(of_gram(asked), np.cumsum(sizes) - sizes)
-            asked, sizes = words.word_hashes(texts[a:b], lower=False)
-            c = of_word(asked.view(np.int64))
-            logs, known = np.r_[0, np.cumsum(np.log10((c + 1) / (n_train + n_distinct + 1)))], np.r_[0, np.cumsum(c > 0)]
-            last = np.cumsum(sizes)
-            out[a:b, 0], out[a:b, 1], out[a:b, 2] = sizes + 1, known[last] - known[last - sizes] + (ends > 0), logs[last] - logs[last - sizes] + np.log10((ends + 1) / (n_train + n_distinct + 1))
-        return pd.DataFrame({
-            "doc_id": group["doc_id"], "learned": group["learned"], "n_bytes": [len(t) for t in texts], "n_tokens": out[:, 0].astype(np.int64),
-            "n_known": out[:, 1].astype(np.int64), "train_tokens": n_train, "base_score": out[:, 2], "score": out[:, 3],
-        })
-
-    scored = dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInPandas(add_up, "doc_id string, learned boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+                yield pd.DataFrame({"key": keys[i : i + 100_000], "value": logs[i : i + 100_000]})
+
+    logs = grams.repartition(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))).mapInPandas(evaluate, "key long, value double")
+    values = logs.unionByName(of_words.select("key", F.col("n").cast("double").alias("value")))
+    answers = named.select("grp", "key").join(values, "key").select("grp", "key", "value")
+
+    def add_up(group: pa.Table, got: pa.Table) -> pa.Table:
+        value_of = Lookup(got.column("key").to_numpy(), got.column("value").to_numpy())
+        out = []
+        for ids, texts, flags in opened(group):
+            for a, b in words.blocks(texts, 1_000_000):
+                asked, sizes = position_grams(texts[a:b], order)
+                score = np.add.reduceat(value_of(asked), np.cumsum(sizes) - sizes)
+                asked, sizes = word_keys(texts[a:b])
+                c = value_of(asked)
+                logs, known = np.r_[0, np.cumsum(np.log10((c + 1) / (n_train + n_distinct + 1)))], np.r_[0, np.cumsum(c > 0)]
+                last = np.cumsum(sizes)
+                out.append(pa.table({
+                    "doc_id": pa.array(ids[a:b], pa.string()), "learned": pa.array(flags[a:b], pa.bool_()), "n_bytes": np.array([len(t) for t in texts[a:b]], np.int64), "n_tokens": sizes + 1,
+                    "n_known": known[last] - known[last - sizes] + int(ends > 0), "train_tokens": np.full(b - a, n_train, np.int64),
+                    "base_score": logs[last] - logs[last - sizes] + np.log10((ends + 1) / (n_train + n_distinct + 1)), "score": score,
+                }))
+        return pa.concat_tables(out)
+
+    scored = dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(add_up, "doc_id string, learned boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
