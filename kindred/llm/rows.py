@@ -1,14 +1,35 @@
-"""Functions over many texts, run on Arrow batches so that keys and other columns keep their types and nulls."""
+"""Functions over many texts, run on Arrow batches so that keys and other columns keep their types and nulls.
+
+A batch is worked on in slices of about ``SLICE`` characters, so that memory does not
+follow the number of rows in a batch; a longer text is a slice of its own."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+SLICE = 4_000_000
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of a batch with the values of its text column."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start, size = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if size and size + n > SLICE:
+            part = batch.slice(start, i - start)
+            yield part, part.column(column).to_pylist()
+            start, size = i, 0
+        size += n
+    if start < batch.num_rows:
+        part = batch.slice(start)
+        yield part, part.column(column).to_pylist()
+
 
 def map_texts(docs: DataFrame, compute: Callable[[list], dict], columns: str, as_bytes: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and, for each text (null: empty), the columns that ``compute`` gives for a list of texts."""
@@ -19,9 +40,9 @@ def map_texts(docs: DataFrame, compute: Callable[[list], dict], columns: str, as
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                found = compute(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), *(pa.array(found[f.name], f.type) for f in list(arrow)[1:])], schema=arrow)
+            for part, texts in slices(batch, 1):
+                found = compute(texts)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(arrow.field(0).type), *(pa.array(found[f.name], f.type) for f in list(arrow)[1:])], schema=arrow)
 
     return rows.mapInArrow(run, schema)
 
@@ -31,8 +52,8 @@ def filter_texts(docs: DataFrame, keep: Callable[[list], list[bool]]) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(keep(batch.column("text").to_pylist()), pa.bool_()))
+            for part, texts in slices(batch, batch.schema.get_field_index("text")):
+                yield part.filter(pa.array(keep(texts), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -43,7 +64,7 @@ def change_texts(docs: DataFrame, change: Callable[[str | None], str | None]) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            new = pa.array([change(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
-            yield batch.set_column(at, batch.schema.field(at), new)
+            for part, texts in slices(batch, at):
+                yield part.set_column(at, batch.schema.field(at), pa.array([change(t) for t in texts], batch.schema.field(at).type))
 
     return docs.mapInArrow(run, docs.schema)
