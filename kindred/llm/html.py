@@ -179,10 +179,19 @@ def main_text(page: str, penalty: dict[str, float], default: float = 0.25) -> st
 
 
 def fitted_weights(pages: DataFrame, sample_pages: int = 500) -> dict[str, float]:
-    """Weights from at most ``sample_pages`` labelled pages: those whose page_id hashes lowest."""
-    labelled = pages.where(F.lower("html").contains("<article") | F.lower("html").contains("<main"))
-    sample = labelled.select("html", F.xxhash64("page_id").alias("by")).orderBy("by").limit(sample_pages)
-    return weights(tag_counts([r["html"] for r in sample.collect()]))
+    """Weights from about ``sample_pages`` labelled pages: those whose page_id hashes lowest, with equal ones.
+    Only hashes and counts by tag come to the driver."""
+    labelled = pages.where(F.lower("html").contains("<article") | F.lower("html").contains("<main")).withColumn("by", F.xxhash64("page_id"))
+    last = labelled.select("by").orderBy("by").limit(sample_pages).agg(F.max("by")).first()[0]
+    if last is None:
+        return {}
+
+    def count(texts: list[str]) -> dict:
+        return {"tags": [[{"tag": t, "inside": a, "outside": b} for t, (a, b) in tag_counts([page]).items()] for page in texts]}
+
+    found = map_texts(labelled.where(F.col("by") <= last), count, "tags array<struct<tag: string, inside: long, outside: long>>", key="page_id", text="html")
+    sums = found.select(F.explode("tags").alias("t")).groupBy("t.tag").agg(F.sum("t.inside"), F.sum("t.outside")).collect()
+    return weights({tag: (a, b) for tag, a, b in sums})
 
 
 def extract_main_text(pages: DataFrame, sample_pages: int = 500) -> DataFrame:
