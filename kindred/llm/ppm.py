@@ -208,7 +208,7 @@ def pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(groups[first], pa.int32()), pa.array(blocks, pa.binary())], ["grp", "block"])
 
 
-def score_documents(docs: DataFrame, learn, order: int = 5, group_bytes: int = 16 << 20, lower: bool = True) -> DataFrame:
+def score_documents(docs: DataFrame, learn, order: int = 5, group_bytes: int = 20 << 20, lower: bool = True) -> DataFrame:
     """Scores every text by a PPM model of the rows for which ``learn`` holds.
 
     docs: doc_id and text; order: 2 to 6 context bytes; lower: lower-case A-Z first.
