@@ -6,16 +6,17 @@ odds that a tag of this name lies outside of it. The contiguous run of tokens wi
 the highest sum, found in one linear scan, is where the content is. Boilerplate
 elements (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, reader comments: by tag, role and class) have no words that score. The
-region is then completed to the article or main element that holds it, so that no
-paragraph at its ends is lost, and its blocks are joined in page order.
+region's ends are then completed to the article or main element that they lie in, so
+that no paragraph there is lost, and its blocks are joined in page order. What the run
+holds outside of such elements stays; a run outside of all of them stays as it is.
 
 How Spark runs it: weights are fitted on at most ``sample_pages`` labelled pages
 and are a small dictionary; each page is then extracted alone, without a shuffle.
 
 Defined cases: null html and pages without words give an empty text; repeated rows
 are extracted each; ties go to the earliest run; an empty table gives no rows; pages
-without any article or main element give the blocks of the run itself; tags that are
-never closed end with their parent; other columns are ignored.
+without any article or main element give the blocks of the run itself; pages of which all
+such elements are without words give an empty text; tags that are never closed end with their parent; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -150,20 +151,13 @@ def main_text(page: str, penalty: dict[str, float], default: float = 0.25) -> st
     found = tokens(page)
     scores = [(0.0 if boiler else float(len(text.split()))) if text is not None else -penalty.get(tag, default) for text, tag, boiler, _, _ in found]
     a, b = best_run(scores)
-    held = {h for _, _, boiler, h, _ in found if h}
-    if held:
-        inside: dict[int, float] = {}
-        for (text, _, boiler, h, _), s in zip(found[a:b], scores[a:b], strict=True):
-            if text is not None and h and not boiler:
-                inside[h] = inside.get(h, 0) + s
-        if not inside:  # the run lies outside of all of them
-            for (text, _, boiler, h, _), s in zip(found, scores, strict=True):
-                if text is not None and h and not boiler:
-                    inside[h] = inside.get(h, 0) + s
-        chosen = max(inside, key=lambda h: (inside[h], -h), default=0)
-        chosen_tokens = [t for t in found if t[3] == chosen] if chosen else []
-    else:
-        chosen_tokens = found[a:b]
+    worded = {h for text, _, boiler, h, _ in found if h and text is not None and not boiler and text.strip()}
+    if not worded and any(t[3] for t in found):
+        return ""
+    # complete the run's ends to the holders that they lie in
+    ends = {t[3] for t in (found[a], found[b - 1]) if t[3]} if a < b else set()
+    at = [i for i, t in enumerate(found) if t[3] in ends] if ends else []
+    chosen_tokens = found[min([a, *at[:1]]) : max([b, *(i + 1 for i in at[-1:])])]
     blocks, now = [], []
     for text, _, boiler, _, block in chosen_tokens:
         if text is not None and not boiler:

@@ -174,6 +174,16 @@ def test_html_cases(page, text):
     assert html.main_text(page, {}) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article class='card'>teaser</article><nav><a>x</a></nav><div class='content'><p>the long text of the page is here</p><p>and here</p></div>", "the long text of the page is here\n\nand here"),
+    ("<main><p>short start</p><hr><hr><p>a longer part that has the run</p></main><nav><a>x</a></nav><p>out</p>", "short start\n\na longer part that has the run"),
+    ("<article><p>first of two</p></article><article><p>second of two</p></article>", "first of two\n\nsecond of two"),
+    ("<div><p>a lead that stands before it</p></div><article><p>the text itself</p></article>", "a lead that stands before it\n\nthe text itself"),
+])
+def test_run_fixes_the_region(page, text):
+    assert html.main_text(page, {"nav": 8.0, "hr": 3.0}) == text
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, None, None, "t"), (None, None, "<article>a</article>", None, None, "t"), (2, "v", "<article>" + "<p>w</p>" * 20000 + "</article>", None, None, None), (2, "v", "", None, None, None)], PAGES)
     found = sorted(((r.page_id or 0, r.text) for r in html.extract_main_text(pages).collect()), key=str)
