@@ -30,15 +30,19 @@ from pyspark.sql import DataFrame, functions as F
 from .rows import map_texts
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-RAW = re.compile(r"script|style|noscript|template|textarea|title|svg|iframe|select|object|math")
+RAW = re.compile(r"script|style|noscript|template|textarea|title|svg|iframe|select")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - frozenset(["body", "html", "head"])
-BOILER_TAGS = frozenset("head nav header footer aside form script style noscript template button select textarea iframe svg object math dialog menu".split())
+BOILER_TAGS = frozenset("head nav header footer aside form script style noscript template button select textarea iframe svg dialog menu".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 BOILER_WORDS = frozenset("menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar aside widget ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal overlay comment comments reply replies disqus discussion share sharing social related newsletter subscribe subscription signup login toolbar pagination".split())
 HOLDERS = frozenset(["article", "main"])
+#: Elements that no class or id makes boilerplate, and the containers that an id can; elsewhere an id is an anchor.
+UNJUDGED = HOLDERS | frozenset("html body h1 h2 h3 h4 h5 h6".split())
+JUDGED_BY_ID = frozenset("div ul ol dl table".split())
+WORD = re.compile(r"[^\W_]+")
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 
@@ -49,11 +53,12 @@ def is_boiler(tag: str, attributes: str) -> bool:
         return False
     for m in ATTRIBUTE.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").lower()
-        if m[1].lower() == "role":
+        if (kind := m[1].lower()) == "role":
             if value in BOILER_ROLES:
                 return True
-        elif not BOILER_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
+        elif tag not in UNJUDGED and (kind == "class" or tag in JUDGED_BY_ID):
+            if any(BOILER_WORDS.issuperset(words) for name in value.split() if (words := WORD.findall(name))):
+                return True
     return False
 
 

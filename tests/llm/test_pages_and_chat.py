@@ -184,6 +184,17 @@ def test_run_fixes_the_region(page, text):
     assert html.main_text(page, {"nav": 8.0, "hr": 3.0}) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<body class='single-post has-sidebar'><article class='post no-comments'><p>text</p></article></body>", "text"),
+    ("<html class='menu'><body class='sticky-header'><main id='sidebar'><p>text</p></main></body></html>", "text"),
+    ("<article class='comments'><h2 id='social-history'>Social history</h2><section id='discussion'><p id='notice'>text</p></section><h3 class='header'>End</h3></article>", "Social history\n\ntext\n\nEnd"),
+    ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds <object data=f>shown instead</object></p></article>", "so x=2 holds shown instead"),
+    ("<article><p>text</p><div class='wide ad'>a</div><div class='cookie-banner'>b</div><div id='sidebar'>c</div></article>", "text"),
+])
+def test_what_is_boilerplate(page, text):
+    assert html.main_text(page, {}) == text
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, None, None, "t"), (None, None, "<article>a</article>", None, None, "t"), (2, "v", "<article>" + "<p>w</p>" * 20000 + "</article>", None, None, None), (2, "v", "", None, None, None)], PAGES)
     found = sorted(((r.page_id or 0, r.text) for r in html.extract_main_text(pages).collect()), key=str)
