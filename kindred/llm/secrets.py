@@ -2,7 +2,9 @@
 
 Lines of a text that hold an assignment sign are lexed into pairs of a target name
 and a literal: ``name = "literal"``, ``name: literal``, ``"name": "literal"``,
-``export NAME=literal``, ``name := literal``, with string parts joined by ``+``.
+``export NAME=literal``, ``name := literal``, ``name: type = literal``, ``label: name =
+literal``, with string parts joined by ``+``. A bare word before a further sign gets the
+literal as well as the names before it, as it may be a type or a name.
 A right side that is a bare name is replaced by the literal that the name was last
 given, through any number of steps. A pair scores the weight of the most sensitive
 part of its target name times the likeness of the literal to a secret (length,
@@ -39,9 +41,11 @@ KINDS = ("assign", "access", "hex", "lexed")
 
 NAME_WEIGHTS = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "key": 0.6, "credential": 0.9, "credentials": 0.9, "auth": 0.7, "private": 0.8, "bearer": 0.9}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|example|placeholder|none|null|true|false|todo|test|your[-_].*|<.*>|\$\{.*\}|\$\w+|%\(.*\)s|\{\{.*\}\})$")
-PAIR = re.compile(
-    r"""(?P<quote>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,63})(?P=quote)[ \t]*(?::=|=>|=(?!=)|:(?!//))[ \t]*(?P<value>(?:"[^"\n]*"|'[^'\n]*')(?:[ \t]*\+[ \t]*(?:"[^"\n]*"|'[^'\n]*'))*|[^\s"',;(){}\[\]]+)"""
-)
+TARGET = re.compile(r"""(?P<quote>["']?)(?<![A-Za-z0-9_.\-])(?P<name>[A-Za-z0-9_.\-]++)(?P=quote)(?P<space>[ \t]*+)(?P<sign>:=|=>|=(?!=)|:(?!//))[ \t]*+""")
+VALUE = re.compile(r"""(?P<strings>(?:"[^"\n]*"|'[^'\n]*')(?:[ \t]*\+[ \t]*(?:"[^"\n]*"|'[^'\n]*'))*)|[^\s"',;(){}\[\]]+""")
+#: A declared type of more than one word, with the assignment sign after it.
+DECLARED = re.compile(r"""[&*]?(?:'[a-z_]++[ \t]++)?(?:(?:mut|const)[ \t]++)?[A-Za-z_](?:[A-Za-z0-9_.]|::)*+[?!]?(?:[ \t]*+[\[<|][A-Za-z0-9_ \t.,\[\]<>|&*?]*+)?[ \t]*+=(?![=>])[ \t]*+""")
+TYPES = frozenset("str string String bytes char text Text any Any object int float bool number".split())
 STRING = re.compile(r"\"([^\"\n]*)\"|'([^'\n]*)'")
 
 
@@ -66,19 +70,44 @@ def lexed(text: str) -> list[tuple[str, str, int, int]]:
     """(target name, literal, start, end), constants propagated; the place is the literal's."""
     values: dict[str, tuple[str, int, int]] = {}
     out = []
-    for m in PAIR.finditer(text):
-        name, value = m["name"], m["value"]
-        if value[0] in "\"'":
-            pieces = list(STRING.finditer(value))
-            at = m.start("value")
+    at = 0
+    while m := TARGET.search(text, at):
+        at = m.end()
+        names = [x] if (x := m["name"].lstrip("0123456789.-")) else []
+        if not names:
+            continue
+        place, whole = at, None
+        # a bare word before a further sign is a type or a target of its own
+        while True:
+            inner = TARGET.match(text, place)
+            if inner and (x := inner["name"].lstrip("0123456789.-")):
+                bare = None if whole or inner["quote"] else VALUE.match(text, place)
+                if bare and text[inner.end() : inner.end() + 1] not in ('"', "'") and (not inner["space"] or not bare[0].replace("_", "").replace(".", "").isalpha()):
+                    whole = bare[0], *bare.span()
+                    out += [(name, *whole) for name in names]
+                names.append(x)
+            elif m["sign"] != ":" or not (inner := DECLARED.match(text, place)):
+                break
+            place, m = inner.end(), inner if inner.re is TARGET else m
+            if inner.re is DECLARED:
+                break
+        value = VALUE.match(text, place)
+        if not value:
+            if whole:
+                values[names[0]] = whole
+            at = place
+            continue
+        at = value.end()
+        if value["strings"]:
+            pieces = list(STRING.finditer(value[0]))
             literal = "".join(p[1] if p[1] is not None else p[2] for p in pieces)
-            found = literal, at + pieces[0].start() + 1, at + pieces[-1].end() - 1
-        elif value in values:
-            found = values[value]
+            found = literal, place + pieces[0].start() + 1, place + pieces[-1].end() - 1
         else:
-            found = value, m.start("value"), m.end("value")
-        values[name] = found
-        out.append((name, *found))
+            found = values.get(value[0], (value[0], *value.span()))
+        for i, name in enumerate(names):
+            if not i or name not in TYPES:
+                values[name] = found
+            out.append((name, *found))
     return out
 
 

@@ -88,6 +88,36 @@ def test_lexing(text, literals):
     assert [text[a:b] for _, a, b in secrets.lexed_spans(text, 0.5)] == literals
 
 
+@pytest.mark.parametrize("text, literals", [
+    ('api_key: str = "sk-Live9Qx72LmPz0aR"', ["sk-Live9Qx72LmPz0aR"]),
+    ('db_pwd: str = "Zx81kPq0Lm!a"', ["Zx81kPq0Lm!a"]),
+    ('Note: auth_key = "Zx81kPq0Lm"', ["Zx81kPq0Lm"]),
+    ("Note: auth_key = Zx81kPq0Lm", ["Zx81kPq0Lm"]),
+    ("Note: auth_key=Zx81kPq0Lm", ["Zx81kPq0Lm"]),
+    ('const token: string = "Yt67hGw2pQx"', ["Yt67hGw2pQx"]),
+    ('token: Optional[Dict[str, str]] = "Yt67hGw2pQx"', ["Yt67hGw2pQx"]),
+    ("let token: &'static str = \"Yt67hGw2pQx\";", ["Yt67hGw2pQx"]),
+    ("token: string | null = 'Yt67hGw2pQx'", ["Yt67hGw2pQx"]),
+    ('a: str = "Zx81kPq0Lm"\napi_key: str = a', ["Zx81kPq0Lm"]),
+    ('colour: str = "Zx81kPq0Lm"\ndef f(password: str)', []),
+    ("secret_" + "of_the_house_" * 9 + 'x = "Zx81kPq0Lm"', ["Zx81kPq0Lm"]),
+    ("--auth-key=Zx81kPq0Lm=", ["Zx81kPq0Lm="]),
+    ("password: us3r:Zx81kPq0Lm", ["us3r:Zx81kPq0Lm", "Zx81kPq0Lm"]),
+])
+def test_declared_and_labelled(text, literals):
+    assert [text[a:b] for _, a, b in secrets.lexed_spans(text, 0.5)] == literals
+
+
+def test_redaction_of_declared():
+    out = secrets.redacted('const token: string = "Yt67hGw2pQx"; api_key: str = "sk-Live9Qx72LmPz0aR"', 0.5, "[REDACTED]")
+    assert "Yt67" not in out and "Live9" not in out
+
+
+def test_long_names_and_chains_take_linear_time():
+    for text in ("a" * 10**6, "token:" * 10**5 + "x", "a: b[" * 10**5, "'" * 10**5 + "=", "1" * 10**6 + "=x"):
+        assert secrets.lexed_spans(text + " =", 0.5) is not None
+
+
 def test_redaction(edge):
     out = {r.doc_id: r for r in secrets.redact_secrets(edge).collect()}
     assert secrets.redact_secrets(edge).columns == edge.columns and secrets.redact_secrets(edge).count() == edge.count()
