@@ -36,6 +36,7 @@ from .. import storage
 VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 GZIP = b"\x1f\x8b\x08"
+FOLLOWING = re.compile(rb"\r\nWARC/\d\.\d\r\n")
 
 
 def base32_sha1(data: bytes) -> str:
@@ -66,7 +67,9 @@ def parse_record(data: bytes, at: int) -> tuple[dict, bytes, int] | str:
     """Header, block and end of the record that starts at a place; or why there is none."""
     if data[at : at + 5] != b"WARC/":
         return "no version line"
-    end = data.find(b"\r\n\r\n", at, at + 65536)
+    end = data.find(b"\r\n\r\n", at)
+    if FOLLOWING.search(data, at + 5, end if end >= 0 else len(data)):
+        return "bad header"  # another record begins before it ends
     if end < 0:
         return "no end of header"
     try:

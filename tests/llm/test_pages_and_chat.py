@@ -38,6 +38,21 @@ def test_round_trip(spark):
     assert len(alone) == 22 and {r.record_type for r in alone} == {"response"}
 
 
+def test_long_urls(spark):
+    rows = [(1, "http://h.example/?" + "a b" * 40000, "<p>x</p>", None, None, None), (2, "u" * 100_000, "<p>x</p>", None, None, None), (3, "v" * 2_000_000, "<p>y</p>", None, None, None), (4, "w", "<p>y</p>", None, None, None)]
+    found = {tuple(r)[:2] + (r.record_type, r.refers_to) for r in warc.archive_round_trip(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found == {(1, 8, "revisit", 2), (2, 8, "response", None), (3, 8, "revisit", 4), (4, 8, "response", None)}
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_salvage_of_long_and_cut_headers(packed):
+    records = [warc.record(i, "u" * (300_000 if i == 1 else 9), b"p") for i in range(3)]
+    parts = [warc.member(r) if packed else r for r in records]
+    assert ids(b"".join(parts)) == ([f"<urn:page:{i}>" for i in range(3)], [])
+    cut = records[0][:60] + b"\r\n"  # its header does not end before the next record begins
+    assert ids(cut + b"".join(parts[1:])) == (["<urn:page:1>", "<urn:page:2>"], [(0, len(cut))])
+
+
 def test_query_reads_back_each_page(spark):
     want = Counter((r.page_id, len((r.html or "").encode()), sha((r.html or "").encode())) for r in spark.read.parquet(f"{SF}/pages.parquet").collect())
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest) for r in queries.op2_warc_salvage(spark, SF).collect()) == want
