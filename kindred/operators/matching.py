@@ -109,8 +109,10 @@ def block_cap(rows: DataFrame, cap: int) -> DataFrame:
     return rows.where("block_key is not null").withColumn("nth", nth).where(F.col("nth") <= cap)
 
 
-def cand_blocked(rows: DataFrame, cap: int) -> DataFrame:
-    return pairs_of(block_cap(rows, cap).select(F.col("block_key").alias("key"), F.col("record_id").alias("id"))).select("id1", "id2")
+def cand_blocked(rows: DataFrame, cap: int | None) -> DataFrame:
+    """Pairs within name blocks of the first ``cap`` records each; of all records without a cap."""
+    capped = rows.where("block_key is not null") if cap is None else block_cap(rows, cap)
+    return pairs_of(capped.select(F.col("block_key").alias("key"), F.col("record_id").alias("id"))).select("id1", "id2")
 
 
 def cand_all_pairs(rows: DataFrame) -> DataFrame:

@@ -136,6 +136,9 @@ def part_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 query("block_cap", f"with {o.FX}, {_PB} select record_id, block_key, cast(nth as int) as nth from pc where nth <= 150")(lambda spark, d: m.block_cap(part_blocks(spark, d), 150))
 query("cand_blocked", f"with {o.FX}, {_PB} select a.record_id as id1, b.record_id as id2 from pc a join pc b on a.block_key = b.block_key and a.record_id < b.record_id where a.nth <= 20 and b.nth <= 20")(lambda spark, d: m.cand_blocked(part_blocks(spark, d), 20))
+# the caps of the reported method, which cand_blocked and its SQL do not reach
+query("cand_blocked_company")(lambda spark, d: m.cand_blocked(part_blocks(spark, d), company_settings().block_cap))
+query("cand_blocked_contact")(lambda spark, d: m.cand_blocked(part_blocks(spark, d), contact_settings().block_cap))
 query("cand_all_pairs", "select a.n_name as id1, b.n_name as id2 from nation a join nation b on a.n_name < b.n_name")(lambda spark, d: m.cand_all_pairs(table(spark, d, "nation").select(c("n_name").alias("record_id"))))
 for _key in ("anti_exclude", "except_pairs"):
     query(_key, f"{o.CONTACT} select id1, id2 from lft")(lambda spark, d: (lambda rows: m.anti_exclude(m.candidates(rows, contact_settings()), pipeline.deterministic("contact", rows)))(contacts(spark, d)))

@@ -68,7 +68,7 @@ class Settings:
     min_matching_dimensions: int
     use_blocking: bool
     blocking_min_candidates: int
-    block_cap: int
+    block_cap: int | None
     cross_domain_min_name_similarity: float = 0.95
     parts: tuple[str, ...] = field(default=(), repr=False)
 

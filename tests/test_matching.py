@@ -78,6 +78,18 @@ def test_settings_need_all_weights():
         company_settings(similarity_weights={"name": 1.0})
 
 
+def test_candidates_at_the_caps_of_the_method(spark):
+    from kindred.plans import catalog
+
+    d = "/root/testdata/sf0.01"
+    sizes = [r[0] for r in catalog.part_blocks(spark, d).where("block_key is not null").groupBy("block_key").count().select("count").collect()]
+    for name, cap in (("cand_blocked_company", 150), ("cand_blocked_contact", 100)):
+        assert catalog.QUERIES[name](spark, d).count() == sum(n * (n - 1) // 2 for n in (min(n, cap) for n in sizes)) > 5320
+    rows = spark.createDataFrame([(f"{i:03}", "k") for i in range(200)] + [("x", None)], "record_id string, block_key string")
+    assert m.cand_blocked(rows, None).count() == 200 * 199 // 2
+    assert m.candidates(rows, company_settings(block_cap=None)).count() == 200 * 199 // 2
+
+
 def test_block_cap_and_candidates(spark):
     rows = companies(spark, *({"name": f"Same {i:02}"} for i in range(40)))
     assert m.block_cap(rows, 10).count() == 10
