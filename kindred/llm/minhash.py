@@ -11,7 +11,8 @@ below the threshold are confirmed on the full sets.
 A pair at the threshold of 0.8 misses all of 40 bands of 4 rows with probability
 7e-10, so that in effect no link is lost.
 
-How Spark runs it. Documents with equal sets become one representative. Then, in
+How Spark runs it. Rows with equal sets become one representative, the least of their
+rows, which stands for the set whatever its doc_ids are. Then, in
 each bucket, all members are compared with its smallest one, never with each
 other, and confirmed links are joined to components. Only members of a bucket
 that still lie in different components are compared with one another, in blocks
@@ -193,8 +194,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     if bits not in (1, 2, 4, 8) or bands * rows > MOST:
         raise ValueError(f"bits must be 1, 2, 4 or 8, and bands * rows {MOST} at most")
     k, least = bands * rows, floor_of(threshold[0] / threshold[1], bands * rows, bits)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    by_text = F.struct("doc_id", F.xxhash64(text).alias("text_hash")).alias("doc")
 
     def sign(batch: list[bytes]) -> dict:
         sets = shingle_sets(batch, width)
@@ -211,26 +212,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
             "bits": [bitmap(s) if len(s) else None for s in sets],
         }
 
-    signed = storage.saved(map_texts(docs, sign, "n_shingles long, set_a long, set_b long, buckets array<long>, sig binary, bits binary", as_bytes=True), "signed")
+    found_sets = map_texts(docs.select(by_text, "text"), sign, "n_shingles long, set_a long, set_b long, buckets array<long>, sig binary, bits binary", as_bytes=True, key="doc")
+    signed = storage.saved(found_sets.select("doc.*", "n_shingles", "set_a", "set_b", "buckets", "sig", "bits", F.monotonically_increasing_id().alias("row")), "signed")
+    # rows that repeat a text under one doc_id, to read that text once
+    repeated = storage.saved(signed.where("doc_id is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_hash"), "repeated")
+    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
+    if not repeated.isEmpty():
+        texts = texts.join(repeated, ["doc_id", "text_hash"], "left_anti").unionByName(texts.join(repeated, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]))
     linkable = signed.where("doc_id is not null and n_shingles > 0")
     same = ["n_shingles", "set_a", "set_b"]
-    firsts = linkable.groupBy(*same).agg(F.min("doc_id").alias("first"))
-    chosen = linkable.join(firsts.select(F.col("first").alias("doc_id"), *same), ["doc_id", *same], "left_semi")
-    members = storage.saved(chosen.select(F.explode("buckets").alias("bucket"), F.col("doc_id").alias("id")), "buckets")
+    # a set's id is its least row
+    firsts = storage.saved(linkable.groupBy(*same).agg(F.min("doc_id").alias("first"), F.min("row").alias("id")), "sets")
+    chosen = linkable.join(firsts.select(F.col("id").alias("row")), "row", "left_semi")
+    members = storage.saved(chosen.select(F.explode("buckets").alias("bucket"), F.col("row").alias("id")), "buckets")
     sizes = members.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last"), F.count("*").alias("members")).where("centre <> last")
     sizes = storage.saved(sizes, "bucket-sizes")
     star = storage.saved(members.join(sizes, "bucket").where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        taking_part = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        taking_part = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
 
         def with_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
                 frame["items"] = [s.tobytes() for s in shingle_sets(list(frame["text"]), width)]
-                yield frame[["doc_id", "items", "sig"]]
+                yield frame[["row", "items", "sig"]]
 
-        needed = signed.select("doc_id", "sig").where("sig is not null").join(taking_part, "doc_id", "left_semi")
-        sets = texts.where("doc_id is not null").join(needed, "doc_id").mapInPandas(with_sets, f"doc_id {kind}, items binary, sig binary")
+        needed = signed.select("doc_id", "text_hash", "row", "sig").where("sig is not null").join(taking_part, "row", "left_semi")
+        sets = texts.join(needed, ["doc_id", "text_hash"]).select("row", "text", "sig").mapInPandas(with_sets, "row long, items binary, sig binary")
         sets = storage.saved(sets, "sets")
 
         def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,8 +254,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
                     good.append(threshold[1] * shared >= threshold[0] * (len(s) + len(t) - shared))
                 yield frame.loc[good, ["a", "b"]]
 
-        side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("items").alias(f"items_{c}"), F.col("sig").alias(f"sig_{c}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b", "sig_a", "sig_b").mapInPandas(compare, f"a {kind}, b {kind}")
+        side = lambda c: sets.select(F.col("row").alias(c), F.col("items").alias(f"items_{c}"), F.col("sig").alias(f"sig_{c}"))
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b", "sig_a", "sig_b").mapInPandas(compare, "a long, b long")
 
     links = storage.saved(confirmed(star), "links")
     labels = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
@@ -259,7 +267,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     n = F.ceil(F.col("members") / block).cast("int")
     own = F.pmod(F.xxhash64("id"), n).cast("int")
     open_members = placed.join(mixed, "bucket", "left_semi").select("bucket", "id", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
-    shown = signed.select(F.col("doc_id").alias("id"), "n_shingles", "buckets", "sig", "bits").where("sig is not null").dropDuplicates(["id"])
+    shown = signed.select(F.col("row").alias("id"), "n_shingles", "buckets", "sig", "bits").where("sig is not null")
     open_members = open_members.join(shown, "id").select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n_shingles", "buckets", "sig", "bits")
 
     def cross(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -279,7 +287,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
         return Members(group, k, bits, least, threshold).pairs(group["i"].iloc[0], group["j"].iloc[0])
 
     sorted_members = open_members.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    rest = sorted_members.mapInPandas(cross, f"a {kind}, b {kind}").distinct().join(star, ["a", "b"], "left_anti")
+    rest = sorted_members.mapInPandas(cross, "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
     rest = storage.saved(rest, "pairs")
     if not rest.isEmpty():
         more = storage.saved(confirmed(rest), "links")
@@ -290,9 +298,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
             nodes = labels.select("node", F.col("component").alias("node_of")).unionByName(over.select("node", F.col("node").alias("node_of")))
             labels = nodes.join(over.select(F.col("node").alias("node_of"), "component"), "node_of", "left").groupBy("node").agg(F.min(F.coalesce("component", "node_of")).alias("component"))
 
-    # a document's component: that of its set's representative; a doc_id that has several sets joins them
-    of_set = linkable.select("doc_id", *same).join(firsts, same).join(labels.select(F.col("node").alias("first"), "component"), "first", "left")
-    of_doc = of_set.groupBy("doc_id").agg(F.min(F.coalesce("component", "first")).alias("component"))
+    # a document's component: that of its sets; a doc_id that has several sets joins them
+    of_set = firsts.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select(*same, "first", F.coalesce("component", "id").alias("part"))
+    doc_parts = storage.saved(linkable.select("doc_id", *same).join(of_set, same).select("doc_id", "part"), "parts")
+    of_doc = doc_parts.groupBy("doc_id").agg(F.min("part").alias("part"), F.max("part").alias("last"))
+    joining = storage.saved(doc_parts.join(of_doc.where("part <> last").select("doc_id", F.col("part").alias("src")), "doc_id").select("src", F.col("part").alias("dst")).where("src <> dst").distinct(), "joining")
+    least = of_doc.groupBy("part").agg(F.min("doc_id").alias("component"))
+    if not joining.isEmpty():
+        over = connected_components(joining).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+        of_doc = of_doc.join(over, "part", "left").select("doc_id", F.coalesce("whole", "part").alias("part"))
+        least = of_doc.groupBy("part").agg(F.min("doc_id").alias("component"))
+    of_doc = of_doc.select("doc_id", "part").join(least, "part").select("doc_id", "component")
     component = F.coalesce("component", "doc_id")
     return signed.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -138,3 +138,19 @@ def test_placing():
     found = sharding.place(v, 3)
     loads = np.array([v[found == s].sum(0) for s in range(3)])
     assert (loads.max(0) - loads.min(0) <= v[0].sum()).all()  # no more than one vector
+
+
+def test_repeated_ids_with_different_texts(spark):
+    words = lambda k, n=60: " ".join(f"{k}w{i}" for i in range(n))
+    rows = [(5, words("a")), (5, words("b")), (6, words("a") + " more"), (7, words("b") + " more"), (2, words("c")), (1, words("c")), (1, words("d")), (3, words("d")), (9, words("e"))]
+    rows += [(8, words("f"))] * 300 + [(10, words("f") + " more")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs, width=2).collect()}
+    assert found == {(5, 5), (6, 5), (7, 5), (1, 1), (2, 1), (3, 1), (9, 9), (8, 8), (10, 8)}
+    assert minhash.near_duplicates(docs, width=2).count() == len(rows)
+
+
+def test_sets_of_an_id_join_transitively(spark):
+    words = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, words("a")), (2, words("b")), (4, words("a")), (4, words("b")), (3, words("b") + " more")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(docs, width=2).collect()} == {(1, 1), (2, 1), (4, 1), (3, 1)}
