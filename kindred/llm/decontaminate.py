@@ -9,18 +9,22 @@ Items are in blocks of ``BLOCK``, and each term has its maximum over all items a
 over each block: a passage whose sum of maxima stays below 1 is skipped, then each
 block whose sum does, and only the postings of the blocks left are added up. Frequent
 words, whose maxima are small, are set aside until a block may reach 1 without them.
+What passes is searched by block-max WAND over the postings (``Index.retrieve``).
 Retrieved items are verified: of the word trigrams of the item's question and of
-its answer, shares of at least ``overlap`` must occur in the passage.
+its answer, shares of at least ``overlap`` must occur in the passage. An item's answer
+is what follows its last '?' or 'Answer:'; without such a mark, or with nothing after
+it, the share is that of the whole item.
 
-An item's answer is what follows its last '?' or 'Answer:'; without one, its last
-sentence, and there is none if it has but one sentence.
-
-How Spark runs it. Items are sorted by length and read in index blocks of at most
-``index_bytes`` of text; the check of that size decides how many, and each block is
-broadcast in turn and meets all documents in a scan without a shuffle.
+How Spark runs it. Items in the order of their lengths fill index blocks of about
+``index_bytes`` of text, each built in a task of its own and written to the shared
+folder. Blocks of at most about ``pass_bytes`` together, a size that is checked, are
+broadcast and meet all documents in one scan without a shuffle; more blocks take more
+scans. Texts are worked on in pieces of about 1 MB.
 
 Defined cases: null texts and items without words match nothing; repeated rows are
-searched each; items with equal texts are all reported; an empty table on either
+searched each; items with equal texts are all reported, and so are items with equal or
+null item_id, each; of passages of a text that hold an item equally well the first is
+reported; a text of any length is searched whole; an empty table on either
 side gives no rows; other columns are ignored by ``leaks`` and kept by
 ``drop_contaminated``; rows without doc_id stay in the latter unless they leak.
 """
@@ -31,8 +35,9 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from .. import storage
 from . import words
@@ -40,6 +45,8 @@ from .rows import filter_texts, map_texts
 
 K1, B = 1.2, 0.75
 BLOCK = 16
+#: Passages are judged together as long as a number for each of them and each item makes no more numbers than this.
+CELLS = 500_000
 #: Words are runs of letters, digits and bytes beyond ASCII.
 BREAK = np.array([not (chr(c).isalnum() or c >= 128) for c in range(256)])
 
@@ -48,13 +55,11 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return words.word_hashes(texts, space=BREAK)
 
 
-def question_and_answer(text: str) -> tuple[str, str]:
+def question_and_answer(text: str) -> list[str]:
+    """The parts of an item that must occur each: question and answer where a mark parts them, else the whole."""
     marks = list(re.finditer(r"\?|(?i:\banswer\s*:)", text))
     cut = marks[-1].end() if marks else 0
-    if not cut or not text[cut:].strip():
-        ends = [m.end() for m in re.finditer(r"[.!?]\s+", text.rstrip())]
-        cut = ends[-1] if ends else len(text)
-    return text[:cut], text[cut:]
+    return [text[:cut], text[cut:]] if cut and text[cut:].strip() else [text]
 
 
 def grams(hashed: np.ndarray, n: int = 3) -> np.ndarray:
@@ -74,39 +79,67 @@ def expanded(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Index:
-    """Items of one index block."""
-
-    def __init__(self, items: list[tuple[object, str]], document_frequency: dict[int, int], n_items: int, mean_length: float, share: float) -> None:
-        self.ids = [i for i, _ in items]
-        hashed = [tokens([t.encode()])[0] for _, t in items]
-        self.longest = max((len(h) for h in hashed), default=0)
-        parts = [question_and_answer(t) for _, t in items]
-        self.checks = [[(np.unique(grams(h)), min(3, len(h))) for x in p if len(h := tokens([x.encode()])[0])] for p in parts]
-        term, item, impact = [], [], []
-        for i, h in enumerate(hashed):
+    """Items of one index block, as arrays that one buffer holds: an index that is read shares its memory.
+
+    Items have numbers from 0. Postings lie by term and item; each term has its greatest
+    impact over all items and over each block of ``BLOCK`` items.
+    """
+
+    #: Name and type of each array, in the order of the buffer.
+    LAYOUT = (
+        ("terms", "<u8"), ("impact", "<f4"), ("most", "<f4"), ("block_most", "<f4"), ("item", "<i4"), ("first", "<i4"), ("last", "<i4"), ("block", "<i4"), ("block_first", "<i4"), ("block_last", "<i4"),
+        ("check_item", "<i4"), ("check_first", "<i4"), ("check_last", "<i4"), ("check_words", "<i4"), ("check_grams", "<u8"),
+    )
+
+    @classmethod
+    def build(cls, texts: list[str], frequencies: list[dict[int, int]], n_items: int, mean_length: float, share: float) -> bytes:
+        """The buffer of an index; frequencies: of each text, the items that hold a term, by term."""
+        term, item, impact, checks = [], [], [], []
+        longest = 0
+        for i, (text, frequency) in enumerate(zip(texts, frequencies, strict=True)):
+            h = tokens([text.encode()])[0]
+            longest = max(longest, len(h))
             t, c = np.unique(h, return_counts=True)
-            df = np.array([document_frequency.get(int(x), 1) for x in t.view(np.int64)])
+            if not len(t):
+                continue
+            df = np.array([frequency.get(x, 1) for x in t.view(np.int64).tolist()])
             w = np.log(1 + (n_items - df + 0.5) / (df + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(h) / max(mean_length, 1e-9)))
-            if len(t):
-                term.append(t)
-                item.append(np.full(len(t), i))
-                impact.append(w / (share * w.sum()))
+            term.append(t)
+            item.append(np.full(len(t), i))
+            impact.append(w / (share * w.sum()))
+            for part in question_and_answer(text):
+                if len(h := tokens([part.encode()])[0]):
+                    checks.append((i, min(3, len(h)), np.unique(grams(h))))
         term, item, impact = (np.concatenate(x) if x else np.empty(0, d) for x, d in ((term, np.uint64), (item, np.int64), (impact, float)))
         order = np.lexsort((item, term))
-        term, self.item, self.impact = term[order], item[order], impact[order]
-        self.terms, self.first = np.unique(term, return_index=True)
-        self.last = np.r_[self.first[1:], len(term)].astype(np.int64)
-        self.most = np.maximum.reduceat(self.impact, self.first) if len(self.terms) else np.empty(0)
-        place = np.repeat(np.arange(len(self.terms)), self.last - self.first)
-        key = place * (len(items) // BLOCK + 1) + self.item // BLOCK
-        blocks, start = np.unique(key, return_index=True)
-        self.block = blocks % (len(items) // BLOCK + 1)
-        self.block_most = np.maximum.reduceat(self.impact, start) if len(blocks) else np.empty(0)
-        self.block_first = np.searchsorted(blocks // (len(items) // BLOCK + 1), np.arange(len(self.terms)))
-        self.block_last = np.r_[self.block_first[1:], len(blocks)].astype(np.int64)
+        term, item, impact = term[order], item[order], impact[order].astype("<f4")
+        terms, first = np.unique(term, return_index=True)
+        place = np.repeat(np.arange(len(terms)), np.diff(np.r_[first, len(term)]))
+        width = len(texts) // BLOCK + 1
+        blocks, start = np.unique(place * width + item // BLOCK, return_index=True)
+        block_first = np.searchsorted(blocks // width, np.arange(len(terms)))
+        sizes = np.array([len(g) for _, _, g in checks], np.int64)
+        found = {
+            "terms": terms, "impact": impact, "most": np.maximum.reduceat(impact, first) if len(terms) else [], "block_most": np.maximum.reduceat(impact, start) if len(blocks) else [], "item": item, "first": first,
+            "last": np.r_[first[1:], len(term)] if len(terms) else [], "block": blocks % width, "block_first": block_first, "block_last": np.r_[block_first[1:], len(blocks)] if len(terms) else [],
+            "check_item": [i for i, _, _ in checks], "check_first": np.cumsum(sizes) - sizes, "check_last": np.cumsum(sizes), "check_words": [m for _, m, _ in checks], "check_grams": np.concatenate([g for _, _, g in checks]) if checks else [],
+        }
+        arrays = [np.asarray(found[name]).astype(kind) for name, kind in cls.LAYOUT]
+        head = np.array([len(texts), longest, *(len(x) for x in arrays)], "<i8")
+        return b"".join([head.tobytes(), *(x.tobytes() + b"\0" * (-x.nbytes % 8) for x in arrays)])
+
+    def __init__(self, buffer: bytes) -> None:
+        head = np.frombuffer(buffer, "<i8", 2 + len(self.LAYOUT))
+        self.n, self.longest = int(head[0]), int(head[1])
+        at = head.nbytes
+        for (name, kind), size in zip(self.LAYOUT, head[2:].tolist(), strict=True):
+            x = np.frombuffer(buffer, kind, size, at)
+            setattr(self, name, x)
+            at += x.nbytes + -x.nbytes % 8
         self.by_most = np.argsort(self.most, kind="stable")  # terms from the least maximum to the greatest
         self.rank = np.empty_like(self.by_most)
         self.rank[self.by_most] = np.arange(len(self.by_most))
+        self.checks_of = np.searchsorted(self.check_item, np.arange(self.n + 1))
         bits = max(8, (4 * len(self.terms)).bit_length())
         self.shift = np.uint64(64 - bits)
         self.maybe = np.zeros(1 << bits, bool)  # a quick test before the search for a term
@@ -122,17 +155,51 @@ class Index:
         return out
 
     def retrieve(self, terms: np.ndarray) -> list[tuple[int, float]]:
-        """Items that the set of terms lifts to 1."""
-        spans = lambda a, b: np.concatenate([np.arange(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)])
-        entries = spans(self.block_first[terms], self.block_last[terms])
-        ceiling = np.bincount(self.block[entries], self.block_most[entries])
-        alive = ceiling >= 1 - 1e-9
-        if not alive.any():
-            return []
-        postings = spans(self.first[terms], self.last[terms])
-        postings = postings[alive[self.item[postings] // BLOCK]]
-        score = np.bincount(self.item[postings], self.impact[postings])
-        return [(i, float(score[i])) for i in np.flatnonzero(score >= 1 - 1e-9).tolist()]
+        """Items that the set of terms lifts to 1, by block-max WAND.
+
+        Each term has a cursor in its postings. Terms are kept in the order of their
+        cursors' items; the pivot is the first at which the sum of maxima reaches 1, as
+        no item before the pivot's can. If the maxima of the pivot's block do not reach
+        1 either, the cursors go on behind that block; else to the pivot's item, which is
+        scored once all of them stand on it.
+        """
+        enough = 1 - 1e-6
+        at, last = self.first[terms].astype(np.int64), self.last[terms].astype(np.int64)
+        out = []
+        while len(terms):
+            item = self.item[at]
+            order = np.argsort(item, kind="stable")
+            terms, at, last, item = terms[order], at[order], last[order], item[order]
+            reach = np.flatnonzero(np.cumsum(self.most[terms], dtype=float) >= enough)
+            if not len(reach):
+                break
+            pivot = int(item[reach[0]])
+            upto = int(np.searchsorted(item, pivot, "right"))  # cursors at the pivot's item or before it
+            if self.ceiling(terms[:upto], pivot // BLOCK) < enough:
+                beyond = (pivot // BLOCK + 1) * BLOCK
+                goal = min(beyond, int(item[upto])) if upto < len(item) else beyond
+            elif item[0] == pivot:
+                score = float(self.impact[at[:upto]].sum(dtype=float))
+                if score >= enough:
+                    out.append((pivot, score))
+                goal = pivot + 1
+            else:
+                goal = pivot
+            for k in range(upto):
+                if item[k] < goal:
+                    at[k] += np.searchsorted(self.item[at[k] : last[k]], goal)
+            open_ = at < last
+            terms, at, last = terms[open_], at[open_], last[open_]
+        return out
+
+    def ceiling(self, terms: np.ndarray, block: int) -> float:
+        """The sum of the terms' maxima in a block."""
+        total = 0.0
+        for a, z in zip(self.block_first[terms].tolist(), self.block_last[terms].tolist(), strict=True):
+            k = a + int(np.searchsorted(self.block[a:z], block))
+            if k < z and self.block[k] == block:
+                total += float(self.block_most[k])
+        return total
 
     def promising(self, place: np.ndarray, counts: np.ndarray, starts: np.ndarray, n: np.ndarray, before: np.ndarray, step: int) -> Iterator[tuple[int, np.ndarray]]:
         """Passages, with their terms, of which the maxima of some block may reach 1.
@@ -160,8 +227,8 @@ class Index:
         if not len(strong):
             return
         group = np.repeat(np.arange(len(first)), size)[strong]
-        width, items = int(self.block.max()) + 1, len(self.ids)
-        bounds = np.searchsorted(group, np.arange(0, len(first) + (each := max(1, 4_000_000 // items)), each))
+        width, items = int(self.block.max()) + 1, self.n
+        bounds = np.searchsorted(group, np.arange(0, len(first) + (each := max(1, CELLS // items)), each))
         for low, high in zip(bounds, bounds[1:], strict=False):  # so many passages that a number for each and item is kept
             if low == high:
                 continue
@@ -195,89 +262,117 @@ class Index:
         z = np.minimum(a + 2 * step, ends[text])
         for k, terms in self.promising(place, counts, starts, n, before, step):
             for i, score in self.retrieve(terms):
-                passage = {m: grams(hashed[a[k] : z[k]], m) for m in {m for _, m in self.checks[i]}}
-                least = min((np.isin(g, passage[m]).mean() for g, m in self.checks[i]), default=0.0)
+                least = min((self.held(c, hashed[a[k] : z[k]]) for c in range(self.checks_of[i], self.checks_of[i + 1])), default=0.0)
                 key = (int(text[k]), i)
-                if least >= overlap and (key not in best or (least, score) > best[key][4:2:-1]):
-                    best[key] = (int(a[k] - starts[text[k]]), int(z[k] - starts[text[k]]), key[1], score, float(least))
-        return [(t, i, x[0], x[1], x[3], x[4]) for (t, i), x in sorted(best.items())]
-
-
-def indexes(items: DataFrame, share: float, index_bytes: int) -> list[Index]:
-    """Index blocks of all items, from the shortest to the longest."""
-    rows = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+                if least >= overlap and (key not in best or (least, score) > best[key][2:4]):
+                    best[key] = (int(a[k] - starts[text[k]]), int(z[k] - starts[text[k]]), float(least), score)
+        return [(t, i, first, last, score, least) for (t, i), (first, last, least, score) in sorted(best.items())]
+
+    def held(self, check: int, passage: np.ndarray) -> float:
+        """Share of the grams of a part that occur in the passage."""
+        wanted = self.check_grams[self.check_first[check] : self.check_last[check]]
+        return float(np.isin(wanted, grams(passage, int(self.check_words[check]))).mean())
+
+
+def indexes(items: DataFrame, share: float, index_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Tables (block, size, buffer) of the index blocks and (block, item, item_id) of what is in them.
+
+    Items, from the shortest to the longest, fill blocks of about ``index_bytes`` of text;
+    a longer item has a block of its own. Each block is built in a task of its own.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = items.select("item_id", text.alias("text"), F.octet_length(text).cast("long").alias("bytes"), F.xxhash64(text).alias("tie"))
+    total = rows.agg(F.sum("bytes")).first()[0] or 0
+    if total <= index_bytes:
+        blocked = rows.withColumn("block", F.lit(0).cast("long"))
+    else:
+        blocked = storage.running(rows, F.col("bytes"), "bytes", "tie").withColumn("block", F.floor(F.col("before") / index_bytes))
+    blocked = storage.saved(blocked.select("block", "item_id", "text", F.monotonically_increasing_id().alias("row")), "items")
 
     def count(texts: list[bytes]) -> dict:
         hashed, counts = tokens(texts)
         ends = np.cumsum(counts)
         return {"terms": [np.unique(hashed[z - n : z]).view(np.int64) for z, n in zip(ends, counts, strict=True)], "length": counts}
 
-    listed = storage.saved(map_texts(rows, count, "terms array<long>, length long", as_bytes=True, key="item_id"), "items")
+    listed = storage.saved(map_texts(blocked, count, "terms array<long>, length long", as_bytes=True, key="row"), "item-terms")
     n_items, mean = listed.where("length > 0").agg(F.count("*"), F.avg("length")).first()
-    if not n_items:
-        return []
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0]
-    n = storage.parts(total, index_bytes)
-    cuts = listed.approxQuantile("length", [i / n for i in range(1, n)], 0.001) if n > 1 else []
-    frequency = storage.saved(listed.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")), "terms")
-    sized = rows.join(listed.select("item_id", "length").distinct(), "item_id")
-    out = []
-    # a block's items by length, then by hash where one length has more than a block
-    for low, high in zip([0.0, *cuts], [*cuts, float("inf")], strict=True):
-        inside = sized.where((F.col("length") > low) & (F.col("length") <= high)) if high != float("inf") else sized.where(F.col("length") > low)
-        size = inside.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        pieces = storage.parts(size, 2 * index_bytes)
-        for piece in range(pieces):
-            some = inside.where(F.pmod(F.xxhash64("item_id"), F.lit(pieces)) == piece)
-            own = listed.join(some.select("item_id"), "item_id", "left_semi").select(F.explode("terms").alias("term")).distinct()
-            df = {r[0]: r[1] for r in frequency.join(own, "term", "left_semi").collect()}  # at most the words of one block
-            block = [(r[0], r[1]) for r in some.select("item_id", "text").orderBy("length", "item_id").collect()]  # at most about 2 * index_bytes
-            if block:
-                out.append(Index(block, df, n_items, mean, share))
-    return out
-
+    held = listed.select("row", F.explode("terms").alias("term"))
+    frequency = held.groupBy("term").agg(F.count("*").alias("n"))
+    of_item = held.join(frequency, "term").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("frequency"))
+    full = blocked.join(of_item, "row").select("block", "row", "text", "frequency")
+
+    def build(table: pa.Table) -> pa.Table:
+        table = table.sort_by("row")
+        buffer = Index.build(table.column("text").to_pylist(), [dict(x) for x in table.column("frequency").to_pylist()], n_items, mean, share)
+        return pa.table({"block": table.column("block").slice(0, 1), "size": pa.array([len(buffer)], pa.int64()), "buffer": pa.array([buffer], pa.binary())})
+
+    built = storage.saved(full.groupBy("block").applyInArrow(build, "block long, size long, buffer binary"), "index")
+    # the place of an item in its block: the order of rows, as above
+    place = F.row_number().over(Window.partitionBy("block").orderBy("row")) - 1
+    names = blocked.join(of_item.select("row"), "row", "left_semi").select("block", place.alias("item"), "item_id")
+    return built, storage.saved(names, "item-names")
+
+
+def passes(built: DataFrame, pass_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
+    """The index blocks in runs of at most about ``pass_bytes``, one run at a time on the driver."""
+    sizes = built.select("block", "size").orderBy("block").collect()  # two numbers for each block
+    run, held = [], 0
+    for block, size in [*sizes, (None, 0)]:
+        if run and (block is None or held + size > pass_bytes):
+            yield [(r.block, bytes(r.buffer)) for r in built.where(F.col("block").between(run[0], run[-1])).orderBy("block").collect()]
+            run, held = [], 0
+        run.append(block)
+        held += size
+
+
+def searcher(shared, overlap: float):
+    """A function from texts to hits (text, block, item, first word, last word, score, share) in the index blocks of a broadcast."""
+    opened: list[tuple[int, Index]] = []
+
+    def find(texts: list[bytes]) -> list[tuple]:
+        if not opened:
+            opened.extend((block, Index(buffer)) for block, buffer in shared.value)
+        out = []
+        for a, b in words.blocks(texts, 1_000_000):
+            hashed, counts = tokens(texts[a:b])
+            for block, index in opened:
+                out += [(t + a, block, *rest) for t, *rest in index.search(hashed, counts, overlap)]
+        return out
 
-def find(index, texts: list[bytes], overlap: float) -> list[tuple]:
-    out = []
-    for a, b in words.blocks(texts):
-        out += [(t + a, *rest) for t, *rest in index.search(*tokens(texts[a:b]), overlap)]
-    return out
+    return find
 
 
-def leaks(docs: DataFrame, items: DataFrame, share: float = 0.6, overlap: float = 0.6, index_bytes: int = 2 << 20) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, share: float = 0.6, overlap: float = 0.6, index_bytes: int = 2 << 20, pass_bytes: int = 128 << 20) -> DataFrame:
     """A row for each document and item that it holds: doc_id, item_id, first_word and
     last_word (exclusive) of the best passage, score (1: the least that is retrieved),
     overlap (the lower share of the question's and the answer's trigrams)."""
     spark = docs.sparkSession
-    item_type = items.schema["item_id"].dataType.simpleString()
-    found = None
-    for index in indexes(items, share, index_bytes):
-        shared = spark.sparkContext.broadcast(index)
+    built, names = indexes(items, share, index_bytes)
+    columns = "block long, item int, first_word long, last_word long, score double, overlap double"
+    found = spark.createDataFrame([], StructType([docs.schema["doc_id"], *StructType.fromDDL(columns).fields]))
+    for blocks in passes(built, pass_bytes):
+        shared = spark.sparkContext.broadcast(blocks)
 
-        def search(texts: list[bytes], shared=shared) -> dict:
+        def search(texts: list[bytes], find=searcher(shared, overlap)) -> dict:
             hits: list[list] = [[] for _ in texts]
-            for t, i, a, z, score, least in find(shared.value, texts, overlap):
-                hits[t].append({"item": i, "first_word": a, "last_word": z, "score": score, "overlap": least})
+            for t, *hit in find(texts):
+                hits[t].append(dict(zip(("block", "item", "first_word", "last_word", "score", "overlap"), hit, strict=True)))
             return {"hits": hits}
 
-        rows = map_texts(docs, search, "hits array<struct<item: int, first_word: long, last_word: long, score: double, overlap: double>>", as_bytes=True)
-        names = spark.createDataFrame(pd.DataFrame({"item": range(len(index.ids)), "item_id": [str(i) for i in index.ids]}), "item int, item_id string")
-        hit = rows.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
-        hit = hit.join(F.broadcast(names), "item").select("doc_id", F.col("item_id").cast(item_type).alias("item_id"), "first_word", "last_word", "score", "overlap")
-        found = hit if found is None else found.unionByName(hit)
-    if found is None:
-        found = spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {item_type}, first_word long, last_word long, score double, overlap double")
-    return found
+        rows = map_texts(docs, search, "hits array<struct<block: long, item: int, first_word: long, last_word: long, score: double, overlap: double>>", as_bytes=True)
+        found = found.unionByName(rows.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*"))
+    return found.join(names, ["block", "item"]).select("doc_id", "item_id", "first_word", "last_word", "score", "overlap")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, share: float = 0.6, overlap: float = 0.6, index_bytes: int = 2 << 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, share: float = 0.6, overlap: float = 0.6, index_bytes: int = 2 << 20, pass_bytes: int = 128 << 20) -> DataFrame:
     """The rows of docs whose text holds no item, with all their columns."""
-    for index in indexes(items, share, index_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    built, _ = indexes(items, share, index_bytes)
+    for blocks in passes(built, pass_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(blocks)
 
-        def keep(texts: list[str | None], shared=shared) -> list[bool]:
+        def keep(texts: list[str | None], find=searcher(shared, overlap)) -> list[bool]:
             good = [True] * len(texts)
-            for t, *_ in find(shared.value, [(x or "").encode() for x in texts], overlap):
+            for t, *_ in find([(x or "").encode() for x in texts]):
                 good[t] = False
             return good
 

@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .. import storage
@@ -45,6 +46,8 @@ from .rows import map_texts
 
 _random = np.random.Generator(np.random.PCG64(7))
 MOST = 512
+#: Bytes of text whose sets are made together.
+PIECE = 500_000
 SCALE = _random.integers(1, 2**63, MOST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFT = _random.integers(1, 2**63, MOST, dtype=np.uint64)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -229,35 +232,49 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     sizes = storage.saved(sizes, "bucket-sizes")
     star = storage.saved(members.join(sizes, "bucket").where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
 
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """Pairs that their sizes and the estimate of their packed signatures allow to be links."""
+
+        def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if len(frame):
+                    x, y = (np.frombuffer(b"".join(frame[c]), np.uint64).reshape(len(frame), -1) for c in ("sig_a", "sig_b"))
+                    yield frame.loc[similarity(x, y, k, bits) >= least, ["a", "b"]]
+
+        side = lambda c: signed.where("sig is not null").select(F.col("row").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").where(threshold[1] * F.least("n_a", "n_b") >= threshold[0] * F.greatest("n_a", "n_b"))
+        return storage.saved(both.select("a", "b", "sig_a", "sig_b").mapInPandas(judge, "a long, b long"), "plausible")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
+        """The plausible ones of the pairs of which the full sets are similar. A set travels to the first
+        member of its pairs, and with each pair to the second."""
+        pairs = plausible(pairs)
         taking_part = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
 
         def with_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                frame["items"] = [s.tobytes() for s in shingle_sets(list(frame["text"]), width)]
-                yield frame[["row", "items", "sig"]]
+                texts = list(frame["text"])
+                for start, end in words.blocks(texts, PIECE):
+                    yield pd.DataFrame({"row": frame["row"].iloc[start:end], "items": [s.tobytes() for s in shingle_sets(texts[start:end], width)]})
 
-        needed = signed.select("doc_id", "text_hash", "row", "sig").where("sig is not null").join(taking_part, "row", "left_semi")
-        sets = texts.join(needed, ["doc_id", "text_hash"]).select("row", "text", "sig").mapInPandas(with_sets, "row long, items binary, sig binary")
-        sets = storage.saved(sets, "sets")
+        needed = signed.select("doc_id", "text_hash", "row").where("n_shingles > 0").join(taking_part, "row", "left_semi")
+        sets = storage.saved(texts.join(needed, ["doc_id", "text_hash"]).select("row", "text").mapInPandas(with_sets, "row long, items binary"), "sets")
 
-        def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                if not len(frame):
-                    continue
-                x, y = (np.frombuffer(b"".join(frame[c]), np.uint64).reshape(len(frame), -1) for c in ("sig_a", "sig_b"))
-                frame = frame[similarity(x, y, k, bits) >= least]
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
                 good = []
-                for s, t in zip(frame["items_a"], frame["items_b"], strict=True):
-                    s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+                for x, y in zip(batch.column("items_a"), batch.column("items_b"), strict=True):
+                    s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                     shared = len(np.intersect1d(s, t, assume_unique=True))
                     good.append(threshold[1] * shared >= threshold[0] * (len(s) + len(t) - shared))
-                yield frame.loc[good, ["a", "b"]]
+                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-        side = lambda c: sets.select(F.col("row").alias(c), F.col("items").alias(f"items_{c}"), F.col("sig").alias(f"sig_{c}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "items_a", "items_b", "sig_a", "sig_b").mapInPandas(compare, "a long, b long")
+        side = lambda c: sets.select(F.col("row").alias(c), F.col("items").alias(f"items_{c}"))
+        found = storage.saved(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "items_a", "items_b").mapInArrow(compare, "a long, b long"), "links")
+        storage.discard(sets, pairs)
+        return found
 
-    links = storage.saved(confirmed(star), "links")
+    links = confirmed(star)
     labels = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
     # members of a bucket that lie in different components still
@@ -289,8 +306,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     sorted_members = open_members.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     rest = sorted_members.mapInPandas(cross, "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
     rest = storage.saved(rest, "pairs")
+    storage.discard(members, sizes, star, placed)
     if not rest.isEmpty():
-        more = storage.saved(confirmed(rest), "links")
+        more = confirmed(rest)
         if not more.isEmpty():
             joined = more.join(labels.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("y")), "b", "left")
             joined = joined.select(F.coalesce("x", "a").alias("src"), F.coalesce("y", "b").alias("dst"))
@@ -315,11 +333,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents that ``near_duplicates`` keeps, one row for each doc_id, with all their columns.
-    Of rows that repeat a doc_id one stays; rows without doc_id stay."""
+    Of rows that repeat a doc_id the one with the least text stays (of equal texts, that with the
+    least other columns, as JSON); rows without doc_id stay."""
     found = near_duplicates(docs, **options)
     kept = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("copies"))
     kept = storage.saved(kept.where("kept"), "kept")
     one = docs.join(kept.where("copies = 1").select("doc_id"), "doc_id", "left_semi")
     if not kept.where("copies > 1").isEmpty():
-        one = one.unionByName(docs.join(kept.where("copies > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        repeated = docs.join(kept.where("copies > 1").select("doc_id"), "doc_id", "left_semi")
+        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+        order = F.struct(F.col("text"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in rest))) if rest else F.lit(""))
+        chosen = repeated.groupBy("doc_id").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), order).alias("row"))
+        one = one.unionByName(chosen.select("row.*"))
     return one.unionByName(docs.where("doc_id is null"))

@@ -20,6 +20,7 @@ LOWER[65:91] += 32
 FACTOR = 0x5851F42D4C957F2D
 INVERSE = pow(FACTOR, -1, 2**64)
 #: Powers are taken within pieces of this many bytes, so that their table is small.
+PIECE = 1 << 18
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -67,14 +68,27 @@ def spans(texts: list[bytes], space: np.ndarray = SPACE) -> tuple[np.ndarray, np
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """Hashes of the words at the places; bytes are read in pieces of ``PIECE``, so that little more than a number a word is held."""
     if not len(starts):
         return np.empty(0, np.uint64)
     values = BYTES[LOWER] if lower else BYTES
     n = len(data)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(values[data] * powers(FACTOR, n), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(INVERSE, n)[starts])
+    at_start, at_end, inverse = (np.empty(len(starts), np.uint64) for _ in range(3))  # sums before the place; powers of the inverse
+    before, power, unpower = 0, 1, 1
+    step, unstep = pow(FACTOR, PIECE, 2**64), pow(INVERSE, PIECE, 2**64)
+    for c in range(0, n, PIECE):
+        size = min(PIECE, n - c)
+        sums = np.empty(size + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(values[data[c : c + size]] * powers(FACTOR, size), out=sums[1:])
+        for places, out in ((starts, at_start), (ends, at_end)):
+            a, b = np.searchsorted(places, [c, c + size])
+            out[a:b] = np.uint64(before) + sums[places[a:b] - c] * np.uint64(power)
+            if places is starts:
+                inverse[a:b] = powers(INVERSE, size)[places[a:b] - c] * np.uint64(unpower)
+        before = (before + int(sums[-1]) * power) % 2**64
+        power, unpower = power * step % 2**64, unpower * unstep % 2**64
+    return mix((at_end - at_start) * inverse)
 
 
 def word_hashes(texts: list[bytes], lower: bool = True, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
