@@ -1,7 +1,8 @@
 """Quality rules on repetition inside a text, by suffix arrays over words.
 
-Suffixes of each text are sorted by prefix doubling, many texts at once; the ranks
-of each doubling give the longest common prefix of neighbours. A suffix's longest
+Suffixes of each text are sorted by prefix doubling, many texts at once; the longest
+common prefixes of neighbours are found by comparing hashes of runs, in lengths that
+double and then halve, so that a few numbers a word are held whatever the repeats. A suffix's longest
 repeat is the longer of its two prefixes, the value of the deepest LCP interval it
 lies in, so that the union of the spans of all maximal repeated substrings of at
 least ``least`` words is the union of these. A text fails when they cover more
@@ -10,7 +11,8 @@ than ``most_covered`` of its words or one is longer than ``most_longest`` words.
 How Spark runs it: each text alone, without a shuffle, in the scan's partitions.
 
 Defined cases: null text is an empty one; texts without words have no repeats;
-repeated rows are judged each; an empty table gives no rows; other columns are
+repeated rows are judged each; an empty table gives no rows; a text of any length is
+judged whole; measures that equal a limit pass; other columns are
 ignored by ``repetition`` and kept by ``drop_repetitive``.
 """
 
@@ -26,62 +28,110 @@ SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
 
-def longest_repeats(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For each word of each text, the length of the longest substring that starts there
-    and starts at another word of the text too."""
+class Runs:
+    """Hashes of all runs of a sequence of numbers, from two sums over powers of a base modulo a prime."""
+
+    PRIMES = (2_147_483_647, 2_147_483_629)
+    BASES = (1_103_515_249, 1_812_433_253)
+
+    def __init__(self, numbers: np.ndarray) -> None:
+        self.parts = []
+        n = len(numbers)
+        for prime, base, shift in zip(self.PRIMES, self.BASES, (0, 31), strict=True):
+            power = np.empty(n + 1, np.uint32)
+            power[0], done, step = 1, 1, base
+            while done <= n:  # doubles
+                some = power[: min(done, n + 1 - done)].astype(np.uint64)
+                power[done : done + len(some)] = some * np.uint64(step) % np.uint64(prime)
+                done, step = 2 * done, step * step % prime
+            sums, before = np.zeros(n + 1, np.uint32), 0
+            for c in range(0, n, 1 << 18):  # sums of 2**18 numbers below 2**31 have room
+                part = (numbers[c : c + (1 << 18)] >> np.uint64(shift) & np.uint64(0x7FFFFFFF)) % np.uint64(prime) * power[c : min(n, c + (1 << 18))] % np.uint64(prime)
+                added = np.cumsum(part) + np.uint64(before)
+                sums[c + 1 : c + 1 + len(part)] = added % np.uint64(prime)
+                before = int(added[-1]) % prime
+            self.parts.append((np.uint64(prime), power, sums))
+
+    def equal(self, p: np.ndarray, q: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether the runs of these lengths from p and from q (p < q) are equal."""
+        same = np.ones(len(p), bool)
+        for prime, power, sums in self.parts:
+            x = (sums[p + length] + prime - sums[p]) % prime * power[q - p] % prime
+            same &= x == (sums[q + length] + prime - sums[q]) % prime
+        return same
+
+
+def suffix_order(tokens: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of each text (up to ``end`` of its words) in order, by prefix doubling, and which of
+    them begin with a word that the one before in the order begins with too."""
     n = len(tokens)
-    out = np.zeros(n, np.int64)
-    if not n:
-        return out
-    text = np.repeat(np.arange(len(counts)), counts)
-    end = np.cumsum(counts)[text]
-    keys = words.mix(tokens + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(keys)
-    ordered = keys[order]
-    new = np.r_[True, ordered[1:] != ordered[:-1]]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    single = new & np.r_[new[1:], True]
-    levels, step = [rank.copy()], 1
-    open_places = np.flatnonzero(~single)  # places in the order whose suffixes are not told apart yet
+    keys = words.mix(tokens + end.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(keys).astype(np.int32)
+    keys = keys[order]
+    new = np.r_[True, keys[1:] != keys[:-1]]
+    del keys
+    repeated = ~new
+    places = np.arange(n, dtype=np.int32)
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, places, 0))
+    open_places = places[~(new & np.r_[new[1:], True])]  # places in the order whose suffixes are not told apart yet
+    step = 1
     while len(open_places):
         suffix = order[open_places]
-        after = suffix + step
+        after = suffix.astype(np.int64) + step
         second = np.where(after < end[suffix], rank[np.minimum(after, n - 1)] + 1, 0)
-        by = np.lexsort((second, rank[suffix]))
-        suffix, second = suffix[by], second[by]
-        first = rank[suffix]
-        new = np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])]
+        pair = rank[suffix].astype(np.int64) * (n + 1) + second
+        del after, second
+        by = np.argsort(pair, kind="stable")
+        suffix, pair = suffix[by], pair[by]
+        new = np.r_[True, pair[1:] != pair[:-1]]
+        del by, pair
         order[open_places] = suffix
-        rank = rank.copy()
         rank[suffix] = np.maximum.accumulate(np.where(new, open_places, 0))
-        levels.append(rank)
         step *= 2
         open_places = open_places[~(new & np.r_[new[1:], True])]
-    # common prefixes of neighbours in the order, from the longest doubling down
-    place = np.flatnonzero(levels[0][order[1:]] == levels[0][order[:-1]])
-    p, q = order[place].copy(), order[place + 1].copy()
-    p_end = end[p]
-    common = np.zeros(len(place), np.int64)
-    for level in range(len(levels) - 1, -1, -1):
-        inside = np.flatnonzero((p < p_end) & (q < p_end))
-        same = inside[levels[level][p[inside]] == levels[level][q[inside]]]
-        p[same] += 1 << level
-        q[same] += 1 << level
-        common[same] += 1 << level
-    np.maximum.at(out, order[place], common)
-    np.maximum.at(out, order[place + 1], common)
+    return order, repeated
+
+
+def longest_repeats(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each word of each text, the length of the longest substring that starts there
+    and starts at another word of the text too."""
+    n = len(tokens)
+    out = np.zeros(n, np.int32)
+    if not n:
+        return out
+    end = np.repeat(np.cumsum(counts), counts).astype(np.int32)
+    order, repeated = suffix_order(tokens, end)
+    place = np.flatnonzero(repeated)
+    if not len(place):
+        return out
+    runs = Runs(tokens)
+    for c in range(0, len(place), 1 << 18):  # common prefixes of neighbours in the order, the lengths of LCP intervals
+        some = place[c : c + (1 << 18)]
+        left, right = order[some - 1], order[some]
+        p, q = np.minimum(left, right), np.maximum(left, right)
+        common, room = np.ones(len(p), np.int64), (end[q] - q).astype(np.int64)
+        step = 1
+        near = np.arange(len(p))  # lengths double while runs agree ...
+        while len(near := near[room[near] >= 2 * step]):
+            near = near[runs.equal(p[near], q[near], np.full(len(near), 2 * step))]
+            step *= 2
+            common[near] = step
+        while step:  # ... and are then halved to the last that do
+            near = np.flatnonzero(common + step <= room)
+            near = near[runs.equal(p[near], q[near], common[near] + step)]
+            common[near] += step
+            step //= 2
+        np.maximum.at(out, left, common)
+        np.maximum.at(out, right, common)
     return out
 
 
 def covered(lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Words of each text in the union of the spans that start at each word."""
     n = len(lengths)
-    edge = np.zeros(n + 1, np.int64)
-    start = np.flatnonzero(lengths)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, start + lengths[start], -1)
-    inside = np.r_[0, np.cumsum(np.cumsum(edge[:n]) > 0)]
+    reach = np.maximum.accumulate(np.where(lengths > 0, np.arange(n) + lengths, 0)) if n else lengths
+    inside = np.r_[0, np.cumsum(reach > np.arange(n))]
     last = np.cumsum(counts)
     return inside[last] - inside[last - counts]
 
@@ -97,17 +147,17 @@ def repeated_lines(text: bytes) -> int:
 
 def measures(texts: list[bytes], least: int) -> pd.DataFrame:
     out = []
-    for a, b in words.blocks(texts, 2_000_000):
+    for a, b in words.blocks(texts, 1_000_000):
         part = texts[a:b]
         data, starts, ends, counts = words.spans(part)
         lengths = longest_repeats(words.hashes(data, starts, ends, lower=False), counts)
-        bounds = np.cumsum([1, *(len(t) + 1 for t in part)])
-        seen = np.r_[0, np.cumsum((data & 0xC0 != 0x80) & ~words.SPACE[data])]
-        symbols = np.r_[0, np.cumsum(SYMBOLS[data])]
+        bounds = np.cumsum([1, *(len(t) + 1 for t in part)]).tolist()
+        seen, symbols = (data & 0xC0 != 0x80) & ~words.SPACE[data], SYMBOLS[data]
+        within = lambda flags: [np.count_nonzero(flags[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
         padded = np.r_[lengths, 0]
         longest = np.where(counts > 0, np.maximum.reduceat(padded, np.minimum(np.cumsum(counts) - counts, len(lengths))), 0)
         out.append(pd.DataFrame({
-            "n_words": counts, "word_chars": np.diff(seen[bounds]), "n_symbols": np.diff(symbols[bounds]), "n_dup_lines": [repeated_lines(t) for t in part],
+            "n_words": counts, "word_chars": within(seen), "n_symbols": within(symbols), "n_dup_lines": [repeated_lines(t) for t in part],
             "n_repeat_words": covered(np.where(lengths >= 3, 3, 0), counts), "covered_words": covered(np.where(lengths >= least, lengths, 0), counts), "longest_repeat": longest,
         }))
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame()

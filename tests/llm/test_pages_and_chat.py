@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -180,7 +181,7 @@ def test_main_text_of_pages(spark):
     ("", ""), ("plain words only", "plain words only"), ("<p>a<p>b", "a\n\nb"),
     ("<nav>menu here</nav><article><h1>T</h1><p>one  &amp;\n two</p><aside>side</aside><p>three</p><form>f</form><div class='comments'><article class=comment>no</article></div></article><footer>f</footer>", "T\n\none & two\n\nthree"),
     ("<article><p>x</article><div class=ad>many words in this advert that is much longer than the text</div>", "x"),
-    ("<article></article><p>words outside of it</p>", ""),
+    ("<article></article><p>words outside of it</p>", "words outside of it"), ("<article></article><div class=ad>words outside of it</div>", ""),
     ("<body><script>if (a<b) x='</p>'</script><style>p{}</style><p>text &lt;b&gt;</p><!-- note <p>no</p> --></body>", "text <b>"),
     ("<main><div>a <b>b</b>c</div><ul class='menu'><li>m</ul><p class='notice'>n<p>d</main>", "a bc\n\nd"),
     ("<article><p>unclosed <i>tag<p>next", "unclosed tag\n\nnext"),
@@ -189,14 +190,46 @@ def test_html_cases(page, text):
     assert html.main_text(page, {}) == text
 
 
+WEIGHTS = {"nav nav": 8.0, "hr": 3.0, "div.zone7 div": 6.0, "div.zone7 /div": 6.0, "div.zone7 #": 0.01, " #": 0.9}
+
+
 @pytest.mark.parametrize("page, text", [
     ("<article class='card'>teaser</article><nav><a>x</a></nav><div class='content'><p>the long text of the page is here</p><p>and here</p></div>", "the long text of the page is here\n\nand here"),
-    ("<main><p>short start</p><hr><hr><p>a longer part that has the run</p></main><nav><a>x</a></nav><p>out</p>", "short start\n\na longer part that has the run"),
+    ("<main><p>short start</p><hr><hr><p>a longer part that has the run</p></main><nav><a>x</a></nav><p>out</p>", "a longer part that has the run"),
     ("<article><p>first of two</p></article><article><p>second of two</p></article>", "first of two\n\nsecond of two"),
     ("<div><p>a lead that stands before it</p></div><article><p>the text itself</p></article>", "a lead that stands before it\n\nthe text itself"),
+    ("<div class=zone7>many words of a teaser that no list knows as one</div><p>the text itself</p><p>goes on</p>", "the text itself\n\ngoes on"),
+    ("<hr><p>one <i>two</i><hr>three four five six seven</p>", "three four five six seven"),
 ])
 def test_run_fixes_the_region(page, text):
-    assert html.main_text(page, {"nav": 8.0, "hr": 3.0}) == text
+    assert html.main_text(page, WEIGHTS) == text
+
+
+def test_weights_decide():
+    page = "<div class=zone7>many words of a teaser that no list knows as one</div><p>the text itself</p>"
+    assert html.main_text(page, {}) == "many words of a teaser that no list knows as one\n\nthe text itself"
+    assert html.main_text(page, WEIGHTS) == "the text itself"
+    counts = html.label_counts([f"<div class=zone7>w{i} x y</div><article><p>a b c</p></article>" for i in range(50)])
+    assert html.main_text(page.replace("<p>", "<div><p>"), html.weights(counts)) == "the text itself"
+
+
+def test_pages_without_marks(spark):
+    """Labels teach the weights; pages that lack the marks give the same text."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    weight = html.fitted_weights(pages)
+    bare = pages.withColumn("html", F.regexp_replace("html", "</?(article|main)[^>]*>", ""))
+    want = {r.page_id: expected(r.html) for r in pages.collect()}
+    assert {r.page_id: r.text for r in html.extract_main_text(bare, weight=weight).collect()} == want
+    other = {k: v if k.endswith("#") else 8.0 - v for k, v in weight.items()}
+    assert sum(r.text != want[r.page_id] for r in html.extract_main_text(pages, weight=other).collect()) > len(want) // 2
+
+
+@pytest.mark.parametrize("part", ['<a ', '<a "', "<div>", "<!", '<a b=">"', "<a x='\"<a y=\"'", "<p>", "<li>", "<", "<table><td>", "<b><div></b>"])
+def test_html_takes_linear_time(part):
+    began = time.process_time()
+    html.main_text(part * 100_000, {})
+    html.main_text(part * 50_000 + "</i>" * 50_000, {})
+    assert time.process_time() - began < 10
 
 
 @pytest.mark.parametrize("page, text", [
@@ -227,4 +260,4 @@ def test_best_run():
 
 def test_weights_come_from_labelled_pages(spark):
     w = html.fitted_weights(spark.read.parquet(f"{SF}/pages.parquet"))
-    assert w["nav"] > w["p"] and w["li"] > w["p"] and F is not None
+    assert w["nav nav"] > w["p"] and w["nav li"] > w["p"] and w["nav #"] < w[" #"] and F is not None
