@@ -1,21 +1,23 @@
 """Hierarchical packing of tokenized documents into windows of several lengths.
 
-A document is routed to the tier of the smallest window that holds it, and to the
-longest tier if none does. A tier's windows are filled in turn; a document that
-does not fit into what is left of one goes on in the next, so that windows come
-out full. What is left over at the end of a tier, less than one of its windows,
-fills windows of the shorter tiers below it, and the tail of the long ones is
-filled by what the shorter tiers have left. Windows are powers of two up to
-``longest``; a sequence that is not full is padded to ``longest``.
+A document is routed to the tier of the smallest window that holds it; of one that is
+longer than the longest window, full windows are cut off first. The longest document
+that waits opens a window of its tier, and the gap behind it is filled from shorter
+tiers: by one, two or three whole documents that fill it exactly where there are such,
+else by the longest that fit, and what is then left by the start of a document whose
+rest waits on. Windows are powers of two up to ``longest``; a sequence that is not full
+is padded to ``longest``.
 
 How Spark runs it. Each partition tokenizes and packs its own documents, so that
-neither texts nor ids are shuffled. What a partition cannot fill, less than the
-shortest window, is packed again among the leftovers of ``merge`` partitions: a
-row or so each. Sequences of each length are dealt in turn over ``step_groups``
-groups, so that those get equal numbers of tokens.
+neither texts nor ids are shuffled; about ``held_tokens`` wait at a time. What a partition
+cannot fill, less than the shortest window, is packed again among the leftovers of
+``merge`` partitions: a row or so each. Sequences, from the longest windows to the
+shortest, are dealt in turn over ``step_groups`` groups by counts of the partitions, so
+that the groups' windows differ by at most one window in sum.
 
 Defined cases: null text is an empty one (its end id alone); repeated rows are
-packed each; an empty table gives no rows; other columns are ignored; a null
+packed each; of documents of one length the one that came last is taken first; a text of
+any length is packed whole; an empty table gives no rows; other columns are ignored; a null
 doc_id is kept.
 """
 
@@ -24,6 +26,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +37,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .. import storage
+from .rows import slices
 from .words import blocks
 
 LONGEST, SHORTEST = 4096, 128
 #: Sequences that one partition can number.
 SPAN = 1 << 32
-PIECE = "start long, length long, ids_crc32 long, doc_tokens long, part int, local long, offset long, window int"
+PIECE = "start long, length long, ids_crc32 long, doc_tokens long, part int, local long, offset long, window int, turn long"
+#: Texts by which a tokenizer shows whether it works word by word.
+PROBES = ("Two words, and more: x.", "a\n\tb  c\r d ", "ÉTÉ Straße naïve co-op don't 3.14 x_y", "UPPER lower Title", "你好 世界 😀 ünïcödé", "((a)) [b]{c} <d> #1 $5 100%!?", "")
+#: Words that are encoded in one call.
+JOINED = 1000
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -50,16 +58,22 @@ CORE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#$
 class WordEncoder:
     """Ids of texts as little-endian 32-bit numbers, from a cache by word.
 
-    The vocabularies it serves drop white space and never join over it, so that a
-    text's ids are those of its words in turn. The cache has two generations of at
-    most ``most`` words; the older goes when the younger is full.
+    A vocabulary that drops white space, never joins over it and folds case has the ids
+    of a text's words in turn; whether it does is tried on ``PROBES``. Any other one
+    encodes whole texts. The cache has two generations of at most ``most`` words; the
+    older goes when the younger is full.
     """
 
-    def __init__(self, path: str, most: int = 700_000) -> None:
+    def __init__(self, path: str, most: int = 450_000) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.young, self.old, self.most = Tokenizer.from_file(path), {"": b""}, {}, most
+        self.by_word = True
+        self.by_word = self(list(PROBES)) == self.whole(list(PROBES))
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def learn(self, found: set[str]) -> None:
         """Puts the ids of all the words into the younger generation."""
@@ -71,13 +85,24 @@ class WordEncoder:
         parts = {x for pair in split.values() for x in pair if x} | (new - split.keys())
         ids = {x: kept for x in parts if (kept := self.young.get(x) or self.old.get(x)) is not None}
         asked = [x for x in parts if x not in ids]
-        for x, e in zip(asked, self.tokenizer.encode_batch(asked, add_special_tokens=False), strict=True):
-            ids[x] = np.array(e.ids, "<u4").tobytes()
+        letters, others = [x for x in asked if x.isalpha()], [x for x in asked if not x.isalpha()]
+        for i in range(0, len(letters), JOINED):
+            some = letters[i : i + JOINED]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            cut = np.searchsorted(np.array(found.word_ids or [0]), np.arange(len(some) + 1))
+            if not found.ids or found.word_ids[-1] != len(some) - 1:  # a word that the normalizer cuts
+                others += some
+                continue
+            joined, cut = np.array(found.ids, "<u4").tobytes(), (4 * cut).tolist()
+            ids.update((x, joined[a:b]) for x, a, b in zip(some, cut, cut[1:], strict=False))
+        ids.update(zip(others, self.whole(others), strict=True))
         ids[""] = b""
         self.young.update(ids)
         self.young.update({w: ids[a] + ids[b] for w, (a, b) in split.items()})
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [x for a, b in blocks(texts, 500_000) for x in self.whole(texts[a:b])]
         out = []
         for a, b in blocks(texts, 500_000):
             cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[a:b]]
@@ -101,51 +126,94 @@ def windows(longest: int = LONGEST, shortest: int = SHORTEST) -> list[int]:
 
 
 class Packer:
-    """Fills the windows of each tier from a stream of pieces.
-
-    A piece is a tuple (document, start, length); at a time a tier holds less than
-    one window of them.
-    """
+    """Fills windows from a stream of pieces (document, start, length), of which about ``held_tokens`` wait."""
 
-    def __init__(self, longest: int = LONGEST, shortest: int = SHORTEST) -> None:
-        self.sizes = windows(longest, shortest)
-        self.held = {w: [] for w in self.sizes}
-        self.room = dict.fromkeys(self.sizes, 0)
+    def __init__(self, longest: int = LONGEST, shortest: int = SHORTEST, held_tokens: int = 1 << 18) -> None:
+        self.sizes, self.held_tokens = windows(longest, shortest), max(held_tokens, 2 * longest)  # enough to fill a window
+        self.waiting: dict[int, list] = {}
+        self.have = np.zeros(longest + 1, bool)
+        self.tokens = 0
         self.full: list[tuple[int, list]] = []
 
-    def add(self, document, start: int, length: int) -> None:
-        tier = next((w for w in reversed(self.sizes) if length <= w), self.sizes[0])
-        self.put(tier, document, start, length)
-
-    def put(self, tier: int, document, start: int, length: int) -> None:
-        while length:
-            n = min(length, tier - self.room[tier])
-            self.held[tier].append((document, start, n))
-            self.room[tier] += n
-            start, length = start + n, length - n
-            if self.room[tier] == tier:
-                self.full.append((tier, self.held[tier]))
-                self.held[tier], self.room[tier] = [], 0
+    def add(self, document, length: int) -> None:
+        longest, start = self.sizes[0], 0
+        while length - start >= longest:
+            self.full.append((longest, [(document, start, longest)]))
+            start += longest
+        if length > start:
+            self.put((document, start, length - start))
+        while self.tokens > self.held_tokens:
+            self.fill()
+
+    def put(self, piece: tuple) -> None:
+        self.waiting.setdefault(piece[2], []).append(piece)
+        self.have[piece[2]] = True
+        self.tokens += piece[2]
+
+    def take(self, length: int) -> tuple:
+        found = self.waiting[length]
+        piece = found.pop()
+        if not found:
+            del self.waiting[length]
+            self.have[length] = False
+        self.tokens -= length
+        return piece
+
+    def longest_of(self, most: int) -> int:
+        """The greatest length up to ``most`` that waits, or 0."""
+        found = self.have[most::-1]
+        at = int(found.argmax())
+        return most - at if found[at] else 0
+
+    def two(self, gap: int) -> list[int]:
+        """Lengths of one or two waiting pieces that fill the gap, or none."""
+        if self.have[gap]:
+            return [gap]
+        pairs = np.flatnonzero(self.have[1:gap] & self.have[gap - 1 : 0 : -1])[::-1] + 1
+        return next(([a, gap - a] for a in pairs.tolist() if 2 * a > gap or 2 * a == gap and len(self.waiting[a]) > 1), [])
+
+    def three(self, gap: int) -> list[int]:
+        """The same for three, the first of which is among the longest that fit."""
+        for a in np.flatnonzero(self.have[1:gap])[:-9:-1].tolist():
+            piece = self.take(a + 1)
+            found = self.two(gap - a - 1)
+            self.put(piece)
+            if found:
+                return [a + 1, *found]
+        return []
+
+    def fill(self, most: int | None = None) -> None:
+        """Fills one window, of at most ``most`` tokens; as many must wait."""
+        n = self.longest_of(len(self.have) - 1)
+        window = next(w for w in reversed(self.sizes) if n <= w)
+        if most and window > most:
+            window = most
+        if n > window:
+            taken, gap = [], window
+        else:
+            taken, gap = [self.take(n)], window - n
+        while gap:
+            if found := self.two(gap) or self.three(gap):
+                taken += map(self.take, found)
+                break
+            if n := self.longest_of(gap):
+                taken.append(self.take(n))
+                gap -= n
+            else:
+                document, start, n = self.take(self.longest_of(len(self.have) - 1))
+                taken.append((document, start, gap))
+                self.put((document, start + gap, n - gap))
+                break
+        self.full.append((window, taken))
 
     def close(self) -> list:
-        """Packs what the tiers hold; returns the pieces, shorter together than the shortest window, that are left."""
-        rest = [p for w in self.sizes for p in self.held[w]]
-        self.held, self.room = {w: [] for w in self.sizes}, dict.fromkeys(self.sizes, 0)
-        for w in self.sizes:
-            while sum(p[2] for p in rest) >= w:
-                taken, left = [], w
-                while left:
-                    document, start, n = rest.pop(0)
-                    taken.append((document, start, min(n, left)))
-                    if n > left:
-                        rest.insert(0, (document, start + left, n - left))
-                    left -= min(n, left)
-                self.full.append((w, taken))
-        return rest
-
-
-
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, longest: int = LONGEST, shortest: int = SHORTEST, step_groups: int = 8, merge: int = 256) -> DataFrame:
+        """Packs what waits; returns the pieces, shorter together than the shortest window, that are left."""
+        while self.tokens >= self.sizes[-1]:
+            self.fill(next(w for w in self.sizes if w <= self.tokens))
+        return [p for pieces in self.waiting.values() for p in pieces]
+
+
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, longest: int = LONGEST, shortest: int = SHORTEST, step_groups: int = 8, merge: int = 256, held_tokens: int = 1 << 18) -> DataFrame:
     """Packs every text; one row for each piece of a document.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
@@ -156,8 +224,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, longest: int = LONGES
     arrow = to_arrow_schema(schema)
 
     def pack_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, part = encoder(tokenizer), Packer(longest, shortest), TaskContext.get().partitionId()
-        end, local = end_id.to_bytes(4, "little"), 0
+        encode, packer, part = encoder(tokenizer), Packer(longest, shortest, held_tokens), TaskContext.get().partitionId()
+        end, local, turns = end_id.to_bytes(4, "little"), 0, Counter()
 
         def rows(sequences: list[tuple[int, list]]) -> pa.RecordBatch:
             nonlocal local
@@ -165,24 +233,24 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, longest: int = LONGES
             for window, pieces in sequences:
                 offset = 0
                 for (doc, ids), start, n in pieces:
-                    out.append((doc, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), len(ids) // 4, part, local, offset, window))
+                    out.append((doc, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), len(ids) // 4, part, local, offset, window, turns[window]))
                     offset += n
                 local += 1
+                turns[window] += 1
             columns = zip(*out, strict=True) if out else [[]] * len(arrow)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
-                packer.add((doc, ids + end), 0, len(ids) // 4 + 1)
-            ready, packer.full = packer.full, []
-            yield rows(ready)
+            for some, texts in slices(batch, 1):
+                for doc, ids in zip(some.column(0).to_pylist(), encode([t or "" for t in texts]), strict=True):
+                    packer.add((doc, ids + end), len(ids) // 4 + 1)
+                ready, packer.full = packer.full, []
+                yield rows(ready)
         rest = packer.close()
         yield rows(packer.full)
         yield rows([(0, rest)])
 
-    packed = docs.select("doc_id", "text").mapInArrow(pack_partition, schema)
-    packed = storage.saved(packed, "packed")
+    packed = storage.saved(docs.select("doc_id", "text").mapInArrow(pack_partition, schema), "packed")
 
     def pack_rest(table: pa.Table) -> pa.Table:
         """Whole pieces only: a leftover is shorter than the shortest window, and is not cut again."""
@@ -190,15 +258,18 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, longest: int = LONGES
         for r in sorted(table.to_pylist(), key=lambda r: (r["part"], r["offset"])):
             if offset + r["length"] > longest:
                 local, offset = local + 1, 0
-            out.append(r | {"part": -1 - r["part"] // merge, "local": local, "offset": offset, "window": longest})
+            out.append(r | {"part": -1 - r["part"] // merge, "local": local, "offset": offset, "window": longest, "turn": local})
             offset += r["length"]
         return pa.Table.from_pylist([{k: r[k] for k in arrow.names} for r in out], schema=arrow)
 
-    rest = packed.where("window = 0").groupBy((F.col("part") / merge).cast("int").alias("run")).applyInArrow(pack_rest, schema)
+    rest = storage.saved(packed.where("window = 0").groupBy((F.col("part") / merge).cast("int").alias("run")).applyInArrow(pack_rest, schema), "rest")
     whole = packed.where("window > 0").unionByName(rest)
+    # sequences of earlier partitions and longer windows come before in the dealing
+    counted = whole.groupBy("part", "window").agg((F.max("turn") + 1).alias("n")).withColumn("shortness", -F.col("window"))
+    before = storage.running(counted, F.col("n"), "shortness", "part").select("part", "window", "before")
     # even numbers for the partitions' own sequences, odd ones for those of leftovers
     number = F.when(F.col("part") >= 0, F.col("part") * 2).otherwise(F.col("part") * -2 - 1).cast("long")
-    return whole.select(
+    return whole.join(before, ["part", "window"]).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", (number * SPAN + F.col("local")).alias("sequence_id"), "offset",
-        F.col("window").cast("long").alias("window"), F.pmod(F.col("local") + F.abs("part"), F.lit(step_groups)).cast("int").alias("step_group"),
+        F.col("window").cast("long").alias("window"), ((F.col("before") + F.col("turn")) % step_groups).cast("int").alias("step_group"),
     )

@@ -1,15 +1,21 @@
 """Secret scans by assignment-aware lexing.
 
-Lines of a text that hold an assignment sign are lexed into pairs of a target name
-and a literal: ``name = "literal"``, ``name: literal``, ``"name": "literal"``,
-``export NAME=literal``, ``name := literal``, ``name: type = literal``, ``label: name =
-literal``, with string parts joined by ``+``. A bare word before a further sign gets the
-literal as well as the names before it, as it may be a type or a name.
-A right side that is a bare name is replaced by the literal that the name was last
-given, through any number of steps. A pair scores the weight of the most sensitive
-part of its target name times the likeness of the literal to a secret (length,
-kinds of characters, entropy; nothing for placeholders and references). A literal
-that reaches ``threshold`` under some name is a finding.
+Lines of a text that hold an assignment sign are cut into tokens (names, strings with
+escapes, triple quotes or prefixes, signs, operators, brackets) and read as assignments
+of the usual source and configuration languages: ``name = value``, ``name: value``,
+``"name": value``, ``export NAME=value``, ``name := value``, ``name => value``, ``name: type =
+value``, ``label: name = value``, ``table["name"] = value``, ``object.name = value``, keyword
+arguments, and ``a, b = value, value``. A value is a string, strings that stand side by side or
+are joined to each other or to names by ``+``, the same in parentheses over several lines, a
+block of indented lines after ``name: |`` or ``name: >``, or a bare word. A bare word before a
+further sign gets the literal as well as the names before it, as it may be a type or a name.
+
+Constants are propagated: a name in a value stands for what it was last given before, or
+else is first given after, through any number of steps; a literal made of parts grows to
+``LONGEST`` characters at most. A pair of target name and literal scores the weight of the
+most sensitive part of the name times the likeness of the literal to a secret (length,
+kinds of characters, entropy; nothing for placeholders and references). Of a literal that
+reaches ``threshold`` under some name each place that it is written in is a finding.
 
 Beside the lexer three fixed patterns (below) give findings of kinds assign,
 access and hex.
@@ -17,7 +23,8 @@ access and hex.
 How Spark runs it: each text alone, without a shuffle, in the scan's partitions.
 
 Defined cases: null text is an empty one; texts without findings have counts 0,
-the digest of the empty string and empty spans; repeated rows are scanned each; an
+the digest of the empty string and empty spans; repeated rows are scanned each; a text of any
+length is scanned whole, in linear time; spans of equal start are ordered by kind and end; an
 empty table gives no rows; other columns are ignored by ``find_secrets`` and kept
 by ``redact_secrets``.
 """
@@ -27,7 +34,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -66,49 +75,248 @@ def literal_score(literal: str) -> float:
     return min(1.0, 0.25 * min(n, 20) / 20 + 0.45 * min(entropy, 4) / 4 + 0.1 * kinds)
 
 
-def lexed(text: str) -> list[tuple[str, str, int, int]]:
-    """(target name, literal, start, end), constants propagated; the place is the literal's."""
-    values: dict[str, tuple[str, int, int]] = {}
-    out = []
-    at = 0
-    while m := TARGET.search(text, at):
-        at = m.end()
-        names = [x] if (x := m["name"].lstrip("0123456789.-")) else []
-        if not names:
-            continue
-        place, whole = at, None
-        # a bare word before a further sign is a type or a target of its own
+#: Tokens that the lexer tells apart; white space and all else lies between them.
+LEX = re.compile(r"""(?P<name>[A-Za-z0-9_$](?:[A-Za-z0-9_$]|[.\-](?=[A-Za-z0-9_$]))*+)|(?P<quote>["'`])|(?P<op>\n|==+|[!<>]=|::)|(?P<sign>:=|=>|=|:(?!//))|(?P<mark>[^\sA-Za-z0-9_$])""")
+LINE = re.compile(r"[^\n:=]*[:=]")
+PREFIX = re.compile(r"(?i)[rbuf]{1,2}")
+BODY = {q: re.compile(rf"(?:\\[^\n]|[^{q}\\\n])*+") for q in "\"'`"}
+BLOCK = re.compile(r"[>|][-+0-9]*[ \t]*\n")
+INDENT = re.compile(r"[ \t]*")
+BLANK, BLANKS = re.compile(r"[ \t]*+"), re.compile(r"\s*+")
+BARE_NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*+")
+#: Characters that a literal made of parts may have.
+LONGEST = 1 << 16
+
+
+class Text:
+    """A text with the places of its strings; what was searched in vain is not searched again."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.unclosed = text, {}
+
+    def string(self, at: int) -> tuple[str, int, int, int] | None:
+        """Content, its start and end, and the place behind the string whose quote is here; None if it is not closed."""
+        text = self.text
+        q = text[at]
+        triple = q * 3
+        if q != "`" and text.startswith(triple, at) and at < self.unclosed.get(triple, len(text)):
+            end = text.find(triple, at + 3)
+            if end >= 0:
+                return text[at + 3 : end], at + 3, end, end + 3
+            self.unclosed[triple] = at
+        if at < self.unclosed.get(q, 0):
+            return None
+        end = BODY[q].match(text, at + 1).end()
+        if text[end : end + 1] != q:
+            self.unclosed[q] = end  # up to the end of the line all of these quotes are escaped
+            return None
+        return re.sub(r"\\(.)", r"\1", text[at + 1 : end]), at + 1, end, end + 1
+
+    def operand(self, at: int) -> tuple[tuple, int] | None:
+        """A string or a name at a place, as (kind, content, start, end), and the place behind it."""
+        text = self.text
+        prefix = PREFIX.match(text, at)
+        quote = prefix.end() if prefix and text[prefix.end() : prefix.end() + 1] in ('"', "'") else at
+        if text[quote : quote + 1] in ('"', "'", "`"):
+            found = self.string(quote)
+            return found and (("text", *found[:3]), found[3])
+        name = BARE_NAME.match(text, at)
+        return name and (("name", name[0], *name.span()), name.end())
+
+    def joined(self, at: int, blank: re.Pattern) -> tuple[list[tuple], int] | None:
+        """Operands that are joined by '+', or strings side by side, from a place on."""
+        first = self.operand(at)
+        if not first:
+            return None
+        parts, end = [first[0]], first[1]
         while True:
-            inner = TARGET.match(text, place)
-            if inner and (x := inner["name"].lstrip("0123456789.-")):
-                bare = None if whole or inner["quote"] else VALUE.match(text, place)
-                if bare and text[inner.end() : inner.end() + 1] not in ('"', "'") and (not inner["space"] or not bare[0].replace("_", "").replace(".", "").isalpha()):
-                    whole = bare[0], *bare.span()
-                    out += [(name, *whole) for name in names]
-                names.append(x)
-            elif m["sign"] != ":" or not (inner := DECLARED.match(text, place)):
-                break
-            place, m = inner.end(), inner if inner.re is TARGET else m
-            if inner.re is DECLARED:
+            at = blank.match(self.text, end).end()
+            plus = self.text[at : at + 1] == "+" and self.text[at + 1 : at + 2] not in ("+", "=")
+            more = self.operand(blank.match(self.text, at + 1).end() if plus else at) if plus or self.text[at : at + 1] in ('"', "'", "`") else None
+            if not more or not plus and parts[-1][0] == "name":
+                return parts, end
+            parts.append(more[0])
+            end = more[1]
+
+    def value(self, at: int, sign: str) -> tuple[list[tuple], int] | None:
+        """The parts of the value at a place and the place behind it."""
+        text = self.text
+        if text[at : at + 1] == "(":
+            inner = BLANKS.match(text, at + 1).end()
+            found = self.joined(inner, BLANKS) if text[inner : inner + 1] in ('"', "'") or PREFIX.match(text, inner) else None
+            if not found or found[0][0][0] == "name":
+                return None
+            close = BLANKS.match(text, found[1]).end()
+            return found[0], close + (text[close : close + 1] == ")")
+        if sign == ":" and (block := BLOCK.match(text, at)):
+            return self.block(at, block.end())
+        found = self.joined(at, BLANK)
+        if found and (found[0][0][0] == "text" or len(found[0]) > 1):
+            return found
+        bare = VALUE.match(text, at)
+        if not bare or bare["strings"] or text[bare.end() : bare.end() + 1] == "(" and BARE_NAME.fullmatch(bare[0]):
+            return None
+        return [("name" if BARE_NAME.fullmatch(bare[0]) else "text", bare[0], *bare.span())], bare.end()
+
+    def block(self, key: int, at: int) -> tuple[list[tuple], int] | None:
+        """The lines after a key that are indented more than its line."""
+        text = self.text
+        line = text.rfind("\n", 0, key) + 1
+        least = INDENT.match(text, line).end() - line
+        parts = []
+        while at < len(text):
+            start = INDENT.match(text, at).end()
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+            if start < end and start - at <= least:
                 break
-        value = VALUE.match(text, place)
-        if not value:
-            if whole:
-                values[names[0]] = whole
-            at = place
+            if start < end:
+                parts.append(("text", text[start:end].rstrip(), start, start + len(text[start:end].rstrip())))
+            at = end + 1
+        return (parts, min(at, len(text))) if parts else None
+
+
+def targets_before(recent: list[tuple]) -> list[str]:
+    """The names that the tokens before a sign assign to: the last one, with those that commas put before it."""
+    if not recent:
+        return []
+    kind, content, *_ = recent[-1]
+    if content == "]" and kind == "mark" and len(recent) >= 3 and recent[-2][0] in ("name", "text") and recent[-3][1] == "[":
+        base = recent[-4][1] + "." if len(recent) >= 4 and recent[-4][0] == "name" else ""
+        return [base + recent[-2][1]]
+    if kind == "text":
+        return [content]
+    if kind != "name":
+        return []
+    names, i = [content], len(recent) - 1
+    while i >= 2 and recent[i - 1][1] == "," and recent[i - 2][0] == "name":
+        names.insert(0, recent[i - 2][1])
+        i -= 2
+    return [x for n in names if (x := n.lstrip("0123456789.-$"))]
+
+
+def assignments(text: str) -> Iterator[tuple[list[str], list[tuple]]]:
+    """Target names with the parts of the value that each of them is given, in the order of the text."""
+    source, at, recent = Text(text), 0, []
+    line_ends = 0
+    while at < len(text):
+        if at >= line_ends:  # a new line: on to the next with a sign
+            line = LINE.search(text, at)
+            if not line:
+                return
+            at = text.rfind("\n", at, line.end()) + 1 or at
+            line_ends = text.find("\n", line.end() - 1)
+            line_ends = len(text) if line_ends < 0 else line_ends + 1
+            recent = []
+        m = LEX.search(text, at)
+        if not m or m.start() >= line_ends:
+            at = line_ends if m else len(text)
             continue
-        at = value.end()
-        if value["strings"]:
-            pieces = list(STRING.finditer(value[0]))
-            literal = "".join(p[1] if p[1] is not None else p[2] for p in pieces)
-            found = literal, place + pieces[0].start() + 1, place + pieces[-1].end() - 1
+        at = m.end()
+        if m.lastgroup == "name":
+            if recent and recent[-1][0] in ("name", "text"):
+                recent = []
+            recent.append(("name", m[0], *m.span()))
+        elif m.lastgroup == "quote":
+            before = text[m.start() - 1] if m.start() else " "
+            prefixed = recent and recent[-1][0] == "name" and recent[-1][3] == m.start() and PREFIX.fullmatch(recent[-1][1])
+            found = source.string(m.start()) if prefixed or not (before.isalnum() or before == "_") else None
+            if found:
+                recent = [*(recent[:-1] if prefixed else recent if recent and recent[-1][0] == "mark" else []), ("text", *found[:3])]
+                at = found[3]
+                line_ends = max(line_ends, at)
+        elif m.lastgroup == "sign":
+            names, recent = targets_before(recent), []
+            if names:
+                pairs, at = given(source, names, m[0], at)
+                yield from pairs
+                line_ends = max(line_ends, at)
+        elif m[0] in ",[]":
+            recent.append(("mark", m[0], *m.span()))
         else:
-            found = values.get(value[0], (value[0], *value.span()))
-        for i, name in enumerate(names):
-            if not i or name not in TYPES:
-                values[name] = found
-            out.append((name, *found))
-    return out
+            recent = []
+
+
+def given(source: Text, names: list[str], sign: str, at: int) -> tuple[list[tuple[list[str], list[tuple]]], int]:
+    """What the names before a sign are given by what stands behind it, and where to go on."""
+    text, out = source.text, []
+    several, names = names, names[-1:]
+    place = BLANK.match(text, at).end()
+    whole = None
+    # a bare word before a further sign is a type or a target of its own
+    while True:
+        inner = TARGET.match(text, place)
+        if inner and (x := inner["name"].lstrip("0123456789.-")):
+            bare = None if whole or inner["quote"] else VALUE.match(text, place)
+            if bare and text[inner.end() : inner.end() + 1] not in ('"', "'") and (not inner["space"] or not bare[0].replace("_", "").replace(".", "").isalpha()):
+                whole = [("text", bare[0], *bare.span())]
+                out.append((list(names), whole))
+            names.append(x)
+            sign = inner["sign"]
+        elif sign != ":" or not (inner := DECLARED.match(text, place)):
+            break
+        place = inner.end()
+        if inner.re is DECLARED:
+            break
+    found = source.value(place, sign)
+    if not found:
+        return out, place
+    if len(several) > 1 and sign == "=" and len(names) == 1:
+        values, end = [found[0]], found[1]
+        while len(values) < len(several) and (comma := re.compile(r"[ \t]*,[ \t]*").match(text, end)) and not TARGET.match(text, comma.end()) and (more := source.value(comma.end(), sign)):
+            values.append(more[0])
+            end = more[1]
+        if len(values) == len(several):
+            return [([n], v) for n, v in zip(several, values, strict=True)], end
+    out.append(([n for i, n in enumerate(names) if not i or n not in TYPES], found[0]))
+    return out, found[1]
+
+
+def lexed(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
+    """(target name, literal, places), constants propagated; the places are those in which the literal is written."""
+    pairs = list(assignments(text))
+    defined: dict[str, list[int]] = {}
+    for i, (names, _) in enumerate(pairs):
+        for name in names:
+            defined.setdefault(name, []).append(i)
+    values: dict[int, tuple[str, list[tuple[int, int]]]] = {}
+    busy: set[int] = set()
+
+    def meant(i: int, name: str) -> int | None:
+        """The assignment that a name in assignment i stands for."""
+        of = defined.get(name)
+        if not of:
+            return None
+        k = bisect_left(of, i)
+        return of[k - 1] if k else next((j for j in of if j != i), None)
+
+    for first in range(len(pairs)):
+        todo = [first]
+        while todo:
+            i = todo[-1]
+            if i in values:
+                todo.pop()
+                continue
+            busy.add(i)
+            wanted = [j for kind, content, *_ in pairs[i][1] if kind == "name" and (j := meant(i, content)) is not None and j not in values and j not in busy]
+            if wanted:
+                todo += wanted
+                continue
+            content, places, own = [], [], []
+            for kind, piece, a, b in pairs[i][1]:
+                j = meant(i, piece) if kind == "name" else None
+                if j is not None and j in values:
+                    content.append(values[j][0])
+                    places += values[j][1]
+                elif kind == "text" or len(pairs[i][1]) == 1:
+                    content.append(piece)
+                    own.append((a, b))
+            if own:
+                places = [*places, (own[0][0], own[-1][1])]
+            values[i] = "".join(content)[:LONGEST], list(dict.fromkeys(places))
+            busy.discard(i)
+            todo.pop()
+    return [(name, *values[i]) for i, (names, _) in enumerate(pairs) for name in names]
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -124,7 +332,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def lexed_spans(text: str, threshold: float) -> list[tuple[str, int, int]]:
     if ":" not in text and "=" not in text:
         return []
-    return sorted({("lexed", a, b) for name, literal, a, b in lexed(text) if (w := name_weight(name)) and w * literal_score(literal) >= threshold}, key=lambda s: s[1:])
+    return sorted({("lexed", a, b) for name, literal, places in lexed(text) if (w := name_weight(name)) and w * literal_score(literal) >= threshold for a, b in places}, key=lambda s: s[1:])
 
 
 def written(spans: list[tuple[str, int, int]]) -> str:

@@ -150,3 +150,77 @@ def test_packing_a_table(spark, texts):
 def test_leftovers_of_many_partitions(documents, texts):
     rows = packing.pack(documents.repartition(40), queries.word_tokenizer(), merge=16).collect()
     assert check_pieces(rows, ids_of(texts.items())) < 0.15 * sum(r.length for r in rows)
+
+
+def test_packer_by_brute_force():
+    """Windows are full, every token is in one piece, tiers hold what they are for, and most documents stay whole."""
+    r = np.random.default_rng(3)
+    for held in (1 << 18, 20_000, 0):
+        lengths = np.r_[r.integers(1, 4097, 400), r.integers(1, 300, 900), r.integers(4097, 30_000, 6)]
+        r.shuffle(lengths)
+        packer = packing.Packer(held_tokens=held)
+        for i, n in enumerate(lengths.tolist()):
+            packer.add(i, n)
+        # what opens a window belongs to its tier, and what fills its gap to shorter ones
+        for window, taken in packer.full:
+            assert window == 128 or taken[0][2] > window // 2 and all(2 * n <= window for _, _, n in taken[1:])
+        rest = packer.close()
+        covered, pieces = defaultdict(list), Counter()
+        for window, taken in [*packer.full, (0, rest)]:
+            assert window == 0 or sum(n for _, _, n in taken) == window and window & (window - 1) == 0
+            for i, start, n in taken:
+                covered[i].append((start, n))
+                pieces[i] += 1
+        assert sum(n for _, _, n in rest) < 128
+        for i, n in enumerate(lengths.tolist()):
+            at = 0
+            for start, length in sorted(covered[i]):
+                assert start == at
+                at += length
+            assert at == n
+        if held == 1 << 18:
+            whole = sum(pieces[i] == 1 for i, n in enumerate(lengths) if n <= 4096)
+            assert whole > 0.85 * sum(lengths <= 4096)
+
+
+def test_gaps_are_filled_exactly_where_they_can_be():
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        packer = packing.Packer(longest=64, shortest=8)
+        lengths = r.integers(1, 40, 12).tolist()
+        for i, n in enumerate(lengths):
+            packer.put((i, 0, n))
+        gap = int(r.integers(1, 64))
+        some = packer.two(gap)
+        assert bool(some) == (gap in lengths or any(a + b == gap for i, a in enumerate(lengths) for b in lengths[:i]))
+        assert not some or sum(some) == gap and not Counter(some) - Counter(lengths)
+        some = packer.three(gap)
+        assert not some or sum(some) == gap and not Counter(some) - Counter(lengths)
+
+
+def test_step_groups_are_balanced(documents, texts):
+    for parts in (1, 7):
+        rows = packing.pack(documents.repartition(parts), queries.word_tokenizer(), step_groups=5).collect()
+        window = {r.sequence_id: (r.window, r.step_group) for r in rows}
+        sums = Counter()
+        for w, g in window.values():
+            sums[g] += w
+        assert max(sums.values()) - min(sums.get(g, 0) for g in range(5)) <= 4096
+
+
+def test_other_tokenizers(edge):
+    """A vocabulary that joins over white space gets whole texts."""
+    from tokenizers import Tokenizer
+
+    path = queries.word_tokenizer().replace("word_bpe_49k", "byte_bpe_50k")
+    t, out = Tokenizer.from_file(path), defaultdict(list)
+    for i, text in edge_texts():
+        out[i].append(t.encode(text or "", add_special_tokens=False).ids + [2])
+    assert not packing.WordEncoder(path).by_word and packing.WordEncoder(queries.word_tokenizer()).by_word
+    check_pieces(packing.pack(edge, path).collect(), out)
+
+
+def test_joined_words():
+    e = packing.WordEncoder(queries.word_tokenizer())
+    texts = ["İstanbul ıI straße ΣΑΣ", "가각 abc 각", "a b c", "ﬁne ŉ words"]
+    assert e(texts) == e.whole(texts)

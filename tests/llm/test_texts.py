@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -108,13 +109,60 @@ def test_declared_and_labelled(text, literals):
     assert [text[a:b] for _, a, b in secrets.lexed_spans(text, 0.5)] == literals
 
 
+@pytest.mark.parametrize("text, literals", [
+    ('config["password"] = "Zx81kPq0Lm"', ["Zx81kPq0Lm"]),
+    ("os.environ['DB_PWD'] = 'Zx81kPq0Lm'", ["Zx81kPq0Lm"]),
+    ('self.auth_key = "Zx81kPq0Lm"', ["Zx81kPq0Lm"]),
+    (r'pwd = "A9\"f8Lq0zT7"', [r'A9\"f8Lq0zT7']),
+    ('pwd = """Zx81kPq0Lm"""', ["Zx81kPq0Lm"]),
+    ("pwd = r'Zx81kPq0Lm'", ["Zx81kPq0Lm"]),
+    ('pwd = (\n    "Zx81k"\n    "Pq0Lm"\n)\n', ['Zx81k"\n    "Pq0Lm']),
+    ("auth_key: >-\n  Zx81k\n  Pq0Lm\nname: x", ["Zx81k\n  Pq0Lm"]),
+    ("a:\n  auth_key: |\n    Zx81kPq0Lm\n  b: c", ["Zx81kPq0Lm"]),
+    ('user, password = "someone", "Zx81kPq0Lm"', ["Zx81kPq0Lm"]),
+    ('connect(user, pwd="Zx81kPq0Lm", host="h")', ["Zx81kPq0Lm"]),
+    ('base = "Zx81k"\npwd = base + "Pq0Lm"', ["Zx81k", "Pq0Lm"]),
+    ('pwd = base + "Pq0Lm"\nbase = "Zx81k"', ["Pq0Lm", "Zx81k"]),
+    ('api_key = later\nlater = "Zx81kPq0Lm"', ["Zx81kPq0Lm"]),
+    ('a = b\nb = a\npwd = a', []),
+    ('pwd = os.getenv("DATABASE_PWD")\ncolour = "Zx81kPq0Lm"', []),
+    ("It's so: the pwd isn't 'here': no = sign", []),
+    ("[db]\nauth_key = Zx81kPq0Lm\nhost = x", ["Zx81kPq0Lm"]),
+    ("$auth_key => 'Zx81kPq0Lm',", ["Zx81kPq0Lm"]),
+    ("<user authkey=\"x\" auth-key='Zx81kPq0Lm'/>", ["Zx81kPq0Lm"]),
+    ('std::string pwd = "Zx81kPq0Lm";', ["Zx81kPq0Lm"]),
+    ('if pwd == "Zx81kPq0Lm": pass', []),
+])
+def test_source_and_configuration(text, literals):
+    assert [text[a:b] for _, a, b in secrets.lexed_spans(text, 0.5)] == literals
+
+
+def test_propagation_by_brute_force():
+    """Constants given to names in random order, each through a chain of names."""
+    r = random.Random(9)
+    for _ in range(60):
+        n, lines, want = r.randrange(1, 6), [], set()
+        for k in range(n):
+            literal, steps = "".join(r.choices("abcdefXYZ0123456789", k=12)) + f"q{k}", r.randrange(1, 7)
+            names = [f"v{k}_{i}" for i in range(steps)]
+            lines.append(f'{names[0]} = "{literal}"')
+            lines += [f"{b} = {a}" for a, b in zip(names, names[1:])]
+            target = r.choice([f"api_key{k}", f"colour{k}"])
+            lines.append(f"{target.replace('key', '_key_')} = {names[-1]}")
+            if "key" in target:
+                want.add(literal)
+        r.shuffle(lines)
+        text = "\n".join(lines)
+        assert {text[a:b] for _, a, b in secrets.lexed_spans(text, 0.3)} == want
+
+
 def test_redaction_of_declared():
     out = secrets.redacted('const token: string = "Yt67hGw2pQx"; api_key: str = "sk-Live9Qx72LmPz0aR"', 0.5, "[REDACTED]")
     assert "Yt67" not in out and "Live9" not in out
 
 
 def test_long_names_and_chains_take_linear_time():
-    for text in ("a" * 10**6, "token:" * 10**5 + "x", "a: b[" * 10**5, "'" * 10**5 + "=", "1" * 10**6 + "=x"):
+    for text in ("a" * 10**6, "token:" * 10**5 + "x", "a: b[" * 10**5, "'" * 10**5 + "=", "1" * 10**6 + "=x", "'\\'" * 10**5 + "=", '"""\\' * 10**5, "a = b + " * 10**5, "a, " * 10**5 + "= 1", "a = a\n" * 10**4, "k: >\n" * 10**4, "x = (" * 10**5):
         assert secrets.lexed_spans(text + " =", 0.5) is not None
 
 
