@@ -81,13 +81,14 @@ def vector_shards(docs: DataFrame, shards: int = 24, slice_rows: int = 20_000) -
     room = np.full((shards, len(SIZES)), 1.0 / shards)
     scale = np.array([total[c] or 1 for c in SIZES], float)
 
-    def placed(some: DataFrame, n: int) -> DataFrame:
-        """The shards of units, in n slices, each with its part of the room."""
-        part = room / n
+    def placed(some: DataFrame, n: int, last: bool = False) -> DataFrame:
+        """The shards of units, in n slices, each with its part of the room; at last what each slice has fills its part."""
+        whole = room / np.where((left := room.sum(0)) > 0, left, 1) if last else room / n
 
         def fill(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values(["same", "piece"], ascending=False, kind="stable")
-            frame["shard"] = place(frame[SIZES].to_numpy(float) / scale, part, int(frame["slice"].iloc[0]) % shards)
+            vectors = frame[SIZES].to_numpy(float) / scale
+            frame["shard"] = place(vectors, whole * vectors.sum(0) if last else whole, int(frame["slice"].iloc[0]) % shards)
             return frame[["same", "piece", "shard", *SIZES]]
 
         sliced = some.withColumn("slice", F.pmod(F.xxhash64("same", "piece"), F.lit(n)).cast("int"))
@@ -106,7 +107,7 @@ def vector_shards(docs: DataFrame, shards: int = 24, slice_rows: int = 20_000) -
     while slices > 1:  # groups of at most ``most``
         last = n >= slices
         least = 0.0 if last else most / RATIO
-        level = placed(units.where(~F.col("first") & (F.col("share") <= most) & (F.col("share") > least if not last else F.lit(True))), min(n, slices))
+        level = placed(units.where(~F.col("first") & (F.col("share") <= most) & (F.col("share") > least if not last else F.lit(True))), min(n, slices), last)
         others = level if others is None else others.unionByName(level)
         if last:
             break

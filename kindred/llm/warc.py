@@ -11,12 +11,13 @@ How Spark runs it. Digests of payloads are grouped and joined back as narrow row
 pages are shuffled once by digest, and each partition writes archives of at most
 ``archive_bytes`` to the shared folder under a name that its place gives, by way of
 a temporary name, so that a task that runs again writes the same file. Archives are
-read with Spark's binaryFile source, one file at a time.
+listed with Spark's binaryFile source; small ones are read by it, and others in pieces.
 
 Defined cases: null html is an empty payload; a null url becomes ``urn:page:<id>``;
 rows with equal payload and page_id are all responses if that page_id is the
-largest; an empty table gives no archive and no rows; a null page_id is written as
-id 'null' and read back as null, last in the order of ids; other columns are ignored.
+largest; an empty table gives no archive and no rows; page_id keeps its type; a null page_id
+has a record id of its own and is read back as null, last in the order of ids; a page of any
+length is one record; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import storage
 
@@ -48,18 +50,23 @@ def member(data: bytes, level: int = 4) -> bytes:
     return c.compress(data) + c.flush()
 
 
+def urn(page: object) -> str:
+    """A record id that gives back the page's id as text; there is one for no id."""
+    return "urn:no-page" if page is None else f"urn:page:{quote(str(page), safe='')}"
+
+
 def record(page: object, url: str | None, payload: bytes, refers_to: object = None, revisit: bool = False) -> bytes:
     """One record: an HTTP response with the payload, or its revisit."""
     digest = base32_sha1(payload)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
-    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "") or f"urn:page:{page}"
+    target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "") or urn(page)
     head = [
-        VERSION.decode(), f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}",
+        VERSION.decode(), f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{urn(page)}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if revisit:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: <{urn(refers_to)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join([*head, "", ""]).encode() + block + b"\r\n\r\n"
 
 
@@ -113,23 +120,57 @@ def read_at(data: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int] | str:
 SIGNS = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")
 
 
-def salvage(data: bytes) -> Iterator[tuple]:
-    """('record', start, end, header, block) and ('gap', start, end, reason, b'') in order of place."""
-    view, at, lost, why = memoryview(data), 0, None, ""
-    while at < len(data):
+class Held:
+    """Bytes in memory, as ``salvage`` reads them."""
+
+    def __init__(self, data: bytes) -> None:
+        self.view, self.size = memoryview(data), len(data)
+
+    def read(self, at: int, size: int) -> bytes:
+        return bytes(self.view[at : at + size])
+
+
+class Stream:
+    """A file that is read in pieces; the last one is kept."""
+
+    def __init__(self, file, piece: int = 4 << 20) -> None:
+        self.file, self.size, self.piece, self.start, self.held = file, file.size(), piece, 0, b""
+
+    def read(self, at: int, size: int) -> bytes:
+        if not self.start <= at <= at + size <= self.start + len(self.held):
+            self.file.seek(at)
+            self.start, self.held = at, self.file.read(max(size, self.piece))
+        return self.held[at - self.start : at - self.start + size]
+
+
+def next_sign(source, at: int, piece: int = 1 << 20) -> int:
+    """The next place that looks like the start of a member or a record, or the end."""
+    while at < source.size:
+        window = source.read(at, piece)
+        if m := SIGNS.search(window):
+            return at + m.start()
+        at += max(1, len(window) - 16)  # a sign may lie over the end of the piece
+    return source.size
+
+
+def salvage(data) -> Iterator[tuple]:
+    """('record', start, end, header, block) and ('gap', start, end, reason, b'') in order of place.
+    data: bytes, or a source with ``size`` and ``read``, of which no more is held than a member or a record."""
+    source = Held(data) if isinstance(data, (bytes, bytearray)) else data
+    at, lost, why = 0, None, ""
+    while at < source.size:
         # a member's end is not known before: a window that grows bounds what is copied
         size = 1 << 16
         while True:
-            window = bytes(view[at : at + size])
+            window = source.read(at, size)
             found = read_at(window, 0)
-            if not isinstance(found, str) or at + size >= len(data) or found.startswith("bad member") or found in ("no version line", "header is not UTF-8", "bad header", "bad digest"):
+            if not isinstance(found, str) or at + size >= source.size or found.startswith("bad member") or found in ("no version line", "header is not UTF-8", "bad header", "bad digest"):
                 break
             size *= 4
         if isinstance(found, str):
             if lost is None:
                 lost, why = at, found
-            following = SIGNS.search(data, at + 1)
-            at = following.start() if following else len(data)
+            at = next_sign(source, at + 1)
             continue
         if lost is not None:
             yield "gap", lost, at, why, b""
@@ -139,7 +180,7 @@ def salvage(data: bytes) -> Iterator[tuple]:
             yield "record", at, at + length, head, block
         at += length
     if lost is not None:
-        yield "gap", lost, len(data), why, b""
+        yield "gap", lost, source.size, why, b""
 
 
 def with_references(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -177,8 +218,7 @@ def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, archive_byte
 
         for batch in batches:
             for r in batch.to_pylist():
-                page = "null" if r["page_id"] is None else r["page_id"]
-                x = member(record(page, r["url"], r["payload"], r["refers_to"], r["revisit"]))
+                x = member(record(r["page_id"], r["url"], r["payload"], r["refers_to"], r["revisit"]))
                 if held and size + len(x) > least:
                     close()
                 held.append(x)
@@ -199,51 +239,82 @@ def read_row(path: str, found: tuple, payloads: bool) -> dict:
     row = dict.fromkeys(READ.names) | {"path": path, "kind": kind, "start": start, "stop": stop}
     if kind == "gap":
         return row | {"reason": head}
-    urn = lambda x: x and x.strip("<>").removeprefix("urn:page:")
+    bare = lambda x: x and x.strip("<>")
     payload = block.partition(b"\r\n\r\n")[2]
     revisit = head.get("warc-type") == "revisit"
-    row |= {"record_id": urn(head.get("warc-record-id")), "record_type": head.get("warc-type"), "url": head.get("warc-target-uri"), "refers_to": urn(head.get("warc-refers-to"))}
+    row |= {"record_id": bare(head.get("warc-record-id")), "record_type": head.get("warc-type"), "url": head.get("warc-target-uri"), "refers_to": bare(head.get("warc-refers-to"))}
     if revisit:
         return row | {"payload_digest": head.get("warc-payload-digest", "").removeprefix("sha1:")}
     return row | {"payload_digest": base32_sha1(payload), "payload_bytes": len(payload), "payload": payload if payloads else None}
 
 
-def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, folder: str, payloads: bool = True, whole_bytes: int = 64 << 20) -> DataFrame:
     """Records and gaps of all archives under a folder (gzip members or plain): path, kind,
     start, stop, record_id, record_type, url, refers_to, payload_digest, payload_bytes,
-    payload, reason. A gap has only its place and the reason of the first failed check."""
+    payload, reason. A gap has only its place and the reason of the first failed check.
+    Files above ``whole_bytes`` are read in pieces."""
+
+    def rows(path: str, source) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for found in salvage(source):
+            held.append(read_row(path, found, payloads))
+            size += len(found[4])
+            if len(held) >= 2000 or payloads and size > 8_000_000:
+                yield pa.RecordBatch.from_pylist(held, READ)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, READ)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held, size = [], 0
-                for found in salvage(content.as_py()):
-                    held.append(read_row(path, found, payloads))
-                    size += len(found[4])
-                    if len(held) >= 2000 or payloads and size > 8_000_000:
-                        yield pa.RecordBatch.from_pylist(held, READ)
-                        held, size = [], 0
-                if held:
-                    yield pa.RecordBatch.from_pylist(held, READ)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("path", "content")
-    return files.mapInArrow(read, "path string, kind string, start long, stop long, record_id string, record_type string, url string, refers_to string, payload_digest string, payload_bytes long, payload binary, reason string")
-
-
-def resolved(records: DataFrame) -> DataFrame:
-    """Pages of the records, each revisit with the size of the response that it refers to."""
-    rows = storage.saved(records.where("kind = 'record'").select("record_id", "record_type", "refers_to", "payload_digest", "payload_bytes"), "records")
+                yield from rows(path, content.as_py())
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                store, at = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if re.match("file:/(?!/)", path) else path)
+                with store.open_input_file(at) as file:
+                    yield from rows(path, Stream(file))
+
+    columns = "path string, kind string, start long, stop long, record_id string, record_type string, url string, refers_to string, payload_digest string, payload_bytes long, payload binary, reason string"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder)
+    small = files.where(F.col("length") <= whole_bytes).select("path", "content").mapInArrow(read, columns)
+    large = files.where(F.col("length") > whole_bytes).select("path").mapInArrow(stream, columns)
+    return small.unionByName(large)
+
+
+def page_id_of(urn_of: Column, kind: str) -> Column:
+    """The page's id that a record id of ``urn`` gives; null for others and for those that are no ``kind``."""
+    return F.when(urn_of.startswith("urn:page:"), F.url_decode(F.replace(F.substring(urn_of, 10, 1 << 30), F.lit("+"), F.lit("%2B")))).try_cast(kind)
+
+
+def resolved(records: DataFrame, kind: str = "long") -> DataFrame:
+    """Pages of the records, with ids of type ``kind``; each revisit has the size of the response that it refers to."""
+    rows = records.where("kind = 'record'").select("record_id", "record_type", "refers_to", "payload_digest", "payload_bytes")
     sizes = rows.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("referred_bytes"))
     found = rows.join(sizes, ["refers_to", "payload_digest"], "left")
     return found.select(
-        F.expr("try_cast(record_id as long)").alias("page_id"), F.coalesce("payload_bytes", "referred_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.expr("try_cast(refers_to as long)").alias("refers_to")
+        page_id_of(F.col("record_id"), kind).alias("page_id"), F.coalesce("payload_bytes", "referred_bytes").alias("payload_bytes"), "payload_digest", "record_type", page_id_of(F.col("refers_to"), kind).alias("refers_to")
     )
 
 
+def salvaged(spark: SparkSession, folder: str, kind: str = "long") -> tuple[DataFrame, DataFrame]:
+    """The pages of all archives under a folder, and the log of the gaps: path, start, stop, reason. Both are read once."""
+    records = storage.saved(read_warc(spark, folder, payloads=False).drop("payload"), "records")
+    return resolved(records, kind), records.where("kind = 'gap'").select("path", "start", "stop", "reason")
+
+
 def archive_round_trip(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = 16 << 20) -> DataFrame:
-    """Writes all pages to archives in the shared folder, reads them back, resolves revisits."""
-    spark = pages.sparkSession
+    """Writes all pages to archives in the shared folder, reads them back, resolves revisits.
+    Bytes that cannot be read back would be pages lost: they raise."""
+    spark, kind = pages.sparkSession, pages.schema["page_id"].dataType.simpleString()
     folder = storage.new_path(spark, "warc")
     if write_warc(pages, folder, least_bytes, archive_bytes).isEmpty():
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return resolved(read_warc(spark, folder, payloads=False))
+        return spark.createDataFrame([], f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}")
+    found, gaps = salvaged(spark, folder, kind)
+    if lost := gaps.limit(5).collect():
+        raise RuntimeError(f"archives of this run have gaps: {lost}")
+    return found

@@ -39,6 +39,36 @@ def test_round_trip(spark):
     assert len(alone) == 22 and {r.record_type for r in alone} == {"response"}
 
 
+def test_ids_keep_their_type(spark):
+    some = ["a b", "null", "x>\r\ny", "100%25+1", "", "é/1", None, "7"]
+    pages = spark.createDataFrame([(i, "u", f"<p>{k // 2}</p>") for k, i in enumerate(some)], "page_id string, url string, html string")
+    found = {r.page_id: r for r in warc.archive_round_trip(pages).collect()}
+    assert found.keys() == set(some)
+    for k, i in enumerate(some):
+        pair = [x for x in some[k // 2 * 2 : k // 2 * 2 + 2] if x is not None]
+        assert found[i].refers_to == (None if i == max(pair) else max(pair)) and found[i].record_type == ("response" if i == max(pair) else "revisit")
+    numbers = warc.archive_round_trip(pages.selectExpr("cast(length(page_id) as int) as page_id", "url", "html"))
+    assert dict(numbers.dtypes)["page_id"] == "int" and {r.page_id for r in numbers.collect()} == {None if i is None else len(i) for i in some}
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_salvage_in_pieces(packed, tmp_path):
+    """A file that is read in small pieces gives what its bytes in memory give."""
+    from pyarrow import fs
+
+    rnd = random.Random(4)
+    data = b"".join(archive(30, packed))
+    for turn in range(12):
+        bad = bytearray(data)
+        for _ in range(turn):
+            bad[rnd.randrange(len(bad))] ^= 1 + rnd.randrange(255)
+        (tmp_path / "x").write_bytes(bad)
+        with fs.LocalFileSystem().open_input_file(str(tmp_path / "x")) as f:
+            assert list(warc.salvage(warc.Stream(f, 500))) == list(warc.salvage(bytes(bad)))
+    source = warc.Held(b"x" * 5000 + b"WARC/1.1\r\n")
+    assert all(warc.next_sign(source, 0, piece) == 5000 for piece in (20, 33, 4999, 10**6)) and warc.next_sign(source, 5001) == source.size
+
+
 def test_long_urls(spark):
     rows = [(1, "http://h.example/?" + "a b" * 40000, "<p>x</p>", None, None, None), (2, "u" * 100_000, "<p>x</p>", None, None, None), (3, "v" * 2_000_000, "<p>y</p>", None, None, None), (4, "w", "<p>y</p>", None, None, None)]
     found = {tuple(r)[:2] + (r.record_type, r.refers_to) for r in warc.archive_round_trip(spark.createDataFrame(rows, PAGES)).collect()}
@@ -115,6 +145,9 @@ def test_gaps_are_logged(spark):
     assert [r.kind for r in rows] == ["record", "gap", "record", "record", "record"]
     assert rows[1].start == len(parts[0]) and rows[1].stop == rows[2].start and rows[1].reason
     assert rows[2].payload == b"payload 2 " * 81
+    assert rows == warc.read_warc(spark, folder, whole_bytes=0).orderBy("start").collect()  # in pieces
+    pages, gaps = warc.salvaged(spark, folder)
+    assert sorted(r.page_id for r in pages.collect()) == [0, 2, 3, 4] and [(r.start, r.stop) for r in gaps.collect()] == [(rows[1].start, rows[1].stop)]
 
 
 CONVERSATIONS = "conv_id long, turn long, role string, text string, formatted string, state int"
