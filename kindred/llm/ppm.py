@@ -14,15 +14,17 @@ How Spark runs it. The trie grows with the corpus and is never broadcast.
 Documents are dealt into groups of about ``group_bytes`` by a hash of their id, and
 shuffled as compressed blocks of the documents of one batch and group; a group names its distinct (K+1)-grams once, each with its count in training texts.
 Counts are summed by gram (rows of a gram: at most one a group); the trie below a
-context of order 2 is then evaluated in one task, which turns each distinct gram
+context of order 2 is then evaluated in one task, or, if it has more than a thousandth
+of all distinct grams, in several by the byte before, each of which gets the counts that
+follow the context of order 2. That turns each distinct gram
 into its log probability; these go back to the groups that asked by an equi-join
-on the gram, and each group adds them up over its documents. Only the counts of
+on the gram, and each group adds them up over its documents. Only counts by
 byte pairs (65,536 rows at most) pass through the driver. Words of the unigram
 base travel the same way, as hashes of 62 bits.
 
 Defined cases: null text is an empty one (only the end byte is coded); repeated
-rows are scored each; an empty table gives no rows; a model learned from nothing
-gives each byte 1/256; other columns are ignored.
+rows are scored each; a text of any length is scored whole; an empty table gives no rows; a
+model learned from nothing gives each byte 1/256; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,12 +90,14 @@ class Counter64:
         return self.keys, self.counts
 
 
-def gram_logs(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int) -> np.ndarray:
+def gram_logs(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int, triples: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """log10 probability of the last byte of each distinct gram after the bytes before it.
 
     ``grams`` holds all grams, seen in training or asked for, that share the
-    contexts of order 2 it has (order < 2: all grams), ``counts`` their training
-    counts; ``pairs`` (256 x 256) counts the byte pairs of all training texts.
+    contexts of order 2 it has, ``counts`` their training counts; ``pairs`` (256 x 256)
+    counts the byte pairs of all training texts. Of a context of order 2 that ``triples``
+    (byte triples and their counts in all training texts) has, it may hold only all grams
+    that share the contexts of order 3 it has.
     """
     seen = counts > 0
     result, done, escaped = np.zeros(len(grams)), np.zeros(len(grams), bool), np.zeros(len(grams), bool)
@@ -104,6 +108,11 @@ def gram_logs(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: i
             masked = grams[seen] & ((1 << 8 * (j + 1)) - 1)
             keys, back = np.unique(masked, return_inverse=True)
             sums = np.bincount(back, counts[seen], len(keys)).astype(np.int64)
+            if j == 2 and triples is not None:
+                own = ~np.isin(keys >> 8, triples[0] >> 8)
+                keys, sums = np.r_[keys[own], triples[0]], np.r_[sums[own], triples[1]]
+                by = np.argsort(keys)
+                keys, sums = keys[by], sums[by]
         else:
             table = pairs.ravel() if j == 1 else pairs.sum(0)
             keys = np.flatnonzero(table)
@@ -153,7 +162,7 @@ class Lookup:
         for factor in self.FACTORS:
             if not len(left):
                 break
-            bits = max(4, int(4 * len(left)).bit_length())
+            bits = max(4, int(2 * len(left)).bit_length())
             table = np.zeros(1 << bits, np.int32)
             slot = self.slots(keys[left], factor, bits)
             table[slot] = left
@@ -208,7 +217,7 @@ def pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(groups[first], pa.int32()), pa.array(blocks, pa.binary())], ["grp", "block"])
 
 
-def score_documents(docs: DataFrame, learn, order: int = 5, group_bytes: int = 20 << 20, lower: bool = True) -> DataFrame:
+def score_documents(docs: DataFrame, learn, order: int = 5, group_bytes: int = 20 << 20, lower: bool = True, least_split: int = 5000) -> DataFrame:
     """Scores every text by a PPM model of the rows for which ``learn`` holds.
 
     docs: doc_id and text; order: 2 to 6 context bytes; lower: lower-case A-Z first.
@@ -254,12 +263,23 @@ def score_documents(docs: DataFrame, learn, order: int = 5, group_bytes: int = 2
 
     def evaluate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if got := [f for f in frames if len(f)]:
-            keys, n = np.concatenate([f["key"] for f in got]), np.concatenate([f["n"] for f in got])
-            logs = gram_logs(keys, n, pairs, order)
+            keys, n, triple = (np.concatenate([f[c] for f in got]) for c in ("key", "n", "triple"))
+            given, at = np.unique(keys[triple], return_index=True)  # one for each split that came here
+            logs = gram_logs(keys[~triple], n[~triple], pairs, order, (given, n[triple][at]))
+            keys = keys[~triple]
             for i in range(0, len(keys), 100_000):
                 yield pd.DataFrame({"key": keys[i : i + 100_000], "value": logs[i : i + 100_000]})
 
-    logs = grams.repartition(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))).mapInPandas(evaluate, "key long, value double")
+    # contexts of two bytes that have more than a thousandth of all grams are split by the byte before
+    context = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    sizes = grams.groupBy(context.alias("context")).count().collect() if order > 2 else []  # 65,536 rows at most
+    most = max(least_split, sum(n for _, n in sizes) // 1000)
+    large = docs.sparkSession.createDataFrame([(c, -(-n // most)) for c, n in sizes if n > most], "context int, splits long")  # below 1,000 rows where it is by the share
+    marked = grams.withColumn("context", context).join(F.broadcast(large), "context", "left")
+    dealt_grams = marked.select("key", "n", F.lit(False).alias("triple"), "context", F.coalesce(F.pmod(F.shiftright("key", 24).bitwiseAND(F.lit(0xFF)), "splits"), F.lit(0)).alias("split"))
+    triples = marked.where("splits is not null and n > 0").groupBy(F.col("key").bitwiseAND(F.lit(0xFFFFFF)).alias("key"), "context", "splits").agg(F.sum("n").alias("n"))
+    triples = triples.select("key", "n", F.lit(True).alias("triple"), "context", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)).alias("split"))
+    logs = dealt_grams.unionByName(triples).repartition("context", "split").select("key", "n", "triple").mapInPandas(evaluate, "key long, value double")
     values = logs.unionByName(of_words.select("key", F.col("n").cast("double").alias("value")))
     answers = named.select("grp", "key").join(values, "key").select("grp", "key", "value")
 

@@ -79,6 +79,8 @@ def test_scores_match_a_trie(edge):
     rows = [(i, t) for i, t in edge_texts()]
     for size in (48 << 20, 5000):  # one group and many
         check_scores(ppm.score_documents(edge, learn(), order=3, group_bytes=size).collect(), rows, 3)
+    for order in (3, 5):  # nearly all contexts of two bytes are split
+        check_scores(ppm.score_documents(edge, learn(), order=order, least_split=2).collect(), rows, order)
 
 
 def test_query_on_a_table(spark, texts):
