@@ -27,7 +27,8 @@ def jaro_winkler(a: Column, b: Column) -> Column:
             return F.concat(found, F.array(F.coalesce(F.get(free, F.lit(0)), F.lit(0))))
 
         placed = F.filter(F.aggregate(F.sequence(F.lit(1), n), F.array().cast("array<int>"), match), lambda j: j > 0)
-        return F.get(F.transform(F.array(F.struct(placed.alias("p"), F.sort_array(placed).alias("q"), x.alias("x"), y.alias("y"))), finish), F.lit(0))
+        # bound by a lambda, so that it is evaluated once
+        return F.get(F.transform(F.array(placed), lambda p: finish(F.struct(p.alias("p"), F.sort_array(p).alias("q"), x.alias("x"), y.alias("y")))), F.lit(0))
 
     def finish(s: Column) -> Column:
         x, y, k = s["x"], s["y"], F.size(s["p"])

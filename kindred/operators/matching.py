@@ -40,6 +40,13 @@ def pairs_of(keys: DataFrame, *also: str, star: bool = False) -> DataFrame:
     return left.join(side(2), "key").where("id1 < id2")
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are evaluated once a row: conditions on what a generator gives are not moved
+    below it, so that they do not repeat the expressions."""
+    both = F.struct(*(c.alias(name) for name, c in columns.items()))
+    return df.select("*", F.explode(F.array(both)).alias("_computed")).select(*(f"`{c}`" for c in df.columns), *(F.col(f"_computed.{name}").alias(name) for name in columns))
+
+
 def percent(x: Column) -> Column:
     return F.format_string("%.0f%%", x * 100)
 
@@ -63,7 +70,13 @@ def det_company_domain(rows: DataFrame, star: bool = False) -> DataFrame:
 
 
 def similar_names(pairs: DataFrame, least: float) -> DataFrame:
-    return pairs.withColumn("name_sim", s.jaro_winkler(F.col("name1"), F.col("name2"))).where(F.col("name_sim") >= least)
+    return with_name_sim(pairs).where(F.col("name_sim") >= least)
+
+
+def with_name_sim(pairs: DataFrame) -> DataFrame:
+    """Pairs, dealt evenly over all tasks as the similarity takes far longer than they take to move, with name_sim."""
+    pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id1", "id2")
+    return computed(pairs, name_sim=s.jaro_winkler(F.col("name1"), F.col("name2")))
 
 
 def det_company_root(rows: DataFrame) -> DataFrame:
@@ -159,7 +172,7 @@ def gate_company(pairs: DataFrame, settings: Settings) -> DataFrame:
 def score_company(pairs: DataFrame, settings: Settings) -> DataFrame:
     """Pairs with city_sim, industry_sim, score and dims."""
     w, c = settings.similarity_weights, F.col
-    pairs = pairs.withColumn("city_sim", s.jaro_winkler(F.lower("city1"), F.lower("city2"))).withColumn("industry_sim", s.jaro_winkler(F.lower("industry1"), F.lower("industry2")))
+    pairs = computed(pairs, city_sim=s.jaro_winkler(F.lower("city1"), F.lower("city2")), industry_sim=s.jaro_winkler(F.lower("industry1"), F.lower("industry2")))
     parts = pairs.withColumn("loc_sim", s.location_similarity(c("city_sim"), c("state1"), c("state2"), c("country1"), c("country2"))).withColumn("phone_sim", s.equal_score(c("phone1"), c("phone2"))).withColumn("emp_sim", s.employee_similarity(c("employee_count1"), c("employee_count2")))
     total = w["name"] * c("name_sim") + w["location"] * c("loc_sim") + w["industry"] * c("industry_sim") + w["phone"] * c("phone_sim") + w["employee_count"] * c("emp_sim")
     dims = sum((F.when(x, 1).otherwise(0) for x in (c("loc_sim") > 0.5, c("industry_sim") > 0.7, c("phone_sim") > 0.5, c("emp_sim") > 0.5)), F.lit(0))
@@ -179,7 +192,7 @@ CONTACT_SIDES = ["name", "first_name", "last_name", "email", "company_name", "co
 
 
 def probabilistic_company(rows: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
-    named = both_sides(pairs, rows, COMPANY_SIDES).withColumn("name_sim", s.jaro_winkler(F.col("name1"), F.col("name2")))
+    named = with_name_sim(both_sides(pairs, rows, COMPANY_SIDES))
     scored = score_company(gate_company(named, settings), settings)
     scored = scored.where((F.col("dims") >= settings.min_matching_dimensions) | (F.col("name_sim") >= settings.sparse_min_name_similarity))
     scored = scored.withColumn("match_type", classify(F.col("score"), settings)).where("match_type is not null")
@@ -198,7 +211,7 @@ def gate_contact(pairs: DataFrame, settings: Settings) -> DataFrame:
 def score_contact(pairs: DataFrame, settings: Settings) -> DataFrame:
     """Pairs with company_sim, title_sim, score and dims."""
     w, c = settings.similarity_weights, F.col
-    parts = pairs.withColumn("company_sim", s.jaro_winkler(c("company_name1"), c("company_name2"))).withColumn("title_sim", s.jaro_winkler(c("job_title1"), c("job_title2"))).withColumn("domain_sim", s.equal_score(c("company_domain1"), c("company_domain2")))
+    parts = computed(pairs, company_sim=s.jaro_winkler(c("company_name1"), c("company_name2")), title_sim=s.jaro_winkler(c("job_title1"), c("job_title2"))).withColumn("domain_sim", s.equal_score(c("company_domain1"), c("company_domain2")))
     total = w["name"] * c("name_sim") + w["company"] * c("company_sim") + w["title"] * c("title_sim") + w["domain"] * c("domain_sim")
     dims = sum((F.when(x, 1).otherwise(0) for x in (c("company_sim") > 0.7, c("title_sim") > 0.7, c("domain_sim") > 0.5)), F.lit(0))
     return parts.withColumn("score", F.least(total / sum(w.values()), F.lit(1.0))).withColumn("dims", dims)
@@ -213,7 +226,7 @@ def matching_fields_contact() -> Column:
 
 
 def probabilistic_contact(rows: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
-    named = both_sides(pairs, rows, CONTACT_SIDES).withColumn("name_sim", s.jaro_winkler(F.col("name1"), F.col("name2"))).withColumn("cross", cross_domain())
+    named = with_name_sim(both_sides(pairs, rows, CONTACT_SIDES)).withColumn("cross", cross_domain())
     scored = score_contact(gate_contact(named, settings), settings)
     scored = scored.where((F.col("dims") > 1) | (F.col("name_sim") >= settings.sparse_min_name_similarity))
     scored = scored.withColumn("match_type", F.when(F.col("cross"), "probabilistic_medium").otherwise(classify(F.col("score"), settings))).where("match_type is not null")

@@ -159,12 +159,12 @@ def company_left(rows: DataFrame) -> DataFrame:
 
 
 def company_named(rows: DataFrame) -> DataFrame:
-    return m.both_sides(company_left(rows), rows, m.COMPANY_SIDES).withColumn("name_sim", s.jaro_winkler(c("name1"), c("name2")))
+    return m.with_name_sim(m.both_sides(company_left(rows), rows, m.COMPANY_SIDES))
 
 
 def contact_named(rows: DataFrame) -> DataFrame:
     left = m.anti_exclude(m.candidates(rows, contact_settings()), pipeline.deterministic("contact", rows))
-    return m.both_sides(left, rows, m.CONTACT_SIDES).withColumn("name_sim", s.jaro_winkler(c("name1"), c("name2"))).withColumn("cross", m.cross_domain())
+    return m.with_name_sim(m.both_sides(left, rows, m.CONTACT_SIDES)).withColumn("cross", m.cross_domain())
 
 
 _SIM = "select id1, id2, round(name_sim, 6) as name_sim"
@@ -256,8 +256,9 @@ def where(*filters_: tuple) -> list[list[dict]]:
     return [[{"propertyName": n, "operator": op, "value": v[0] if v else None}] for n, op, *v in filters_]
 
 
-for _op, _sql, _value in (("EQ", "=", 3000.0), ("NEQ", "<>", 3000.0), ("LT", "<", 3000.0), ("LTE", "<=", 3000.0), ("GT", ">", 150000.0), ("GTE", ">=", 150000.0)):
-    query(f"op_{_op}", f"select o_orderkey, o_totalprice from orders where o_totalprice {_sql} {_value}")(lambda spark, d, op=_op, v=_value: filters.filter_groups(orders(spark, d), where(("o_totalprice", op, v))).select("o_orderkey", "o_totalprice"))
+# values that occur, so that each comparison differs from the others
+for _op, _sql, _value in (("EQ", "=", 50), ("NEQ", "<>", 50), ("LT", "<", 50), ("LTE", "<=", 50), ("GT", ">", 50), ("GTE", ">=", 50)):
+    query(f"op_{_op}", f"select o_orderkey, o_custkey from orders where o_custkey {_sql} {_value}")(lambda spark, d, op=_op, v=_value: filters.filter_groups(orders(spark, d), where(("o_custkey", op, v))).select("o_orderkey", "o_custkey"))
 query("op_CONTAINS_TOKEN", "select o_orderkey, o_orderpriority from orders where o_orderpriority ilike '%-HIGH'")(lambda spark, d: filters.filter_groups(orders(spark, d), where(("o_orderpriority", "CONTAINS_TOKEN", "*-high"))).select("o_orderkey", "o_orderpriority"))
 query("op_HAS_PROPERTY", f"with {o.FX} select record_id, email from fx_contacts where email is not null")(lambda spark, d: filters.filter_groups(load(spark, d, "fx_contacts"), where(("email", "HAS_PROPERTY"))).select("record_id", "email"))
 query("op_NOT_HAS_PROPERTY", f"with {o.FX} select record_id, email from fx_contacts where email is null")(lambda spark, d: filters.filter_groups(load(spark, d, "fx_contacts"), where(("email", "NOT_HAS_PROPERTY"))).select("record_id", "email"))

@@ -18,7 +18,7 @@ select cast(p_partkey as string) as record_id, p_name as name, p_type as industr
 from part"""
 
 CONTACTS = """
-select cast(k as string) as record_id, first_name, last_name,
+select cast(k as string) as record_id, case when k % 7 = 3 then concat(substring(first_name, 1, 1), 'qzuvwxkt') when k % 7 = 5 then concat(first_name, 'abella') else first_name end as first_name, last_name,
  case when k % 11 = 0 then null else concat(lower(first_name),'.',lower(last_name),case when k % 7 = 0 then '1' else '' end,'@',dom) end as email,
  case when k % 4 = 0 then null else dom end as company_name,
  split_part('Nurse,Buyer,Director,Analyst',',',cast(k % 4 + 1 as int)) as job_title,
