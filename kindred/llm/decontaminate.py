@@ -136,6 +136,11 @@ class Index:
             x = np.frombuffer(buffer, kind, size, at)
             setattr(self, name, x)
             at += x.nbytes + -x.nbytes % 8
+        # places of postings and blocks by term and item: both are sorted, so that many cursors move by one search
+        place = np.arange(len(self.terms), dtype=np.int64)
+        self.width = self.n // BLOCK + 1
+        self.postings = np.repeat(place * self.n, self.last - self.first) + self.item
+        self.blocks = np.repeat(place * self.width, self.block_last - self.block_first) + self.block
         self.by_most = np.argsort(self.most, kind="stable")  # terms from the least maximum to the greatest
         self.rank = np.empty_like(self.by_most)
         self.rank[self.by_most] = np.arange(len(self.by_most))
@@ -185,21 +190,17 @@ class Index:
                 goal = pivot + 1
             else:
                 goal = pivot
-            for k in range(upto):
-                if item[k] < goal:
-                    at[k] += np.searchsorted(self.item[at[k] : last[k]], goal)
+            at[:upto] = np.maximum(at[:upto], np.searchsorted(self.postings, terms[:upto] * self.n + goal))
             open_ = at < last
-            terms, at, last = terms[open_], at[open_], last[open_]
+            if not open_.all():
+                terms, at, last = terms[open_], at[open_], last[open_]
         return out
 
     def ceiling(self, terms: np.ndarray, block: int) -> float:
         """The sum of the terms' maxima in a block."""
-        total = 0.0
-        for a, z in zip(self.block_first[terms].tolist(), self.block_last[terms].tolist(), strict=True):
-            k = a + int(np.searchsorted(self.block[a:z], block))
-            if k < z and self.block[k] == block:
-                total += float(self.block_most[k])
-        return total
+        wanted = terms * self.width + block
+        k = np.minimum(np.searchsorted(self.blocks, wanted), len(self.blocks) - 1)
+        return float(self.block_most[k[self.blocks[k] == wanted]].sum(dtype=float))
 
     def promising(self, place: np.ndarray, counts: np.ndarray, starts: np.ndarray, n: np.ndarray, before: np.ndarray, step: int) -> Iterator[tuple[int, np.ndarray]]:
         """Passages, with their terms, of which the maxima of some block may reach 1.
