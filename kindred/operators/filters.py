@@ -8,10 +8,19 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..schema import OBJECT_COLUMNS
+
 COMPARE = {"EQ": "__eq__", "NEQ": "__ne__", "LT": "__lt__", "LTE": "__le__", "GT": "__gt__", "GTE": "__ge__"}
 MOST_ROWS = 100
 
 
+def search_objects(rows: DataFrame, kind: str, limit: int = 10, properties: list[str] | None = None, groups: list[list[dict]] | None = None, sorts: list[tuple[str, str]] | None = None) -> DataFrame:
+    """``search`` over objects of a registered kind; without properties, those that its kind shows by default."""
+    if kind not in OBJECT_COLUMNS:
+        raise ValueError(f"unknown kind of object {kind}: one of {', '.join(OBJECT_COLUMNS)}")
+    return search(rows, limit, properties or OBJECT_COLUMNS[kind], groups, sorts)
+
+
 def condition(name: str, operator: str, value: object = None) -> Column:
     """One filter; comparisons with a missing value do not hold."""
     column = F.col(name)

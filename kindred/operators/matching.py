@@ -161,12 +161,21 @@ def field_list(**tests: Column) -> Column:
     return F.filter(F.array(*(F.when(c, name) for name, c in tests.items())), lambda x: x.isNotNull())
 
 
-def gate_company(pairs: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs with name_sim that pass the gates on names, generic first words and states."""
+def gate_generic_prefix(pairs: DataFrame, least: float = 0.94) -> DataFrame:
+    """Names that share a first word that says little must be the more similar."""
     generic = (t.first_word(F.col("name1")) == t.first_word(F.col("name2"))) & t.first_word(F.col("name1")).isin(*GENERIC_PREFIXES)
+    return pairs.where(~F.coalesce(generic, F.lit(False)) | (F.col("name_sim") >= least))
+
+
+def gate_location_mismatch(pairs: DataFrame, least: float = 0.95) -> DataFrame:
+    """Names of records in different states must be the more similar."""
     elsewhere = F.lower("state1") != F.lower("state2")
-    no = F.lit(False)
-    return pairs.where(F.col("name_sim") >= settings.min_name_similarity).where(~F.coalesce(generic, no) | (F.col("name_sim") >= 0.94)).where(~F.coalesce(elsewhere, no) | (F.col("name_sim") >= 0.95))
+    return pairs.where(~F.coalesce(elsewhere, F.lit(False)) | (F.col("name_sim") >= least))
+
+
+def gate_company(pairs: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs with name_sim that pass the gates on names, generic first words and states."""
+    return gate_location_mismatch(gate_generic_prefix(pairs.where(F.col("name_sim") >= settings.min_name_similarity)))
 
 
 def score_company(pairs: DataFrame, settings: Settings) -> DataFrame:

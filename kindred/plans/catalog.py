@@ -308,9 +308,29 @@ query("scan_csv_contact", f"with {o.FX} select record_id, first_name, last_name,
 
 @query("scan_json_contact", f"with {o.FX} select record_id, first_name, last_name, email from fx_contacts")
 def scan_json_contact(spark: SparkSession, d: str) -> DataFrame:
+    """One document of at most some hundred records a line, as an API's pages are."""
     path = storage.new_path(spark, "json")
     rows = load(spark, d, "fx_contacts").select(c("record_id").alias("id"), F.struct(c("first_name").alias("firstname"), c("last_name").alias("lastname"), c("email")).alias("properties"))
-    # documents of the size that an API page has
-    pages = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(16)).alias("page")).agg(F.to_json(F.struct(F.collect_list(F.struct("id", "properties")).alias("results"))).alias("value"))
-    pages.repartition(16, "page").select("value").write.text(path)
-    return records.json_item_to_record(records.json_items(spark.read.text(path)), records.CONTACT_JSON_COLUMNS, records.CONTACT_FIELDS, "id", "properties").select("record_id", "first_name", "last_name", "email")
+    pages = storage.parts(rows.count(), 100)
+    paged = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(pages)).alias("page")).agg(F.to_json(F.struct(F.collect_list(F.struct("id", "properties")).alias("results"))).alias("value"))
+    paged.select("value").write.text(path)
+    return records.scan_json_contact(spark, path, lines=True).select("record_id", "first_name", "last_name", "email")
+
+
+# operators inside of others, by themselves
+query("pair_canonical", f"{o.CONTACT} select id1, id2, key from r1")(lambda spark, d: m.pairs_of(m.keyed(contacts(spark, d), c("email"))).select("id1", "id2", "key"))
+query("api_sort", "select o_orderkey from orders order by o_totalprice desc, o_orderkey limit 7")(lambda spark, d: filters.search(orders(spark, d), 7, ["o_orderkey"], None, [("o_totalprice", "DESCENDING"), ("o_orderkey", "ASCENDING")]))
+query("api_limit", "select o_orderkey from orders order by o_orderkey limit 100")(lambda spark, d: filters.search(orders(spark, d), 1000, ["o_orderkey"], None, [("o_orderkey", "ASCENDING")]))
+query("object_types", "select c_name as name, null::varchar as domain, null::varchar as createdate, c_mktsegment as industry, null::varchar as numberofemployees from customer order by c_name desc limit 100")(
+    lambda spark, d: filters.search_objects(table(spark, d, "customer").select(c("c_name").alias("name"), *(F.lit(None).cast("string").alias(x) for x in ("domain", "createdate", "numberofemployees")), c("c_mktsegment").alias("industry")), "companies", 100, sorts=[("name", "DESCENDING")])
+)
+query("gate_generic_prefix", f"{o.COMPANY} {_SIM} from nm where not (coalesce({o.first_word('n1')} = {o.first_word('n2')} and {o.first_word('n1')} in {o.inlist(m.GENERIC_PREFIXES)}, false) and name_sim < 0.94)")(lambda spark, d: sims(m.gate_generic_prefix(company_named(companies(spark, d)))))
+query("gate_location_mismatch", f"{o.COMPANY} {_SIM} from nm where not (coalesce(lower(s1) <> lower(s2), false) and name_sim < 0.95)")(lambda spark, d: sims(m.gate_location_mismatch(company_named(companies(spark, d)))))
+query("gate_threshold", f"{o.COMPANY} select id1, id2, round(score, 6) as score, dims from sc1 where score >= 0.72")(
+    lambda spark, d: scores(m.score_company(m.gate_company(company_named(companies(spark, d)), company_settings()), company_settings()).where(m.classify(c("score"), company_settings()).isNotNull()))
+)
+query("matching_fields_company", f"{o.COMPANY} select id1, id2, fields from prob")(lambda spark, d: (lambda rows: m.probabilistic_company(rows, company_left(rows), company_settings()).select("id1", "id2", F.array_join("matching_fields", ", ").alias("fields")))(companies(spark, d)))
+query("matching_fields_contact", f"{o.CONTACT} select id1, id2, fields from prob")(
+    lambda spark, d: (lambda rows: m.probabilistic_contact(rows, m.anti_exclude(m.candidates(rows, contact_settings()), pipeline.deterministic("contact", rows)), contact_settings()).select("id1", "id2", F.array_join("matching_fields", ", ").alias("fields")))(contacts(spark, d))
+)
+query("explanation", f"{o.COMPANY} select id1, id2, explanation from mt")(lambda spark, d: pipeline.find_matches("company", companies(spark, d), company_settings()).select("id1", "id2", "explanation"))

@@ -44,10 +44,12 @@ OBJECT_COLUMNS = {
     "tickets": ["subject", "content", "hs_pipeline_stage", "createdate", "hubspot_owner_id"],
 }
 
+# Types of matches and what is recommended for each.
 MATCH_TYPES = ("deterministic_high", "deterministic_medium", "probabilistic_high", "probabilistic_medium")
 ACTIONS = {"deterministic_high": "auto_merge", "deterministic_medium": "review_merge", "probabilistic_high": "review_merge", "probabilistic_medium": "manual_review"}
 
 
+# The weights here and the thresholds and caps below.
 def _company_weights() -> dict[str, float]:
     return {"name": 0.45, "location": 0.25, "industry": 0.15, "phone": 0.10, "employee_count": 0.05}
 

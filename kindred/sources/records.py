@@ -34,25 +34,26 @@ def mapped(rows: DataFrame, columns: dict[str, str], fields: dict[str, str], pos
             c = F.col(f"`{source}`")
             sources[name].append(int_parse(c) if fields[name] == "long" else c.cast("string"))
     picked = [coalesce_mapping(cs).cast(fields[f]).alias(f) for f, cs in sources.items()]
-    rest = [c for c in rows.columns if c not in columns and not c.startswith("_")]
+    rest = [c for c in rows.columns if c not in columns]
     out = rows.select(*picked, raw_data_map(rest).alias("raw_data"), position.alias("position"))
     return out.withColumn("record_id", F.coalesce("record_id", F.col("position").cast("string"))).where("record_id <> ''")
 
 
-def read_csv(spark: SparkSession, path: str, columns: dict[str, str], fields: dict[str, str]) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: dict[str, str], fields: dict[str, str], multi_line: bool = True) -> DataFrame:
     """All columns as text; usual tokens for missing values are null. Rows without an id get
-    their place, which follows the order of one file's rows and of files' splits."""
-    rows = spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE").csv(path)
+    their place, which follows the order of one file's rows and of files' splits. Files whose
+    values hold no line feeds are split among tasks with ``multi_line=False``."""
+    rows = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE").csv(path)
     rows = rows.select(*(F.when(~F.col(f"`{c}`").isin(*NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in rows.columns))
     return mapped(rows, columns, fields, F.monotonically_increasing_id())
 
 
-def scan_csv_company(spark: SparkSession, path: str, column_mapping: dict[str, str] | None = None) -> DataFrame:
-    return read_csv(spark, path, COMPANY_COLUMNS | (column_mapping or {}), COMPANY_FIELDS)
+def scan_csv_company(spark: SparkSession, path: str, column_mapping: dict[str, str] | None = None, multi_line: bool = True) -> DataFrame:
+    return read_csv(spark, path, COMPANY_COLUMNS | (column_mapping or {}), COMPANY_FIELDS, multi_line)
 
 
-def scan_csv_contact(spark: SparkSession, path: str, column_mapping: dict[str, str] | None = None) -> DataFrame:
-    return read_csv(spark, path, CONTACT_COLUMNS | (column_mapping or {}), CONTACT_FIELDS)
+def scan_csv_contact(spark: SparkSession, path: str, column_mapping: dict[str, str] | None = None, multi_line: bool = True) -> DataFrame:
+    return read_csv(spark, path, CONTACT_COLUMNS | (column_mapping or {}), CONTACT_FIELDS, multi_line)
 
 
 def json_item_to_record(items: DataFrame, columns: dict[str, str], fields: dict[str, str], id_key: str, property_key: str) -> DataFrame:
@@ -77,14 +78,18 @@ def json_items(texts: DataFrame, results_key: str = "results") -> DataFrame:
     inner = F.from_json(F.get_json_object("value", f"$.{results_key}"), "array<string>")
     one = F.when(~F.trim("value").startswith("["), F.array("value"))
     items = F.coalesce(inner, F.when(F.trim("value").startswith("["), listed), one)
-    return texts.select(F.posexplode(items).alias("position", "item"))
+    # in the order of documents and of the places in them
+    return texts.select(F.explode(items).alias("item")).select(F.monotonically_increasing_id().alias("position"), "item")
 
 
-def scan_json_contact(spark: SparkSession, path: str, results_key: str = "results", property_key: str = "properties", id_key: str = "id", column_mapping: dict[str, str] | None = None) -> DataFrame:
-    texts = spark.read.text(path, wholetext=True)
-    return json_item_to_record(json_items(texts, results_key), CONTACT_JSON_COLUMNS | (column_mapping or {}), CONTACT_FIELDS, id_key, property_key)
+def read_json(spark: SparkSession, path: str, columns: dict[str, str], fields: dict[str, str], results_key: str, property_key: str, id_key: str, lines: bool) -> DataFrame:
+    """JSON documents, one a file or, with ``lines``, one a line, so that large files are split among tasks."""
+    return json_item_to_record(json_items(spark.read.text(path, wholetext=not lines), results_key), columns, fields, id_key, property_key)
 
 
-def scan_json_company(spark: SparkSession, path: str, results_key: str = "results", property_key: str = "properties", id_key: str = "id", column_mapping: dict[str, str] | None = None) -> DataFrame:
-    texts = spark.read.text(path, wholetext=True)
-    return json_item_to_record(json_items(texts, results_key), COMPANY_COLUMNS | (column_mapping or {}), COMPANY_FIELDS, id_key, property_key)
+def scan_json_contact(spark: SparkSession, path: str, results_key: str = "results", property_key: str = "properties", id_key: str = "id", column_mapping: dict[str, str] | None = None, lines: bool = False) -> DataFrame:
+    return read_json(spark, path, CONTACT_JSON_COLUMNS | (column_mapping or {}), CONTACT_FIELDS, results_key, property_key, id_key, lines)
+
+
+def scan_json_company(spark: SparkSession, path: str, results_key: str = "results", property_key: str = "properties", id_key: str = "id", column_mapping: dict[str, str] | None = None, lines: bool = False) -> DataFrame:
+    return read_json(spark, path, COMPANY_COLUMNS | (column_mapping or {}), COMPANY_FIELDS, results_key, property_key, id_key, lines)
