@@ -7,9 +7,11 @@ invalid. The output is one string and, for each of its segments, its text and lo
 flag: a turn is three segments, the opening mark with the role, the text, and the
 closing mark.
 
-Escapes keep texts from holding marks, and are reversible: ``<``, any number of
-backslashes and ``|`` gets one backslash more before the bar; in roles ``%``, line
-feeds and ``<`` are written as %25, %0A and %3C.
+Escapes keep texts from holding marks, are made from the template's marks and are
+reversible: between the two characters that open a turn (``<`` and ``|`` by default) one
+backslash more than there are is put; in roles ``%``, the first of these characters and the
+first one of what follows a role are written as percent signs and hexadecimal digits
+(%25, %3C and %0A by default). Templates for which this would not hold are refused.
 
 How Spark runs it: one aggregation of turns to conversations; all else is per row,
 on the JVM. A conversation is a unit of the output and is held whole, as a document.
@@ -40,20 +42,47 @@ class Template:
     ends: tuple[str, ...] = ("assistant",)
 
 
-def escape_text(text: Column) -> Column:
-    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
+    def __post_init__(self) -> None:
+        a, b = self.open_turn[:1], self.open_turn[1:2]
+        if not b or a == b or "\\" in (a, b) or "%" in (a, self.after_role[:1]):
+            raise ValueError("open_turn must begin with two different characters, neither of which is a backslash, nor the first a percent sign")
+        if not self.after_role or not self.close_turn or self.close_turn[0] in (b, "\\") or self.open_turn in self.close_turn or self.open_turn in self.after_role:
+            raise ValueError("after_role and close_turn must not be empty, hold open_turn, or end one that a text begins")
 
 
-def unescape_text(text: Column) -> Column:
-    return F.regexp_replace(text, r"<(\\*)\\\|", "<$1|")
+def quoted(x: str) -> str:
+    """A pattern for the characters of x as they are."""
+    return "".join(f"\\x{{{ord(c):x}}}" for c in x)
 
 
-def escape_role(role: Column) -> Column:
-    return F.replace(F.replace(F.replace(role, F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A")), F.lit("<"), F.lit("%3C"))
+def escape_text(text: Column, template: Template) -> Column:
+    a, b = template.open_turn[:2]
+    return F.regexp_replace(text, rf"({quoted(a)})(\\*)({quoted(b)})", r"$1$2\\$3")
 
 
-def unescape_role(role: Column) -> Column:
-    return F.replace(F.replace(F.replace(role, F.lit("%3C"), F.lit("<")), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
+def unescape_text(text: Column, template: Template) -> Column:
+    a, b = template.open_turn[:2]
+    return F.regexp_replace(text, rf"({quoted(a)})(\\*)\\({quoted(b)})", "$1$2$3")
+
+
+def role_signs(template: Template) -> list[str]:
+    return list(dict.fromkeys(["%", template.after_role[0], template.open_turn[0]]))
+
+
+def percent_sign(sign: str) -> str:
+    return "".join(f"%{byte:02X}" for byte in sign.encode())
+
+
+def escape_role(role: Column, template: Template) -> Column:
+    for sign in role_signs(template):
+        role = F.replace(role, F.lit(sign), F.lit(percent_sign(sign)))
+    return role
+
+
+def unescape_role(role: Column, template: Template) -> Column:
+    for sign in reversed(role_signs(template)):
+        role = F.replace(role, F.lit(percent_sign(sign)), F.lit(sign))
+    return role
 
 
 def format_conversations(turns: DataFrame, template: Template | None = None) -> DataFrame:
@@ -73,8 +102,8 @@ def format_conversations(turns: DataFrame, template: Template | None = None) ->
         loss = x["role"].isin(*t.loss_roles) if t.loss_roles else F.lit(False)
         part = lambda text, flag: F.struct(text.alias("text"), flag.alias("loss"))
         return F.array(
-            part(F.concat(F.lit(t.open_turn), escape_role(x["role"]), F.lit(t.after_role)), F.lit(False)),
-            part(escape_text(x["text"]), loss),
+            part(F.concat(F.lit(t.open_turn), escape_role(x["role"], t), F.lit(t.after_role)), F.lit(False)),
+            part(escape_text(x["text"], t), loss),
             part(F.lit(t.close_turn), loss & F.lit(t.train_close)),
         )
 
@@ -88,12 +117,12 @@ def format_conversations(turns: DataFrame, template: Template | None = None) ->
 def read_turns(formatted: Column, template: Template | None = None) -> Column:
     """Turns (array of role, text) of a formatted string. Texts hold no marks, so that splitting at these is exact."""
     t = template or Template()
-    parts = F.slice(F.split(formatted, F.lit("\\Q" + t.open_turn + "\\E")), 2, 1 << 30)
+    parts = F.slice(F.split(formatted, F.lit(quoted(t.open_turn))), 2, 1 << 30)
 
     def one(x: Column) -> Column:
         role_end = F.locate(t.after_role, x)
         text = x.substr(role_end + len(t.after_role), F.length(x) - role_end - (len(t.after_role) - 1) - len(t.close_turn))
-        return F.struct(unescape_role(x.substr(F.lit(1), role_end - 1)).alias("role"), unescape_text(text).alias("text"))
+        return F.struct(unescape_role(x.substr(F.lit(1), role_end - 1), t).alias("role"), unescape_text(text, t).alias("text"))
 
     return F.transform(parts, one)
 
@@ -103,7 +132,7 @@ def digest_conversations(turns: DataFrame, template: Template | None = None) ->
     done = format_conversations(turns, template)
     read = done.withColumn("turns", read_turns(F.col("formatted"), template))
     all_turns = F.concat_ws("", F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))))
-    learned = F.concat_ws("", F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape_text(s["text"])))
+    learned = F.concat_ws("", F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape_text(s["text"], template or Template())))
     read = read.withColumn("learned", learned)
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(all_turns, 256).alias("turns_sha256"),

@@ -185,6 +185,26 @@ def test_chat_by_brute_force(spark):
     assert chat.digest_conversations(turns.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("template", [
+    chat.Template(open_turn="[INST]", after_role=": ", close_turn="[/INST]"), chat.Template(open_turn="$1{", after_role="|", close_turn="}\n"), chat.Template(open_turn="éa.*", after_role="\t", close_turn="."),
+    chat.Template(train_close=True, loss_roles=("user", "assistant")),
+])
+def test_other_templates(spark, template):
+    rnd = random.Random(7)
+    marks = [template.open_turn, template.after_role, template.close_turn, template.open_turn[0], template.open_turn[1], "\\", "x", "%", "<|im_start|>"]
+    rows = [(i, k, rnd.choice(["user", "assistant", "a" + "".join(rnd.choices(marks, k=2))]), "".join(rnd.choices(marks, k=rnd.randrange(7)))) for i in range(40) for k in range(3)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: r.turns for r in chat.format_conversations(turns, template).select("conv_id", chat.read_turns(F.col("formatted"), template).alias("turns")).collect()}
+    for i in range(40):
+        assert [tuple(x) for x in found[i]] == [(r, t) for c, _, r, t in rows if c == i]
+
+
+def test_templates_that_do_not_hold():
+    for bad in (dict(open_turn="<"), dict(open_turn="<<x"), dict(open_turn="\\|"), dict(close_turn="|end"), dict(after_role=""), dict(close_turn="x<|im_start|>")):
+        with pytest.raises(ValueError):
+            chat.Template(**bad)
+
+
 def test_chat_query_has_no_python(spark):
     found = queries.op3_chat_format(spark, SF)
     assert not re.search("Python|Pandas|Arrow", found._jdf.queryExecution().toString())
