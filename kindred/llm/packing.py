@@ -52,6 +52,7 @@ _encoders: dict[str, "WordEncoder"] = {}
 
 
 #: A word of Latin-1 letters and what follows it: the vocabularies here fold case and cut between letters and signs.
+SIGNS = ".,;:!?#$%&*"
 CORE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#$%&*]*)")
 
 
@@ -64,7 +65,7 @@ class WordEncoder:
     older goes when the younger is full.
     """
 
-    def __init__(self, path: str, most: int = 450_000) -> None:
+    def __init__(self, path: str, most: int = 900_000) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -77,14 +78,24 @@ class WordEncoder:
 
     def learn(self, found: set[str]) -> None:
         """Puts the ids of all the words into the younger generation."""
-        new = {w for w in found if w not in self.young}
+        new = found - self.young.keys()
         if len(self.young) + len(new) > self.most:
             self.old, self.young = self.young, {"": b""}
             new = found - {""}
-        split = {w: (m[1].lower(), m[2]) for w in new if (m := CORE.fullmatch(w))}
-        parts = {x for pair in split.values() for x in pair if x} | (new - split.keys())
-        ids = {x: kept for x in parts if (kept := self.young.get(x) or self.old.get(x)) is not None}
-        asked = [x for x in parts if x not in ids]
+        split, parts = {}, set()
+        for w in new:
+            core = w.rstrip(SIGNS)
+            if core.isascii() and core.isalpha():
+                split[w] = core.lower(), w[len(core) :]
+            elif m := CORE.fullmatch(w):
+                split[w] = m[1].lower(), m[2]
+            else:
+                parts.add(w)
+        for pair in split.values():
+            parts.update(pair)
+        young, old = self.young, self.old
+        ids = {x: kept for x in parts if (kept := young.get(x) or old.get(x)) is not None}
+        asked = [x for x in parts if x and x not in ids]
         letters, others = [x for x in asked if x.isalpha()], [x for x in asked if not x.isalpha()]
         for i in range(0, len(letters), JOINED):
             some = letters[i : i + JOINED]
@@ -105,10 +116,11 @@ class WordEncoder:
             return [x for a, b in blocks(texts, 500_000) for x in self.whole(texts[a:b])]
         out = []
         for a, b in blocks(texts, 500_000):
-            cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[a:b]]
+            # str.split takes four control signs for white space that the tokenizer does not
+            cut = [re.split("[ \n\t\r]+", t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts[a:b]]
             self.learn(set().union(*cut))
-            young = self.young
-            out += [b"".join([young[w] for w in c]) for c in cut]
+            ids = self.young.__getitem__
+            out += [b"".join(map(ids, c)) for c in cut]
         return out
 
 

@@ -224,5 +224,5 @@ def test_other_tokenizers(edge):
 
 def test_joined_words():
     e = packing.WordEncoder(queries.word_tokenizer())
-    texts = ["İstanbul ıI straße ΣΑΣ", "가각 abc 각", "a b c", "ﬁne ŉ words"]
+    texts = ["a\x1cb c\x1f", "x\x85y z\u00a0w\u2003v\x0b\x0cq", "...", "a.b, C!? don't", "İstanbul ıI straße ΣΑΣ", "가각 abc 각", "a b c", "ﬁne ŉ words"]
     assert e(texts) == e.whole(texts)
