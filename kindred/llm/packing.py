@@ -25,12 +25,14 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -46,8 +48,6 @@ SPAN = 1 << 32
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, part int, local long, offset long, window int, turn long"
 #: Texts by which a tokenizer shows whether it works word by word.
 PROBES = ("Two words, and more: x.", "a\n\tb  c\r d ", "ÉTÉ Straße naïve co-op don't 3.14 x_y", "UPPER lower Title", "你好 世界 😀 ünïcödé", "((a)) [b]{c} <d> #1 $5 100%!?", "")
-#: Words that are encoded in one call.
-JOINED = 1000
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -67,63 +67,84 @@ class WordEncoder:
 
     def __init__(self, path: str, most: int = 900_000) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.young, self.old, self.most = Tokenizer.from_file(path), {"": b""}, {}, most
+        self.model, bytes_of = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {n: bytes_of.pre_tokenize_str(chr(n))[0][0] for n in range(0xC0, 0x100)}
         self.by_word = True
         self.by_word = self(list(PROBES)) == self.whole(list(PROBES))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, found: set[str]) -> None:
-        """Puts the ids of all the words into the younger generation."""
-        new = found - self.young.keys()
-        if len(self.young) + len(new) > self.most:
-            self.old, self.young = self.young, {"": b""}
-            new = found - {""}
-        split, parts = {}, set()
+    def ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; new ones go into the younger generation."""
+        known = list(map(self.young.get, words))
+        if new := [w for w, ids in zip(words, known, strict=True) if ids is None]:
+            if len(self.young) + len(new) > self.most:
+                self.old, self.young = self.young, {"": b""}
+            self.learn(new)
+            known = [self.young[w] if ids is None else ids for w, ids in zip(words, known, strict=True)]
+        return known
+
+    def learn(self, new: list[str]) -> None:
+        young, old, rest = self.young, self.old, []
         for w in new:
-            core = w.rstrip(SIGNS)
-            if core.isascii() and core.isalpha():
-                split[w] = core.lower(), w[len(core) :]
-            elif m := CORE.fullmatch(w):
-                split[w] = m[1].lower(), m[2]
-            else:
-                parts.add(w)
-        for pair in split.values():
-            parts.update(pair)
-        young, old = self.young, self.old
-        ids = {x: kept for x in parts if (kept := young.get(x) or old.get(x)) is not None}
-        asked = [x for x in parts if x and x not in ids]
-        letters, others = [x for x in asked if x.isalpha()], [x for x in asked if not x.isalpha()]
-        for i in range(0, len(letters), JOINED):
-            some = letters[i : i + JOINED]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            cut = np.searchsorted(np.array(found.word_ids or [0]), np.arange(len(some) + 1))
-            if not found.ids or found.word_ids[-1] != len(some) - 1:  # a word that the normalizer cuts
-                others += some
+            if (ids := old.get(w)) is not None:
+                young[w] = ids
                 continue
-            joined, cut = np.array(found.ids, "<u4").tobytes(), (4 * cut).tolist()
-            ids.update((x, joined[a:b]) for x, a, b in zip(some, cut, cut[1:], strict=False))
-        ids.update(zip(others, self.whole(others), strict=True))
-        ids[""] = b""
-        self.young.update(ids)
-        self.young.update({w: ids[a] + ids[b] for w, (a, b) in split.items()})
+            core = w.rstrip(SIGNS)
+            if not (core.isascii() and core.isalpha()):
+                if not (m := CORE.fullmatch(w)):
+                    rest.append(w)
+                    continue
+                core = m[1]
+            low = core.lower()
+            ids = young.get(low)
+            if ids is None:
+                ids = young[low] = self.letters_only(low)
+            if signs := w[len(core) :]:
+                if signs not in young:
+                    young[signs] = self.whole([signs])[0]
+                ids += young[signs]
+            young[w] = ids
+        young.update(zip(rest, self.whole(rest), strict=True))
+
+    def letters_only(self, word: str) -> bytes:
+        """Ids of a word of lower-case Latin-1 letters, which the vocabulary does not cut before it merges."""
+        ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [x for a, b in blocks(texts, 500_000) for x in self.whole(texts[a:b])]
         out = []
-        for a, b in blocks(texts, 500_000):
-            # str.split takes four control signs for white space that the tokenizer does not
-            cut = [re.split("[ \n\t\r]+", t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts[a:b]]
-            self.learn(set().union(*cut))
-            ids = self.young.__getitem__
-            out += [b"".join(map(ids, c)) for c in cut]
+        for a, b in blocks(texts, 1_000_000):
+            # white space as Arrow sees it takes in four control signs that the tokenizer does not
+            if any(c in t for t in texts[a:b] for c in "\x1c\x1d\x1e\x1f"):
+                cut = pa.array([re.split("[ \n\t\r]+", t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts[a:b]], pa.list_(pa.string()))
+            else:
+                cut = pc.utf8_split_whitespace(pa.array(texts[a:b], pa.string()))
+            coded = cut.flatten().dictionary_encode()
+            words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            out += gathered(self.ids(words), coded.indices.to_numpy(), cut.offsets.to_numpy())
         return out
 
 
+def gathered(ids: list[bytes], at: np.ndarray, offsets: np.ndarray, most: int = 200_000) -> list[bytes]:
+    """The ids of words ``at``, joined from each offset to the next; ``most`` words are taken at a time."""
+    flat, sizes = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids], np.int64)
+    starts, ends, parts = np.cumsum(sizes) - sizes, np.concatenate([[0], np.cumsum(sizes[at])]), []
+    for i in range(0, len(at), most):
+        some = at[i : i + most]
+        shift = starts[some] - ends[i : i + len(some)]
+        parts.append(flat[np.arange(ends[i], ends[i + len(some)]) + np.repeat(shift, sizes[some])].tobytes())
+    joined, bounds = b"".join(parts), (4 * ends[offsets]).tolist()
+    return [joined[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
+
+
 def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
