@@ -16,12 +16,12 @@ from pyspark.sql.types import StructType
 SLICE = 1_000_000
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of a batch with the values of its text column."""
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of a batch, of about ``most`` characters each, with the values of its text column."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, size = 0, 0
     for i, n in enumerate(sizes.tolist()):
-        if size and size + n > SLICE:
+        if size and size + n > most:
             part = batch.slice(start, i - start)
             yield part, part.column(column).to_pylist()
             start, size = i, 0
