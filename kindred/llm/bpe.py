@@ -8,7 +8,7 @@ rank is merged first, so every cut of every token into two tokens is a merge.
 
 Texts are cut before single spaces that a visible character follows. The pattern cuts there too,
 whatever stands around, so that the ids of these chunks, joined, are the ids of the
-text; chunks that occur again are taken from a cache. A token's place is given in
+text; they are cut further at line feeds and behind words, and what occurs again is taken from a cache. A token's place is given in
 bytes, from the sizes of tokens, and in characters, by counting the bytes that begin
 one; a token that holds a part of a character counts as holding it. Decoding looks up
 the bytes of each id and joins them before they are read as UTF-8, so that characters that
@@ -27,10 +27,12 @@ from __future__ import annotations
 import base64
 import codecs
 import os
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -41,6 +43,7 @@ from .words import blocks
 #: Bytes before which a space is not cut off: white space, and the first bytes of characters among which Unicode has white space.
 JOINED = np.zeros(256, bool)
 JOINED[[*range(0x21), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+SIGNS = b".,;:!?"
 #: Longer chunks are not kept.
 LONG = 64
 OFFSETS = ("byte_starts", "byte_ends", "char_starts", "char_ends")
@@ -54,6 +57,9 @@ def byte_characters() -> list[str]:
     return [chr(b if b in own else next(others)) for b in range(256)]
 
 
+CHARACTERS = byte_characters()
+
+
 def of_ranks(path: str, pattern: str):
     """A tokenizer of the tokenizers library, and the bytes of each id, from a file of ranks."""
     from tokenizers import Regex, Tokenizer
@@ -62,8 +68,7 @@ def of_ranks(path: str, pattern: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    characters = byte_characters()
-    shown = {token: "".join(characters[b] for b in token) for token in ranks}
+    shown = {token: "".join(CHARACTERS[b] for b in token) for token in ranks}
     by_rank = sorted(ranks, key=ranks.get)
     merges = [(shown[t[:i]], shown[t[i:]]) for t in by_rank for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
     made = Tokenizer(BPE({shown[t]: rank for t, rank in ranks.items()}, merges, ignore_merges=True))
@@ -75,7 +80,7 @@ def of_file(path: str):
     """The same from a file of the tokenizers library whose tokens are byte-level."""
     from tokenizers import Tokenizer
 
-    made, byte = Tokenizer.from_file(path), {c: b for b, c in enumerate(byte_characters())}
+    made, byte = Tokenizer.from_file(path), {c: b for b, c in enumerate(CHARACTERS)}
     made.encode_special_tokens = True
     return made, {i: bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode() for token, i in made.get_vocab().items()}
 
@@ -85,13 +90,14 @@ def cut(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
     joined = b"".join(texts)
     data, sizes = np.frombuffer(joined, np.uint8), np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
-    at = np.flatnonzero(data[1:-1] == 0x20) + 1
-    at = at[(data[at - 1] != 0x20) & ~JOINED[data[at + 1]]]
+    begins = np.zeros(len(data) + 1, bool)
+    begins[1:-2] = (data[1:-1] == 0x20) & (data[:-2] != 0x20) & ~JOINED[data[2:]]
     # a space at the end of a text has its next character in another text, and so does not count
-    bounds = np.union1d(np.setdiff1d(at, ends - 1), np.r_[0, ends])
+    begins[ends[sizes > 0] - 1] = False
+    begins[np.r_[0, ends]] = True
+    bounds = np.flatnonzero(begins)
     return joined, bounds, np.searchsorted(bounds, ends) - np.searchsorted(bounds, ends - sizes)
 
-
 def repeated(joined: bytes, bounds: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     """The distinct chunks, and which of them each chunk is."""
     chunks = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(joined)])
@@ -109,6 +115,11 @@ def gather(parts: list[bytes], at: np.ndarray, kind: str) -> tuple[np.ndarray, n
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(shift, taken)], taken
 
 
+def letters(word: str) -> bool:
+    """Whether it is Latin letters, perhaps behind a space."""
+    return word.removeprefix(" ").isalpha() and (word.isascii() or max(word) < "\u0250")
+
+
 class Kept:
     """Values by chunk in two generations of at most ``most``; the older goes when the younger is full."""
 
@@ -116,15 +127,19 @@ class Kept:
         self.learn, self.most, self.young, self.old = learn, most, {}, {}
 
     def __call__(self, chunks: list[bytes]) -> list:
-        found = [self.young.get(c) or self.old.get(c) for c in chunks]
-        new = [c for c, x in zip(chunks, found, strict=True) if x is None]
-        if not new:
+        found = list(map(self.young.get, chunks))
+        late = [i for i, x in enumerate(found) if x is None]
+        if not late:
             return found
-        learnt = iter(self.learn(new))
-        found = [next(learnt) if x is None else x for x in found]
-        if len(self.young) + len(new) > self.most:
+        some = [self.old.get(chunks[i]) for i in late]
+        new = [chunks[i] for i, x in zip(late, some, strict=True) if x is None]
+        learnt = iter(self.learn(new) if new else ())
+        if len(self.young) + len(late) > self.most:
             self.old, self.young = self.young, {}
-        self.young.update((c, x) for c, x in zip(chunks, found, strict=True) if len(c) <= LONG)
+        for i, x in zip(late, some, strict=True):
+            found[i] = x = next(learnt) if x is None else x
+            if len(chunks[i]) <= LONG:
+                self.young[chunks[i]] = x
         return found
 
 
@@ -137,12 +152,41 @@ class ByteBpe:
         self.tokens = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
         self.known = np.array([i in by_id for i in range(len(self.tokens))])
         self.sizes = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
+        self.model = self.tokenizer.model
+        self.most, self.of_part = max(most, 1000), {}
         self.kept = Kept(self.ids_of, most)
 
     def ids_of(self, chunks: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
-        texts = [c.decode() for c in chunks]
-        return [np.array(e.ids, "<u4").tobytes() for a, b in blocks(chunks, 500_000) for e in self.tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False)]
+        """The ids of each text as 32-bit numbers, put together from those of its parts."""
+        parts = [self.parts(c) for c in chunks]
+        if len(self.of_part) > self.most:
+            self.of_part = {}
+        new = []
+        for p in {p for some in parts for p in some if p not in self.of_part}:
+            if len(p) <= LONG and letters(p.decode()):  # one piece
+                self.of_part[p] = array("I", [t.id for t in self.model.tokenize("".join([CHARACTERS[x] for x in p]))]).tobytes()
+            else:
+                new.append(p)
+        texts = [p.decode() for p in new]
+        ids = (array("I", e.ids).tobytes() for a, b in blocks(new, 500_000) for e in self.tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False))
+        self.of_part.update(zip(new, ids, strict=True))
+        return [b"".join([self.of_part[p] for p in some]) for some in parts]
+
+    def parts(self, chunk: bytes) -> list[bytes]:
+        """Parts between which the pattern cuts: lines that neither end nor begin with white space, their line feeds, and, of a word of Latin letters with signs behind it, both."""
+        lines = chunk.split(b"\n") if len(chunk) <= LONG else [chunk]
+        if any(not x or x[-1] <= 0x20 or x[-1] > 0x7E or JOINED[x[0]] for x in lines[1:]) or len(lines) > 1 and (not lines[0] or not 0x20 < lines[0][-1] < 0x7F):
+            lines = [chunk]
+        out = []
+        for i, line in enumerate(lines):
+            if i:
+                out.append(b"\n")
+            word = line.rstrip(SIGNS)
+            if word and len(word) < len(line) and letters(word.decode()):
+                out += [word, line[len(word) :]]
+            else:
+                out.append(line)
+        return out
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, joined, and the number of ids of each text."""
@@ -213,6 +257,14 @@ def encode(docs: DataFrame, path: str, pattern: str | None = None, offsets: bool
     return map_texts(docs, compute, f"ids array<int>, n_split long{more}", as_bytes=True)
 
 
+def lists(column: pa.ListArray) -> Iterator[list]:
+    """The lists of a column, empty for null ones."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
+    values = column.flatten()  # of lists that are not null
+    values = values.to_pylist() if values.null_count else values.to_numpy().tolist()
+    return (values[a:b] for a, b in zip([0, *ends], ends, strict=False))
+
+
 def decode(rows: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
     """rows with decoded (the bytes of the ids) and n_unknown, the number of ids that the vocabulary lacks."""
     rows = rows.drop("decoded", "n_unknown")
@@ -224,7 +276,7 @@ def decode(rows: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                found = [book.decode(ids or []) for ids in part.column(at).to_pylist()]
+                found = [book.decode(ids) for ids in lists(part.column(at))]
                 given = [c.cast(f.type) for c, f in zip(part.columns, arrow, strict=False)]
                 yield pa.RecordBatch.from_arrays([*given, pa.array([x for x, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], schema=arrow)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, bpe, chat, decontaminate, html, minhash, packing, ppm, repetition, secrets, sharding, warc
+from . import alignment, bpe, chat, decontaminate, html, minhash, packing, phrases, ppm, repetition, secrets, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,13 +78,17 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_split")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm_score, op2_warc_salvage, op3_chat_format, op4_minhash_dedup, op5_secret_scan, op6_packing, op7_html_extract, op8_vector_shards, op9_decontaminate, op10_repetition, op11_token_alignment, op12_byte_bpe, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_ppm_score, op2_warc_salvage, op3_chat_format, op4_minhash_dedup, op5_secret_scan, op6_packing, op7_html_extract, op8_vector_shards, op9_decontaminate, op10_repetition, op11_token_alignment, op12_byte_bpe, op13_collocations, pipeline)}
 _BASE32 = "".join(
     f" || substr(a, 1 + ((n{k} >> {shift}) & 31), 1)" for k in range(8) for shift in (15, 10, 5, 0)
 )
