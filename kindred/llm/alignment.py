@@ -86,26 +86,37 @@ class Aligner:
     def __init__(self, a: str, b: str, most: int = 200_000) -> None:
         self.a, self.b = ByteBpe(a, most=1), Pieces(b)
         self.size_a, self.size_b = (np.fromiter(map(len, t), np.int64, len(t)) for t in (self.a.tokens, self.b.tokens))
+        #: Ids of A that begin a group or follow in it, then those of B, each behind the sign that stands before it.
+        self.names = [sign + str(i) for sign, n in ((";", len(self.a.tokens)), (",", len(self.a.tokens)), ("|", len(self.b.tokens)), (",", len(self.b.tokens))) for i in range(n)]
         self.kept = Kept(self.learn, most)
 
     def learn(self, chunks: list[bytes]) -> list[tuple]:
-        ids_a, ids_b = [np.frombuffer(x, "<u4").tolist() for x in self.a.ids_of(chunks)], self.b.ids_of(chunks)
-        fine = [b"".join(map(self.a.tokens.__getitem__, x)) == c == b"".join(map(self.b.tokens.__getitem__, y)) for c, x, y in zip(chunks, ids_a, ids_b, strict=True)]
-        good = [i for i, f in enumerate(fine) if f]
+        ids_a, ids_b = self.a.ids_of(chunks), self.b.ids_of(chunks)
+        good = list(range(len(chunks)))
+        flat = lambda: (np.frombuffer(b"".join([ids_a[i] for i in good]), "<u4").astype(np.int64), np.array([t for i in good for t in ids_b[i]], np.int64))
+        a, b = flat()
+        if not b"".join(map(self.a.tokens.__getitem__, a.tolist())) == b"".join(chunks) == b"".join(map(self.b.tokens.__getitem__, b.tolist())):
+            of_a = lambda i: b"".join(map(self.a.tokens.__getitem__, np.frombuffer(ids_a[i], "<u4").tolist()))
+            good = [i for i, c in enumerate(chunks) if of_a(i) == c == b"".join(map(self.b.tokens.__getitem__, ids_b[i]))]
+            a, b = flat()
         out: list[tuple] = [(False, 0, 0, 0, 0, "", b"")] * len(chunks)
         if not good:
             return out
-        flat = lambda ids: np.array([t for i in good for t in ids[i]], np.int64)
-        a, b = flat(ids_a), flat(ids_b)
         end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         group_a, group_b, link_a, link_b = coalesced(end_a - self.size_a[a], end_a, end_b - self.size_b[b], end_b)
-        n_a, n_b = (np.cumsum([0, *(len(ids[i]) for i in good)]) for ids in (ids_a, ids_b))
+        n_a, n_b = np.cumsum([0, *(len(ids_a[i]) // 4 for i in good)]), np.cumsum([0, *(len(ids_b[i]) for i in good)])
         first = np.r_[group_a[n_a[:-1]], group_a[-1] + 1]  # group with which each chunk begins
-        shown_a, shown_b = (joined(ids, group, int(first[-1])) for ids, group in ((a, group_a), (b, group_b)))
-        shown = [f"{x}|{y}" for x, y in zip(shown_a, shown_b, strict=True)]
+        # tokens in the order of groups and, in these, of A and B, each behind its sign
+        place_a, place_b = np.arange(len(a)) + np.searchsorted(group_b, group_a), np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")
+        shown = np.empty(len(a) + len(b), np.int64)
+        shown[place_a] = a + len(self.a.tokens) * (np.diff(group_a, prepend=-1) == 0)
+        shown[place_b] = b + 2 * len(self.a.tokens) + len(self.b.tokens) * (np.diff(group_b, prepend=-1) == 0)
+        names = list(map(self.names.__getitem__, shown.tolist()))
         pairs, at = a[link_a] << 32 | b[link_b], np.searchsorted(link_a, n_a)
-        for k, i in enumerate(good):
-            out[i] = (True, n_a[k + 1] - n_a[k], n_b[k + 1] - n_b[k], first[k + 1] - first[k], at[k + 1] - at[k], ";".join(shown[first[k] : first[k + 1]]), pairs[at[k] : at[k + 1]].tobytes())
+        data, ends, cuts = pairs.tobytes(), (8 * at).tolist(), (n_a + n_b).tolist()
+        numbers = zip(*(np.diff(x).tolist() for x in (n_a, n_b, first, at)), strict=True)
+        for k, (i, row) in enumerate(zip(good, numbers, strict=True)):
+            out[i] = (True, *row, "".join(names[cuts[k] : cuts[k + 1]])[1:], data[ends[k] : ends[k + 1]])
         return out
 
     def block(self, texts: list[bytes]) -> tuple[dict, list[np.ndarray], np.ndarray]:
@@ -140,13 +151,6 @@ class Aligner:
         return found, links, pairs
 
 
-def joined(ids: np.ndarray, group: np.ndarray, n: int) -> list[str]:
-    """The ids of each of n groups as text."""
-    names = list(map(str, ids.tolist()))
-    at = np.searchsorted(group, np.arange(n + 1)).tolist()
-    return [",".join(names[x:y]) for x, y in zip(at, at[1:], strict=False)]
-
-
 def opened(a: str, b: str) -> Aligner:
     if (a, b) not in _opened:
         _opened[a, b] = Aligner(a, b)
