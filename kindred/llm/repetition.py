@@ -6,7 +6,11 @@ double and then halve, so that a few numbers a word are held whatever the repeat
 repeat is the longer of its two prefixes, the value of the deepest LCP interval it
 lies in, so that the union of the spans of all maximal repeated substrings of at
 least ``least`` words is the union of these. A text fails when they cover more
-than ``most_covered`` of its words or one is longer than ``most_longest`` words.
+than ``most_covered`` of the characters in its words or one is longer than ``most_longest`` words.
+The limits are published ones: a tenth of the characters in repeated runs of ten words (the
+repetition filters of Rae et al., 2021), and runs of 50 words (the length from which Lee et al., 2022, take a
+substring for a copy). Both lie within what the base lets pass: it asks for half of the
+words in repeated windows.
 
 How Spark runs it: each text alone, without a shuffle, in the scan's partitions.
 
@@ -127,11 +131,11 @@ def longest_repeats(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def covered(lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Words of each text in the union of the spans that start at each word."""
+def covered(lengths: np.ndarray, counts: np.ndarray, weights: np.ndarray | int = 1) -> np.ndarray:
+    """Words of each text in the union of the spans that start at each word, or their weights."""
     n = len(lengths)
     reach = np.maximum.accumulate(np.where(lengths > 0, np.arange(n) + lengths, 0)) if n else lengths
-    inside = np.r_[0, np.cumsum(reach > np.arange(n))]
+    inside = np.r_[0, np.cumsum((reach > np.arange(n)) * weights)]
     last = np.cumsum(counts)
     return inside[last] - inside[last - counts]
 
@@ -154,34 +158,36 @@ def measures(texts: list[bytes], least: int) -> pd.DataFrame:
         bounds = np.cumsum([1, *(len(t) + 1 for t in part)]).tolist()
         seen, symbols = (data & 0xC0 != 0x80) & ~words.SPACE[data], SYMBOLS[data]
         within = lambda flags: [np.count_nonzero(flags[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+        begun = np.r_[0, np.cumsum(seen, dtype=np.int32)]
+        chars, long = begun[ends] - begun[starts], np.where(lengths >= least, lengths, 0)
         padded = np.r_[lengths, 0]
         longest = np.where(counts > 0, np.maximum.reduceat(padded, np.minimum(np.cumsum(counts) - counts, len(lengths))), 0)
         out.append(pd.DataFrame({
             "n_words": counts, "word_chars": within(seen), "n_symbols": within(symbols), "n_dup_lines": [repeated_lines(t) for t in part],
-            "n_repeat_words": covered(np.where(lengths >= 3, 3, 0), counts), "covered_words": covered(np.where(lengths >= least, lengths, 0), counts), "longest_repeat": longest,
+            "n_repeat_words": covered(np.where(lengths >= 3, 3, 0), counts), "covered_words": covered(long, counts), "covered_chars": covered(long, counts, chars), "longest_repeat": longest,
         }))
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame()
 
 
-def repetition(docs: DataFrame, least: int = 10, most_covered: float = 0.4, most_longest: int = 200) -> DataFrame:
+def repetition(docs: DataFrame, least: int = 10, most_covered: float = 0.1, most_longest: int = 50) -> DataFrame:
     """Measures and verdict of every text.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept, covered_words, longest_repeat.
+    base_failed, kept, covered_words, covered_chars, longest_repeat.
     """
-    names = "n_words word_chars n_symbols n_dup_lines n_repeat_words covered_words longest_repeat".split()
+    names = "n_words word_chars n_symbols n_dup_lines n_repeat_words covered_words covered_chars longest_repeat".split()
     found = rows.map_texts(docs, lambda texts: measures(texts, least), ", ".join(f"{x} long" for x in names), as_bytes=True)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    good = (F.col("covered_words") <= F.lit(most_covered) * F.col("n_words")) & (F.col("longest_repeat") <= most_longest)
+    good = (F.col("covered_chars") <= F.lit(most_covered) * F.col("word_chars")) & (F.col("longest_repeat") <= most_longest)
     return found.select("doc_id", *names[:5], failed.alias("base_failed"), (~failed & good).alias("kept"), *names[5:])
 
 
-def drop_repetitive(docs: DataFrame, least: int = 10, most_covered: float = 0.4, most_longest: int = 200) -> DataFrame:
+def drop_repetitive(docs: DataFrame, least: int = 10, most_covered: float = 0.1, most_longest: int = 50) -> DataFrame:
     """The rows of docs whose text ``repetition`` keeps, with all their columns."""
 
     def judge(texts: list[str | None]) -> list[bool]:
         m = measures([(t or "").encode() for t in texts], least)
         base = (m["n_words"] >= 50) & (100 * m["n_repeat_words"] <= 50 * m["n_words"])
-        return (base & (m["covered_words"] <= most_covered * m["n_words"]) & (m["longest_repeat"] <= most_longest)).tolist()
+        return (base & (m["covered_chars"] <= most_covered * m["word_chars"]) & (m["longest_repeat"] <= most_longest)).tolist()
 
     return rows.filter_texts(docs, judge)

@@ -25,11 +25,12 @@ def brute_repeats(text, least, width=3):
                 while max(i, j) + k < n and w[i + k] == w[j + k]:
                     k += 1
                 lengths[i] = max(lengths[i], k)
-    cover = lambda f: len({p for i, x in enumerate(lengths) for p in range(i, i + f(x))})
+    within = lambda f: {p for i, x in enumerate(lengths) for p in range(i, i + f(x))}
+    cover = lambda f: len(within(f))
     lines = [x for x in text.split("\n") if WORD.search(x)]
     return {
         "n_words": n, "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)), "n_dup_lines": len(lines) - len(set(lines)),
-        "n_repeat_words": cover(lambda x: 3 if x >= 3 else 0), "covered_words": cover(lambda x: x if x >= least else 0), "longest_repeat": max(lengths, default=0),
+        "n_repeat_words": cover(lambda x: 3 if x >= 3 else 0), "covered_words": cover(lambda x: x if x >= least else 0), "covered_chars": sum(len(w[p]) for p in within(lambda x: x if x >= least else 0)), "longest_repeat": max(lengths, default=0),
     }
 
 
@@ -42,7 +43,7 @@ def test_repeats_by_brute_force(spark, documents, texts, edge, empty):
                 assert found[i][k] == v, (i, k)
         r = found[i]
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
-        assert r.kept == (not r.base_failed and r.covered_words <= 0.4 * r.n_words and r.longest_repeat <= 200)
+        assert r.kept == (not r.base_failed and r.covered_chars <= 0.1 * r.word_chars and r.longest_repeat <= 50)
     rows = [(i, t) for i, t in edge_texts() if t is None or len(t) < 5000]
     got = Counter((r.doc_id, r.n_words, r.longest_repeat, r.covered_words) for r in repetition.repetition(edge).collect())
     for i, t in rows:
@@ -54,6 +55,19 @@ def test_repeats_by_brute_force(spark, documents, texts, edge, empty):
     assert repetition.repetition(empty).collect() == [] and repetition.drop_repetitive(empty).collect() == []
 
 
+def test_the_method_rejects_what_the_base_keeps(spark):
+    r = random.Random(8)
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    line, passage = words(12), words(51)
+    texts = {
+        "fresh": words(100), "a line of twelve, twice": [*words(60), *line, *words(50), *line], "the same in a long text": [*words(600), *line, *words(50), *line],
+        "a passage of 51, twice": [*passage, *words(5000), *passage], "a passage of 50, twice": [*passage[:50], *words(5000), *passage[:50]], "most of it twice": [*words(10), *passage, *passage],
+    }
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts.values())], "doc_id long, text string")
+    found = {list(texts)[r.doc_id]: (r.base_failed, r.kept) for r in repetition.repetition(docs).collect()}
+    assert found == {"fresh": (False, True), "a line of twelve, twice": (False, False), "the same in a long text": (False, True), "a passage of 51, twice": (False, False), "a passage of 50, twice": (False, True), "most of it twice": (True, False)}
+
+
 def brute_secrets(text):
     text, spans = text or "", []
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
