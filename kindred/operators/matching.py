@@ -133,6 +133,18 @@ def cand_all_pairs(rows: DataFrame) -> DataFrame:
     return pairs_of(rows.select(F.lit(1).alias("key"), F.col("record_id").alias("id"))).select("id1", "id2")
 
 
+def candidates_by_name(rows: DataFrame, settings: Settings) -> DataFrame:
+    """``candidates`` whose names reach ``min_name_similarity``, with name_sim: only names that can are compared."""
+    from .bounded import cand_bounded
+
+    if settings.use_blocking and rows.limit(settings.blocking_min_candidates).count() >= settings.blocking_min_candidates:
+        blocked = rows.where("block_key is not null")
+        blocked = blocked if settings.block_cap is None else block_cap(rows, settings.block_cap)
+    else:
+        blocked = rows.withColumn("block_key", F.lit(""))
+    return cand_bounded(blocked.select("record_id", "block_key", "name"), settings.min_name_similarity)
+
+
 def candidates(rows: DataFrame, settings: Settings) -> DataFrame:
     if settings.use_blocking and rows.limit(settings.blocking_min_candidates).count() >= settings.blocking_min_candidates:
         return cand_blocked(rows, settings.block_cap)
@@ -200,8 +212,14 @@ COMPANY_SIDES = ["name", "all_domains", "linkedin_url", "phone", "city", "state"
 CONTACT_SIDES = ["name", "first_name", "last_name", "email", "company_name", "company_domain", "job_title"]
 
 
+def named_pairs(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs with both records' columns and name_sim, which is computed where the pairs do not have it yet."""
+    both = both_sides(pairs, rows, columns)
+    return both if "name_sim" in pairs.columns else with_name_sim(both)
+
+
 def probabilistic_company(rows: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
-    named = with_name_sim(both_sides(pairs, rows, COMPANY_SIDES))
+    named = named_pairs(pairs, rows, COMPANY_SIDES)
     scored = score_company(gate_company(named, settings), settings)
     scored = scored.where((F.col("dims") >= settings.min_matching_dimensions) | (F.col("name_sim") >= settings.sparse_min_name_similarity))
     scored = scored.withColumn("match_type", classify(F.col("score"), settings)).where("match_type is not null")
@@ -235,7 +253,7 @@ def matching_fields_contact() -> Column:
 
 
 def probabilistic_contact(rows: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
-    named = with_name_sim(both_sides(pairs, rows, CONTACT_SIDES)).withColumn("cross", cross_domain())
+    named = named_pairs(pairs, rows, CONTACT_SIDES).withColumn("cross", cross_domain())
     scored = score_contact(gate_contact(named, settings), settings)
     scored = scored.where((F.col("dims") > 1) | (F.col("name_sim") >= settings.sparse_min_name_similarity))
     scored = scored.withColumn("match_type", F.when(F.col("cross"), "probabilistic_medium").otherwise(classify(F.col("score"), settings))).where("match_type is not null")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import storage
 from ..functions import quality as q, similarity as s, text as t
 from ..operators import entities, filters, matching as m
+from ..operators.bounded import cand_bounded
 from ..operators.components import connected_components
 from ..schema import MATCH_TYPES, company_settings, contact_settings
 from ..sources import export, records
@@ -135,10 +136,16 @@ def part_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 query("block_cap", f"with {o.FX}, {_PB} select record_id, block_key, cast(nth as int) as nth from pc where nth <= 150")(lambda spark, d: m.block_cap(part_blocks(spark, d), 150))
-query("cand_blocked", f"with {o.FX}, {_PB} select a.record_id as id1, b.record_id as id2 from pc a join pc b on a.block_key = b.block_key and a.record_id < b.record_id where a.nth <= 20 and b.nth <= 20")(lambda spark, d: m.cand_blocked(part_blocks(spark, d), 20))
-# the caps of the reported method, which cand_blocked and its SQL do not reach
-query("cand_blocked_company")(lambda spark, d: m.cand_blocked(part_blocks(spark, d), company_settings().block_cap))
-query("cand_blocked_contact")(lambda spark, d: m.cand_blocked(part_blocks(spark, d), contact_settings().block_cap))
+def blocked_sql(cap: int) -> str:
+    return f"with {o.FX}, {_PB} select a.record_id as id1, b.record_id as id2 from pc a join pc b on a.block_key = b.block_key and a.record_id < b.record_id where a.nth <= {cap} and b.nth <= {cap}"
+
+
+# the caps of the reported method, and all records of a block
+for _key, _cap in (("cand_blocked_company", company_settings().block_cap), ("cand_blocked_contact", contact_settings().block_cap), ("cand_blocked", None)):
+    query(_key, blocked_sql(_cap or 1 << 40))(lambda spark, d, cap=_cap: m.cand_blocked(part_blocks(spark, d), cap))
+query("cand_bounded", f"with {o.FX}, {_PB}, pn as (select p.record_id id, block_key as key, name from pb p join fx_part using (record_id) where block_key is not null), {o.jw('j', 'select a.name a, b.name b from pn a join pn b on a.key = b.key')} select x.id as id1, y.id as id2, round(s, 6) as name_sim from pn x join pn y on x.key = y.key and x.id < y.id join j on x.name = j.a and y.name = j.b where s >= 0.85")(
+    lambda spark, d: cand_bounded(load(spark, d, "fx_part").withColumn("block_key", t.block_key_company(c("name"))), 0.85).withColumn("name_sim", F.round("name_sim", 6))
+)
 query("cand_all_pairs", "select a.n_name as id1, b.n_name as id2 from nation a join nation b on a.n_name < b.n_name")(lambda spark, d: m.cand_all_pairs(table(spark, d, "nation").select(c("n_name").alias("record_id"))))
 for _key in ("anti_exclude", "except_pairs"):
     query(_key, f"{o.CONTACT} select id1, id2 from lft")(lambda spark, d: (lambda rows: m.anti_exclude(m.candidates(rows, contact_settings()), pipeline.deterministic("contact", rows)))(contacts(spark, d)))
@@ -158,6 +165,14 @@ def company_left(rows: DataFrame) -> DataFrame:
     return m.anti_exclude(m.candidates(rows, company_settings()), pipeline.deterministic("company", rows))
 
 
+def company_similar(rows: DataFrame) -> DataFrame:
+    return m.anti_exclude(m.candidates_by_name(rows, company_settings()), pipeline.deterministic("company", rows))
+
+
+def contact_similar(rows: DataFrame) -> DataFrame:
+    return m.anti_exclude(m.candidates_by_name(rows, contact_settings()), pipeline.deterministic("contact", rows))
+
+
 def company_named(rows: DataFrame) -> DataFrame:
     return m.with_name_sim(m.both_sides(company_left(rows), rows, m.COMPANY_SIDES))
 
@@ -193,12 +208,12 @@ query("gate_sparse_contact", f"{o.CONTACT} select id1, id2, round(score, 6) as s
 query("classify", f"{o.COMPANY} select id1, id2, case when score >= 0.82 then 'probabilistic_high' when score >= 0.72 then 'probabilistic_medium' end as match_type from sc1")(
     lambda spark, d: m.score_company(m.gate_company(company_named(companies(spark, d)), company_settings()), company_settings()).select("id1", "id2", m.classify(c("score"), company_settings()).alias("match_type"))
 )
-query("probabilistic_company", f"{o.COMPANY} select {_MATCH} from prob")(lambda spark, d: (lambda rows: shown(m.probabilistic_company(rows, company_left(rows), company_settings())))(companies(spark, d)))
+query("probabilistic_company", f"{o.COMPANY} select {_MATCH} from prob")(lambda spark, d: (lambda rows: shown(m.probabilistic_company(rows, company_similar(rows), company_settings())))(companies(spark, d)))
 query("probabilistic_contact", f"{o.CONTACT} select {_MATCH} from prob")(
-    lambda spark, d: (lambda rows: shown(m.probabilistic_contact(rows, m.anti_exclude(m.candidates(rows, contact_settings()), pipeline.deterministic("contact", rows)), contact_settings())))(contacts(spark, d))
+    lambda spark, d: (lambda rows: shown(m.probabilistic_contact(rows, contact_similar(rows), contact_settings())))(contacts(spark, d))
 )
 query("cross_domain_match", f"{o.CONTACT} select {_MATCH} from prob where explanation like 'Same name across%'")(
-    lambda spark, d: (lambda rows: shown(m.probabilistic_contact(rows, m.anti_exclude(m.candidates(rows, contact_settings()), pipeline.deterministic("contact", rows)), contact_settings())).where("explanation like 'Same name across%'"))(contacts(spark, d))
+    lambda spark, d: (lambda rows: shown(m.probabilistic_contact(rows, contact_similar(rows), contact_settings())).where("explanation like 'Same name across%'"))(contacts(spark, d))
 )
 
 
@@ -329,8 +344,8 @@ query("gate_location_mismatch", f"{o.COMPANY} {_SIM} from nm where not (coalesce
 query("gate_threshold", f"{o.COMPANY} select id1, id2, round(score, 6) as score, dims from sc1 where score >= 0.72")(
     lambda spark, d: scores(m.score_company(m.gate_company(company_named(companies(spark, d)), company_settings()), company_settings()).where(m.classify(c("score"), company_settings()).isNotNull()))
 )
-query("matching_fields_company", f"{o.COMPANY} select id1, id2, fields from prob")(lambda spark, d: (lambda rows: m.probabilistic_company(rows, company_left(rows), company_settings()).select("id1", "id2", F.array_join("matching_fields", ", ").alias("fields")))(companies(spark, d)))
+query("matching_fields_company", f"{o.COMPANY} select id1, id2, fields from prob")(lambda spark, d: (lambda rows: m.probabilistic_company(rows, company_similar(rows), company_settings()).select("id1", "id2", F.array_join("matching_fields", ", ").alias("fields")))(companies(spark, d)))
 query("matching_fields_contact", f"{o.CONTACT} select id1, id2, fields from prob")(
-    lambda spark, d: (lambda rows: m.probabilistic_contact(rows, m.anti_exclude(m.candidates(rows, contact_settings()), pipeline.deterministic("contact", rows)), contact_settings()).select("id1", "id2", F.array_join("matching_fields", ", ").alias("fields")))(contacts(spark, d))
+    lambda spark, d: (lambda rows: m.probabilistic_contact(rows, contact_similar(rows), contact_settings()).select("id1", "id2", F.array_join("matching_fields", ", ").alias("fields")))(contacts(spark, d))
 )
 query("explanation", f"{o.COMPANY} select id1, id2, explanation from mt")(lambda spark, d: pipeline.find_matches("company", companies(spark, d), company_settings()).select("id1", "id2", "explanation"))
