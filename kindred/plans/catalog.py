@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import storage
 from ..functions import quality as q, similarity as s, text as t
 from ..operators import entities, filters, matching as m
+from ..operators.asof import asof_join
 from ..operators.bounded import cand_bounded
 from ..operators.components import connected_components
+from ..operators.golden import golden_records
 from ..schema import MATCH_TYPES, company_settings, contact_settings
 from ..sources import export, records
-from . import oracle as o, pipeline
+from . import incremental, oracle as o, pipeline
 from .fixtures import AS_OF, load, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -262,6 +264,57 @@ query("entity_dictionary", f"{o.COMPANY} select record_id as id, coalesce(name,
 )
 
 
+# batches, one after another
+def batches(spark: SparkSession, d: str, kind: str) -> incremental.State:
+    """Two batches of one table's rows; the second also replaces rows of the first, which had other values."""
+    rows = load(spark, d, "fx_companies" if kind == "company" else "fx_contacts")
+    part = F.pmod(F.crc32(F.col("record_id").cast("binary")), F.lit(10))
+    wrong = rows.where(part == 6).withColumn("name" if kind == "company" else "last_name", F.lit("Draft Name"))
+    state = incremental.start(kind, rows.where(part < 6).unionByName(wrong), AS_OF)
+    return incremental.add(state, rows.where(part >= 6), AS_OF)
+
+
+query("incremental_companies", f"{o.COMPANY} {_RUN}")(lambda spark, d: shown_matches(batches(spark, d, "company").matches))
+query("incremental_contacts", f"{o.CONTACT} {_RUN}")(lambda spark, d: shown_matches(batches(spark, d, "contact").matches))
+query("incremental_clusters", f"{o.CONTACT} select node, component from comp")(lambda spark, d: batches(spark, d, "contact").labels)
+
+
+# merges: a golden record for each cluster, with the sources of its fields
+_WAYS = {"name": "longest", "email": "survivor", "job_title": "latest", "company_name": "most"}
+
+
+@query("golden_records", f"""{o.CONTACT}, mem as (select cluster_id, unnest(members) as record_id from clu),
+g as (select mem.cluster_id, ct.*, coalesce(epoch(try_cast(last_activity_date as timestamp)), -1e18) as changed from mem join ct using (record_id)),
+best as (select cluster_id, 'name' as field, name as value, record_id, row_number() over (partition by cluster_id order by length(name) desc, survivor_score desc, record_id) as nth from g where name is not null
+ union all select cluster_id, 'email', email, record_id, row_number() over (partition by cluster_id order by survivor_score desc, record_id) from g where email is not null
+ union all select cluster_id, 'job_title', job_title, record_id, row_number() over (partition by cluster_id order by changed desc, survivor_score desc, record_id) from g where job_title is not null
+ union all select cluster_id, 'company_name', company_name, id, row_number() over (partition by cluster_id order by n desc, id) from (select cluster_id, company_name, count(*) as n, min(record_id) as id from g where company_name is not null group by 1, 2))
+select cluster_id, field, value, record_id as source from best where nth = 1""")
+def golden_of_contacts(spark: SparkSession, d: str) -> DataFrame:
+    run = contact_run(spark, d)
+    found = golden_records(run.clusters.select("cluster_id", F.explode("members").alias("record_id")), run.entities, _WAYS, latest="last_activity_date")
+    long = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), c(f).cast("string").alias("value"), F.try_element_at("sources", F.lit(f)).alias("source")) for f in _WAYS)))
+    return found.select("cluster_id", long.alias("x")).select("cluster_id", "x.*").where("source is not null")
+
+
+_LAST = "select user_id, ts, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events where {} group by 1, 2"
+
+
+@query("asof_contacts", f"with {o.FX}, e as ({_LAST.format('true')}) select record_id, last_activity_date, e.ts as right_time, event_id, event_type from fx_contacts asof left join e on cast(record_id as bigint) = e.user_id and try_cast(last_activity_date as timestamp) >= e.ts")
+def asof_contacts(spark: SparkSession, d: str) -> DataFrame:
+    """Each contact with the last event of its number up to its last activity."""
+    people = load(spark, d, "fx_contacts").select("record_id", "last_activity_date", c("record_id").cast("bigint").alias("user_id"))
+    return asof_join(people, table(spark, d, "events"), "user_id", "last_activity_date", "ts", ["event_id", "event_type"]).drop("user_id")
+
+
+@query("asof_events", f"with e as ({_LAST.format(chr(39).join(('event_type = ', 'click', '')))}) select x.event_id, e.ts as right_time, e.event_id as click_id from events x asof left join e on x.user_id = e.user_id and x.ts > e.ts")
+def asof_events(spark: SparkSession, d: str) -> DataFrame:
+    """Each event with its user's last click before it."""
+    events = table(spark, d, "events")
+    clicks = events.where("event_type = 'click'").select("user_id", "ts", c("event_id").alias("click_id"))
+    return asof_join(events.select("event_id", "user_id", "ts"), clicks, "user_id", "ts", "ts", ["click_id"], strict=True).select("event_id", "right_time", "click_id")
+
+
 # search requests, over orders
 def orders(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders")

@@ -38,7 +38,11 @@ def find_matches(kind: str, rows: DataFrame, settings: Settings) -> DataFrame:
 
 def clusters_of(matches: DataFrame) -> DataFrame:
     """cluster_id (cluster_1, ... by smallest member), members (sorted) and size, of components of two or more."""
-    labels = connected_components(matches.select(F.col("id1").alias("src"), F.col("id2").alias("dst")))
+    return numbered_clusters(connected_components(matches.select(F.col("id1").alias("src"), F.col("id2").alias("dst"))))
+
+
+def numbered_clusters(labels: DataFrame) -> DataFrame:
+    """The same of nodes with their components."""
     groups = labels.groupBy("component").agg(F.sort_array(F.collect_list("node")).alias("members"), F.count("*").alias("size")).where("size > 1")
     # the place of a cluster in the order of smallest members: a range sort, then counts of the partitions before
     numbered = storage.numbered(groups, "component")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 STRING, LONG = "string", "long"
 
@@ -78,6 +78,9 @@ class Settings:
         if set(self.similarity_weights) != set(self.parts):
             raise ValueError(f"similarity_weights must have exactly: {', '.join(self.parts)}")
 
+    def replaced(self, **changes) -> Settings:
+        return replace(self, **changes)
+
 
 def company_settings(**changes) -> Settings:
     base = dict(similarity_weights=_company_weights(), probabilistic_high_threshold=0.82, probabilistic_medium_threshold=0.72, min_name_similarity=0.85, sparse_min_name_similarity=0.92, min_matching_dimensions=2, use_blocking=True, blocking_min_candidates=30, block_cap=150, parts=tuple(_company_weights()))
