@@ -79,19 +79,28 @@ def with_name_sim(pairs: DataFrame) -> DataFrame:
     return computed(pairs, name_sim=s.jaro_winkler(F.col("name1"), F.col("name2")))
 
 
+def gate_generic_root(keys: DataFrame) -> DataFrame:
+    """Keys but root domains that many organizations share and those of fewer than 5 characters."""
+    return keys.where(~F.col("key").isin(*GENERIC_ROOTS) & (F.length("key") >= 5))
+
+
 def det_company_root(rows: DataFrame) -> DataFrame:
     roots = rows.where("name is not null").select("record_id", "name", F.explode("all_domains").alias("d")).select("record_id", "name", t.root_domain(F.col("d")).alias("root"))
-    keys = keyed(roots, F.col("root"), "name").where(~F.col("key").isin(*GENERIC_ROOTS) & (F.length("key") >= 5))
+    keys = gate_generic_root(keyed(roots, F.col("root"), "name"))
     pairs = similar_names(pairs_of(keys, "name"), 0.75)
     return rule(pairs, 2, "deterministic_high", 0.93, ["root_domain", "name"], F.concat(F.lit("Same root domain '"), "key", F.lit("' + similar name ("), percent(F.col("name_sim")), F.lit(")")))
 
 
-def det_company_linkedin(rows: DataFrame) -> DataFrame:
-    """Slugs of 10 characters or more that two to four records share."""
+def gate_linkedin(rows: DataFrame) -> DataFrame:
+    """key and id of the pages whose slugs have 10 characters or more and that two to four records share."""
     slug = F.element_at(F.split("linkedin_url", "/"), -1)
     keys = keyed(rows.where(F.length(slug) >= 10), F.col("linkedin_url"))
     some = keys.groupBy("key").count().where("count between 2 and 4").select("key")
-    return rule(pairs_of(keys.join(some, "key", "left_semi")), 3, "deterministic_high", 0.95, ["linkedin_url"], F.concat(F.lit("Exact LinkedIn URL match: "), "key"))
+    return keys.join(some, "key", "left_semi")
+
+
+def det_company_linkedin(rows: DataFrame) -> DataFrame:
+    return rule(pairs_of(gate_linkedin(rows)), 3, "deterministic_high", 0.95, ["linkedin_url"], F.concat(F.lit("Exact LinkedIn URL match: "), "key"))
 
 
 def det_company_phone(rows: DataFrame) -> DataFrame:
@@ -107,12 +116,16 @@ def det_contact_linkedin(rows: DataFrame, star: bool = False) -> DataFrame:
     return rule(pairs_of(keyed(rows, F.col("linkedin_url")), star=star), 2, "deterministic_high", 0.96, ["linkedin_url"], F.concat(F.lit("Exact LinkedIn URL match: "), "key"))
 
 
-def det_contact_name_domain(rows: DataFrame) -> DataFrame:
-    keys = keyed(rows, F.when(F.col("block_key").isNotNull() & F.col("company_domain").isNotNull(), F.concat("block_key", F.lit(" @ "), "company_domain")), "name", "email")
-    pairs = pairs_of(keys, "name", "email")
+def gate_email_conflict(pairs: DataFrame) -> DataFrame:
+    """Pairs but those whose two e-mail addresses are of different domains."""
     both = F.col("email1").isNotNull() & F.col("email2").isNotNull()
     conflict = F.when(both, t.email_domain(F.col("email1")) != t.email_domain(F.col("email2")))
-    pairs = similar_names(pairs.where(~F.coalesce(conflict, F.lit(False))), 0.85)
+    return pairs.where(~F.coalesce(conflict, F.lit(False)))
+
+
+def det_contact_name_domain(rows: DataFrame) -> DataFrame:
+    keys = keyed(rows, F.when(F.col("block_key").isNotNull() & F.col("company_domain").isNotNull(), F.concat("block_key", F.lit(" @ "), "company_domain")), "name", "email")
+    pairs = similar_names(gate_email_conflict(pairs_of(keys, "name", "email")), 0.85)
     return rule(pairs, 3, "deterministic_medium", 0.88, ["first_name", "last_name", "company_domain"], F.concat(F.lit("Same name + company domain: "), "key"))
 
 

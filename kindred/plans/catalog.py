@@ -13,7 +13,7 @@ from ..operators.asof import asof_join
 from ..operators.bounded import cand_bounded
 from ..operators.components import connected_components
 from ..operators.golden import golden_records
-from ..schema import MATCH_TYPES, company_settings, contact_settings
+from ..schema import COMPANY_COLUMNS, COMPANY_FIELDS, MATCH_TYPES, company_settings, contact_settings
 from ..sources import export, records
 from . import incremental, oracle as o, pipeline
 from .fixtures import AS_OF, load, table
@@ -149,8 +149,10 @@ query("cand_bounded", f"with {o.FX}, {_PB}, pn as (select p.record_id id, block_
     lambda spark, d: cand_bounded(load(spark, d, "fx_part").withColumn("block_key", t.block_key_company(c("name"))), 0.85).withColumn("name_sim", F.round("name_sim", 6))
 )
 query("cand_all_pairs", "select a.n_name as id1, b.n_name as id2 from nation a join nation b on a.n_name < b.n_name")(lambda spark, d: m.cand_all_pairs(table(spark, d, "nation").select(c("n_name").alias("record_id"))))
-for _key in ("anti_exclude", "except_pairs"):
-    query(_key, f"{o.CONTACT} select id1, id2 from lft")(lambda spark, d: (lambda rows: m.anti_exclude(m.candidates(rows, contact_settings()), pipeline.deterministic("contact", rows)))(contacts(spark, d)))
+query("anti_exclude", f"{o.CONTACT} select id1, id2 from lft")(lambda spark, d: (lambda rows: m.anti_exclude(m.candidates(rows, contact_settings()), pipeline.deterministic("contact", rows)))(contacts(spark, d)))
+query("except_pairs", f"{o.COMPANY} select id1, id2 from r1 except select id1, id2 from r4")(
+    lambda spark, d: (lambda rows: m.det_company_domain(rows).select("id1", "id2").subtract(m.det_company_phone(rows).select("id1", "id2")))(companies(spark, d))
+)
 query("distinct_pairs", f"{o.COMPANY} select id1, id2 from (select id1, id2 from r1 union select id1, id2 from r2 union select id1, id2 from r4)")(
     lambda spark, d: (lambda rows: m.det_company_domain(rows).union(m.det_company_root(rows)).union(m.det_company_phone(rows)).select("id1", "id2").distinct())(companies(spark, d))
 )
@@ -252,13 +254,34 @@ query("cluster_survivor", f"{o.COMPANY} select cluster_id, round(survivor_score,
 )
 _TABLE = """select id1 as "Company_1_ID", coalesce(x.name, '') as "Company_1_Name", coalesce(x.domain, '') as "Company_1_Domain", coalesce(x.city, '') as "Company_1_City", id2 as "Company_2_ID", coalesce(y.name, '') as "Company_2_Name", coalesce(y.domain, '') as "Company_2_Domain", coalesce(y.city, '') as "Company_2_City",
  match_type as "Match_Type", round(conf, 3) as "Confidence_Score", fields as "Matching_Fields", explanation as "Explanation", survivor as "Survivor_Recommendation", "action" as "Recommended_Action" from mt join co x on id1 = x.record_id join co y on id2 = y.record_id"""
-query("sink_csv_matches", f"{o.COMPANY} {_TABLE}")(lambda spark, d: pipeline.matches_table(company_run(spark, d)))
+
+
+@query("sink_csv_matches", f"{o.COMPANY} {_TABLE}")
+def sink_csv_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The files that the sink wrote, read again."""
+    run, path = company_run(spark, d), storage.new_path(spark, "matches-csv")
+    export.sink_csv_matches(run, path)
+    # a null value that no cell has, as empty cells are empty texts
+    return spark.read.schema(pipeline.matches_table(run).schema).option("header", True).option("escape", '"').option("nullValue", "\0").csv(path)
+
+
 query("fields_join", f"{o.CONTACT} select id1, id2, fields from mt")(lambda spark, d: contact_run(spark, d).matches.select("id1", "id2", F.array_join("matching_fields", ", ").alias("fields")))
 query("sample_matches", f"{o.COMPANY} {_TABLE} order by 1, 5 limit 10")(lambda spark, d: pipeline.sample_matches(company_run(spark, d)))
 query("lookup_entity", f"{o.CONTACT} select id1, id2, x.email as email_1, y.email as email_2 from mt join ct x on id1 = x.record_id join ct y on id2 = y.record_id")(lambda spark, d: pipeline.lookup_entity(contact_run(spark, d)).select("id1", "id2", "email_1", "email_2"))
-query("sink_json_report", f"""{o.CONTACT} select id1 as contact_1_id, id2 as contact_2_id, coalesce(x.name, '—') as contact_1_name, coalesce(y.email, '—') as contact_2_email, coalesce(x.company_name, '—') as contact_1_company, round(conf, 3) as confidence_score from mt join ct x on id1 = x.record_id join ct y on id2 = y.record_id""")(
-    lambda spark, d: pipeline.enriched_matches(contact_run(spark, d)).select("contact_1_id", "contact_2_id", "contact_1_name", "contact_2_email", "contact_1_company", "confidence_score")
+query("sink_json_report", f"""{o.CONTACT} select id1 as contact_1_id, id2 as contact_2_id, coalesce(x.name, '—') as contact_1_name, coalesce(y.email, '—') as contact_2_email, coalesce(x.company_name, '—') as contact_1_company, round(conf, 3) as confidence_score, match_type, fields as matching_fields, explanation, survivor as survivor_recommendation, "action" as recommended_action from mt join ct x on id1 = x.record_id join ct y on id2 = y.record_id""")(
+    lambda spark, d: report_matches(spark, contact_run(spark, d)).select(
+        "contact_1_id", "contact_2_id", "contact_1_name", "contact_2_email", "contact_1_company", "confidence_score", "match_type", F.array_join("matching_fields", ", ").alias("matching_fields"), "explanation", "survivor_recommendation", "recommended_action"
+    )
 )
+
+
+def report_matches(spark: SparkSession, run: pipeline.Result) -> DataFrame:
+    """The matches of a report that the sink wrote, read again."""
+    path = storage.new_path(spark, "report")
+    export.sink_json_report(run, path, AS_OF)
+    return spark.read.schema(pipeline.enriched_matches(run).schema).json(f"{path}/matches")
+
+
 query("entity_dictionary", f"{o.COMPANY} select record_id as id, coalesce(name, '—') as name, coalesce(nullif(cast(employee_count as varchar), ''), '—') as employee_count from co where record_id in (select unnest(members) from clu)")(
     lambda spark, d: pipeline.entity_dictionary(company_run(spark, d)).select("id", "name", "employee_count")
 )
@@ -374,15 +397,26 @@ _CT_CSV = {"record_id": "Id", "first_name": "FirstName", "last_name": "LastName"
 query("scan_csv_contact", f"with {o.FX} select record_id, first_name, last_name, email, company_name, job_title from fx_contacts")(lambda spark, d: csv_round_trip(spark, d, "fx_contacts", _CT_CSV, records.scan_csv_contact).select(*_CT_CSV))
 
 
+def json_pages(spark: SparkSession, items: DataFrame) -> str:
+    """The path of files with one document of at most some hundred items (id, properties) a line, as an API's pages are."""
+    path = storage.new_path(spark, "json")
+    pages = storage.parts(items.count(), 100)
+    paged = items.groupBy(F.pmod(F.xxhash64("id"), F.lit(pages)).alias("page")).agg(F.to_json(F.struct(F.collect_list(F.struct("id", "properties")).alias("results"))).alias("value"))
+    paged.select("value").write.text(path)
+    return path
+
+
 @query("scan_json_contact", f"with {o.FX} select record_id, first_name, last_name, email from fx_contacts")
 def scan_json_contact(spark: SparkSession, d: str) -> DataFrame:
-    """One document of at most some hundred records a line, as an API's pages are."""
-    path = storage.new_path(spark, "json")
     rows = load(spark, d, "fx_contacts").select(c("record_id").alias("id"), F.struct(c("first_name").alias("firstname"), c("last_name").alias("lastname"), c("email")).alias("properties"))
-    pages = storage.parts(rows.count(), 100)
-    paged = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(pages)).alias("page")).agg(F.to_json(F.struct(F.collect_list(F.struct("id", "properties")).alias("results"))).alias("value"))
-    paged.select("value").write.text(path)
-    return records.scan_json_contact(spark, path, lines=True).select("record_id", "first_name", "last_name", "email")
+    return records.scan_json_contact(spark, json_pages(spark, rows), lines=True).select("record_id", "first_name", "last_name", "email")
+
+
+@query("scan_json_company", f"with {o.FX} select record_id, name, domain, phone, employee_count, lead_status, owner_id as unmapped from fx_companies")
+def scan_json_company(spark: SparkSession, d: str) -> DataFrame:
+    properties = F.struct("name", "domain", "phone", c("employee_count").alias("numberofemployees"), c("lead_status").alias("hs_lead_status"), c("owner_id").alias("unmapped"))
+    found = records.scan_json_company(spark, json_pages(spark, load(spark, d, "fx_companies").select(c("record_id").alias("id"), properties.alias("properties"))), lines=True)
+    return found.select("record_id", "name", "domain", "phone", "employee_count", "lead_status", F.try_element_at("raw_data", F.lit("unmapped")).alias("unmapped"))
 
 
 # operators inside of others, by themselves
@@ -402,3 +436,36 @@ query("matching_fields_contact", f"{o.CONTACT} select id1, id2, fields from prob
     lambda spark, d: (lambda rows: m.probabilistic_contact(rows, contact_similar(rows), contact_settings()).select("id1", "id2", F.array_join("matching_fields", ", ").alias("fields")))(contacts(spark, d))
 )
 query("explanation", f"{o.COMPANY} select id1, id2, explanation from mt")(lambda spark, d: pipeline.find_matches("company", companies(spark, d), company_settings()).select("id1", "id2", "explanation"))
+
+
+# gates inside of rules, over rows that they part
+def derived(spark: SparkSession, d: str, sql: str, source: str) -> DataFrame:
+    return spark.sql(sql.replace(f"from {source}", "from {source}"), source=table(spark, d, source))
+
+
+_ROOTS = """select cast(c_custkey as string) as record_id, case c_custkey % 5 when 0 then concat('d', cast(c_custkey as string), '.nhs.uk') when 1 then 't.co' when 2 then 'dept.harvard.edu'
+ else concat('www.s', cast(c_custkey % 17 as string), '.example') end as domain from customer"""
+query("gate_generic_root", f"with x as ({_ROOTS}), k as (select record_id as id, {o.root_domain('domain')} as key from x) select id, key from k where key not in {o.inlist(m.GENERIC_ROOTS)} and length(key) >= 5")(
+    lambda spark, d: m.gate_generic_root(m.keyed(derived(spark, d, _ROOTS, "customer"), t.root_domain(c("domain")))).select("id", "key")
+)
+# slugs that one to six records share, in turns of a hundred records; every fourth turn has short ones
+_SLUGS = """select cast(k as string) as record_id, concat('linkedin.com/company/', case when turn % 4 = 3 then concat('s', cast(cast(floor(k / 2) as bigint) as string)) else concat('long-slug-', cast(turn as string), '-', cast(cast(floor(k / (1 + turn % 6)) as bigint) as string)) end) as linkedin_url
+from (select c_custkey as k, cast(floor(c_custkey / 100) as bigint) as turn from customer)"""
+query("gate_linkedin", f"with x as ({_SLUGS}) select id, key from (select record_id as id, linkedin_url as key, count(*) over (partition by linkedin_url) as n from x where length(string_split(linkedin_url, '/')[-1]) >= 10) where n between 2 and 4")(
+    lambda spark, d: m.gate_linkedin(derived(spark, d, _SLUGS, "customer")).select("id", "key")
+)
+_MAILS = "select o_custkey as key, cast(o_orderkey as string) as id, case when o_orderkey % 4 <> 0 then concat('u', cast(o_orderkey as string), '@', lower(o_orderstatus), '.example') end as email from orders"
+query("gate_email_conflict", f"with x as ({_MAILS}) select a.id as id1, b.id as id2 from x a join x b on a.key = b.key and a.id < b.id where a.email is null or b.email is null or {o.email_domain('a.email')} = {o.email_domain('b.email')}")(
+    lambda spark, d: m.gate_email_conflict(m.pairs_of(derived(spark, d, _MAILS, "orders"), "email")).select("id1", "id2")
+)
+
+# rows with source columns, of which later ones win; rows without an id get their place, and those with an empty one go
+_ROWS = """select case when c_custkey % 6 = 0 then null when c_custkey % 7 = 0 then '' else concat('r', cast(c_custkey as string)) end as `Record ID`, c_name as `Company name`, case when c_custkey % 2 = 0 then c_mktsegment end as `name`,
+ concat(cast(c_custkey % 900 as string), case when c_custkey % 4 = 0 then 'x' else '.7' end) as `Number of Employees`, c_mktsegment as segment, c_custkey as place from customer"""
+
+
+@query("row_to_record", """select coalesce(id, cast(place as varchar)) as record_id, name, case when place % 4 <> 0 then place % 900 end as employee_count, segment, place as position
+from (select case when c_custkey % 6 = 0 then null when c_custkey % 7 = 0 then '' else 'r' || c_custkey end as id, case when c_custkey % 2 = 0 then c_mktsegment else c_name end as name, c_mktsegment as segment, c_custkey as place from customer) where id is null or id <> ''""")
+def row_to_record(spark: SparkSession, d: str) -> DataFrame:
+    found = records.mapped(derived(spark, d, _ROWS, "customer"), COMPANY_COLUMNS, COMPANY_FIELDS, c("place"))
+    return found.select("record_id", "name", "employee_count", F.try_element_at("raw_data", F.lit("segment")).alias("segment"), "position")

@@ -126,6 +126,29 @@ def test_whole_run_and_reports(spark, tmp_path):
     assert pipeline.summary(nothing).first().deduplication_rate == 0
 
 
+def test_printed_summary(spark, capsys):
+    rows = spark.createDataFrame([("1", "Foo Inc", "foo.example"), ("2", "Foo", "foo.example"), ("3", "Bar", None)], "record_id string, name string, domain string")
+    export.sink_stdout_summary(pipeline.deduplicate(rows, "company", AS_OF))
+    shown = capsys.readouterr().out
+    assert "duplicates_to_remove" in shown and "Shared domain: foo.example" in shown
+    assert "deterministic_high" in shown and "probabilistic_high" not in shown  # types without matches are left out
+
+
+def test_gates_inside_of_rules(spark):
+    keys = spark.createDataFrame([("nhs.uk", "1"), ("t.co", "2"), ("foo.example", "3"), ("t.com", "4")], "key string, id string")
+    assert {r.id for r in m.gate_generic_root(keys).collect()} == {"3", "4"}
+    pages = [("1", "x/long-slug-1"), ("2", "x/long-slug-1"), ("3", "x/long-slug-2"), ("4", "x/short"), ("5", "x/short"), *((str(i), "x/long-slug-3") for i in range(6, 11)), ("11", None)]
+    assert {r.id for r in m.gate_linkedin(spark.createDataFrame(pages, "record_id string, linkedin_url string")).collect()} == {"1", "2"}
+    mails = [("a", "b", "x@a.example", "y@b.example"), ("a", "c", "x@a.example", "z@a.example"), ("a", "d", "x@a.example", None), ("d", "e", None, None)]
+    assert pairs(m.gate_email_conflict(spark.createDataFrame(mails, "id1 string, id2 string, email1 string, email2 string"))) == {("a", "c"), ("a", "d"), ("d", "e")}
+
+
+def test_personal_domains(spark):
+    rows = spark.createDataFrame([("1", "a@gmail.com"), ("2", "b@foo.example")], "record_id string, email string")
+    domains = lambda strict: {r.record_id: r.company_domain for r in entities.normalize_contact(rows, strict).collect()}
+    assert domains(False) == {"1": "gmail.com", "2": "foo.example"} and domains(True) == {"1": None, "2": "foo.example"}
+
+
 def test_paths():
     assert export.output_paths("x.csv") == ("x.json", "x.csv.csv") and export.output_paths("x.json") == ("x.json.json", "x.csv") and export.output_paths("x") == ("x.json", "x.csv")
 
@@ -162,9 +185,9 @@ def test_queries_run_and_match_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("customer", "pages", "part"):
+    for table in ("customer", "orders", "pages", "part"):
         con.sql(f"create view {table} as from '{SF}/{table}.parquet'")
-    for name in ("norm_domain", "normalize_contact", "score_company", "dedup_companies"):
+    for name in ("norm_domain", "normalize_contact", "score_company", "dedup_companies", "scan_json_company", "row_to_record", "gate_generic_root", "gate_linkedin", "gate_email_conflict"):
         got, want = catalog.QUERIES[name](spark, SF).toPandas(), con.sql(catalog.ORACLE[name]).df()
         assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
     assert set(catalog.ORACLE) <= set(catalog.QUERIES)
