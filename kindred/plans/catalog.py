@@ -13,6 +13,7 @@ from ..operators.asof import asof_join
 from ..operators.bounded import cand_bounded
 from ..operators.components import connected_components
 from ..operators.golden import golden_records
+from ..operators.sessions import activity, sessions, tumbling
 from ..schema import COMPANY_COLUMNS, COMPANY_FIELDS, MATCH_TYPES, company_settings, contact_settings
 from ..sources import export, records
 from . import incremental, oracle as o, pipeline
@@ -338,6 +339,26 @@ def asof_events(spark: SparkSession, d: str) -> DataFrame:
     return asof_join(events.select("event_id", "user_id", "ts"), clicks, "user_id", "ts", "ts", ["click_id"], strict=True).select("event_id", "right_time", "click_id")
 
 
+# sessions of users, which end after twelve hours without an event
+_GAP = 12 * 3600
+_SESSIONS = f"""t as (select *, case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) <= {_GAP * 1_000_000} then 0 else 1 end as fresh from events),
+u as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as session from t),
+se as (select user_id, cast(session as bigint) as session, min(ts) as started, max(ts) as ended, count(*) as n, count(*) filter (where event_type = 'purchase') as purchases from u group by 1, 2)"""
+
+
+def user_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return sessions(table(spark, d, "events"), "user_id", "ts", _GAP, {"purchases": c("event_type") == "purchase"})
+
+
+query("sessions", f"with {_SESSIONS} select * from se")(user_sessions)
+query("tumbling_windows", "select user_id, time_bucket(interval 6 hours, ts, timestamp '1970-01-01') as started, count(*) as n, count(*) filter (where event_type = 'error') as errors from events group by 1, 2")(
+    lambda spark, d: tumbling(table(spark, d, "events"), "user_id", "ts", "6 hours", {"errors": c("event_type") == "error"})
+)
+query("session_activity", f"with {_SESSIONS}, la as (select user_id, count(*) as n_sessions, strftime(max(ended), '%Y-%m-%dT%H:%M:%SZ') as last_activity_date from se group by 1) select *, round({o.recency('last_activity_date')}, 6) as recency, 1.0::double as engagement from la")(
+    lambda spark, d: activity(user_sessions(spark, d), "user_id", AS_OF).withColumn("recency", F.round("recency", 6))
+)
+
+
 # search requests, over orders
 def orders(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders")

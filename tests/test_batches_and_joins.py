@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred.operators.asof import asof_join
 from kindred.operators.golden import golden_records, merged
+from kindred.operators.sessions import activity, sessions, tumbling
 from kindred.plans import incremental, pipeline
 from kindred.schema import company_settings
 
@@ -75,3 +76,23 @@ def test_asof_by_brute_force(spark, strict):
         want.append(str((n, k, t, *(max(fits) if fits else (None, None)))))
     assert got == sorted(want)
     assert asof_join(x.where("false"), y, "k", "t", "u", ["v"]).collect() == [] and asof_join(x, y.where("false"), "k", "t", "u", ["v"]).where("v is not null").count() == 0
+
+
+def test_sessions_and_windows(spark):
+    rng, gap = random.Random(3), 60
+    events = [(u, rng.randrange(3000), rng.random() < 0.3) for u in ("a", "b", "b") for _ in range(40)] + [("c", 0, True), ("c", 60, None), ("c", 121, False), ("c", 121, False), (None, 5, True), ("d", None, True)]
+    rows = spark.createDataFrame(events, "user string, second long, paid boolean").withColumn("ts", F.timestamp_seconds("second")).withColumn("n", F.lit("extra"))
+    want = []
+    for user in "abc":
+        open_ = []
+        for _, second, paid in sorted((e for e in events if e[0] == user), key=lambda e: e[1]):
+            if not open_ or second - open_[-1][1] > gap:
+                open_.append([second, second, 0, 0])
+            open_[-1] = [open_[-1][0], second, open_[-1][2] + 1, open_[-1][3] + bool(paid)]
+        want += [(user, i, *x) for i, x in enumerate(open_, 1)]
+    found = sessions(rows, "user", "ts", gap, {"paid_n": F.col("paid")})
+    assert sorted((r.user, r.session, int(r.started.timestamp()), int(r.ended.timestamp()), r.n, r.paid_n) for r in found.collect()) == sorted(want)
+    assert [x[4] for x in want if x[0] == "c"] == [2, 2]  # a pause of the gap itself ends nothing
+    assert {r.user: r.n_sessions for r in activity(found, "user", AS_OF).collect()} == {u: sum(x[0] == u for x in want) for u in "abc"}
+    assert {(r.user, r.n) for r in tumbling(rows.where("user = 'c'"), "user", "ts", "2 minutes").collect()} == {("c", 2)}
+    assert sessions(rows.where("false"), "user", "ts", gap).count() == 0
