@@ -41,13 +41,18 @@ class Template:
     follows: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)})
     ends: tuple[str, ...] = ("assistant",)
 
-
     def __post_init__(self) -> None:
         a, b = self.open_turn[:1], self.open_turn[1:2]
         if not b or a == b or "\\" in (a, b) or "%" in (a, self.after_role[:1]):
             raise ValueError("open_turn must begin with two different characters, neither of which is a backslash, nor the first a percent sign")
-        if not self.after_role or not self.close_turn or self.close_turn[0] in (b, "\\") or self.open_turn in self.close_turn or self.open_turn in self.after_role:
+        if not self.after_role or not self.close_turn or self.close_turn[0] in (b, "\\") or self.open_turn in self.after_role:
             raise ValueError("after_role and close_turn must not be empty, hold open_turn, or end one that a text begins")
+        if any(self.open_turn.startswith(self.after_role[i:]) for i in range(len(self.after_role))):
+            raise ValueError("after_role must not end with what open_turn begins with, as a text could go on with the rest")
+        if (self.close_turn + self.open_turn).index(self.open_turn) < len(self.close_turn):
+            raise ValueError("open_turn must not begin within close_turn where a turn follows")
+        if any(x in "0123456789ABCDEF" for x in (a, self.after_role[0])):
+            raise ValueError("open_turn and after_role must not begin with a sign of the escapes in roles")
 
 
 def quoted(x: str) -> str:

@@ -314,3 +314,25 @@ def test_best_run():
 def test_weights_come_from_labelled_pages(spark):
     w = html.fitted_weights(spark.read.parquet(f"{SF}/pages.parquet"))
     assert w["nav nav"] > w["p"] and w["nav li"] > w["p"] and w["nav #"] < w[" #"] and F is not None
+
+
+def test_templates_that_misread_are_refused(spark):
+    for marks in (("<|T|>", ":<", "#"), ("<|T|>", ":<|", "#"), ("<|<|", ":", "#<|"), ("<|T|>", "2", "#"), ("A|T", ":", "#"), ("<|", ":", "#<|")):
+        with pytest.raises(ValueError):
+            chat.Template(*marks)
+    # random marks of few signs: a template is refused, or all turns come back, whatever texts and roles hold
+    rng, accepted, refused = random.Random(5), [], 0
+    while len(accepted) < 24:
+        marks = ["".join(rng.choice("<|:") for _ in range(rng.randint(least, 4))) for least in (2, 1, 1)]
+        try:
+            accepted.append(chat.Template(*marks))
+        except ValueError:
+            refused += 1
+    assert refused
+    word = lambda: "".join(rng.choice("<|:\\%x") for _ in range(rng.randint(0, 6)))
+    given = {i: [(word(), word()) for _ in range(rng.randint(1, 4))] for i in range(200)}
+    given[200] = [(t.after_role, t.open_turn[1:]) for t in accepted] + [(t.open_turn, t.close_turn + t.open_turn) for t in accepted]
+    rows = spark.createDataFrame([(i, k, *x) for i, xs in given.items() for k, x in enumerate(xs)], "conv_id long, turn long, role string, text string")
+    for t in accepted:
+        back = chat.format_conversations(rows, t).select("conv_id", chat.read_turns(F.col("formatted"), t).alias("turns")).collect()
+        assert {r.conv_id: [(x.role, x.text) for x in r.turns] for r in back} == given, t
