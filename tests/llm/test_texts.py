@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -151,6 +152,53 @@ def test_source_and_configuration(text, literals):
     assert [text[a:b] for _, a, b in secrets.lexed_spans(text, 0.5)] == literals
 
 
+@pytest.mark.parametrize("text, literals", [
+    ('pwd = os.getenv("DATABASE_PWD", "Zx81kPq0Lm")', ["Zx81kPq0Lm"]),
+    ('pwd = base64.decode("Zx81kPq0Lm", "utf-8").strip()', ["Zx81kPq0Lm"]),
+    ('pwd = str(decode(get("DATABASE_PWD1", "Zx81kPq0Lm")))', ["Zx81kPq0Lm"]),
+    ('pwd = ask("Say the pwd 1") or "Zx81kPq0Lm"', ["Zx81kPq0Lm"]),
+    ("define('DB_PWD', 'Zx81kPq0Lm');", ["Zx81kPq0Lm"]),
+    ('passwords = ["Zx81kPq0Lm", "Yt67hGw2pQx"]', ["Zx81kPq0Lm", "Yt67hGw2pQx"]),
+    ("auth_keys:\n  - Zx81kPq0Lm\n  - production\n  - 'Yt67hGw2pQx'\n", ["Zx81kPq0Lm", "Yt67hGw2pQx"]),
+    ('pwd = given or "Zx81kPq0Lm"', ["Zx81kPq0Lm"]),
+    ('base = "Zx81kPq0Lm"\npwd = given || base', ["Zx81kPq0Lm"]),
+    ("pwd: apples or Banana123", []),
+    ('DBPWD = "Zx81kPq0Lm"', ["Zx81kPq0Lm"]),
+    ('accesskey: "Zx81kPq0Lm"', ["Zx81kPq0Lm"]),
+    ('keys = "Zx81kPq0Lm8sB"', ["Zx81kPq0Lm8sB"]),
+    ('monkey = "Zx81kPq0Lm8sB"\ntokenizer = "Zx81kPq0Lm8sB"', []),
+    ('a = "Zx81k"\npwd = f"{a}Pq0Lm"', ["Zx81k", "{a}Pq0Lm"]),
+    ('A=Zx81kPq0\nDB_PWD="${A}Lm"', ["Zx81kPq0", "${A}Lm"]),
+    ('pwd = "Zx81"\npwd += "kPq0Lm"', ["Zx81", "kPq0Lm"]),
+    ("$pwd = 'Zx81';\n$pwd .= 'kPq0Lm';", ["Zx81", "kPq0Lm"]),
+    ("$pwd = 'Zx81' . 'kPq0Lm';", ["Zx81' . 'kPq0Lm"]),
+    ('passphrase = "copper violin harbour mistake"', ["copper violin harbour mistake"]),
+    ('password_hint = "copper violin harbour mistake"\npassword = "enter the password of your account"', []),
+    ("token = next(\"expected_identifier\")", []),
+])
+def test_calls_lists_and_defaults(text, literals):
+    assert [text[a:b] for _, a, b in secrets.lexed_spans(text, 0.5)] == literals
+    assert not any(x in secrets.redacted(text, 0.5, "#") for x in literals)
+
+
+def test_long_literals_score_as_whole_ones():
+    r = random.Random(3)
+    for _ in range(200):
+        text = "".join(r.choices("abcXYZ0189-_é\U0001f511" if r.random() < 0.8 else "x", k=r.randrange(1, 900))) + r.choice(["", " ", ">", "}}"])
+        text = r.choice(["", "your-", "<", "{{"]) + text
+        cuts = sorted(r.choices(range(len(text) + 1), k=3))
+        made = secrets.Literal([secrets.Literal.of(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)])])
+        made = secrets.Literal([made, secrets.Literal.of("")])
+        assert made.n == len(text) and abs(made.score() - secrets.literal_score(text)) < 1e-9
+
+
+def test_growing_chains_take_linear_time():
+    for text in ("\n".join(["k0 = 'Zx81kPq0Lm'", *(f"k{i + 1} = k{i} + 'Ab{i}'" for i in range(20000)), "api_key = k20000"]), "pwd = 'Zx81kPq0Lm'\n" + "pwd += 'Ab1'\n" * 20000):
+        began = time.process_time()
+        found = secrets.lexed_spans(text, 0.5)
+        assert len(found) == 20001 and time.process_time() - began < 6
+
+
 def test_propagation_by_brute_force():
     """Constants given to names in random order, each through a chain of names."""
     r = random.Random(9)
@@ -176,7 +224,7 @@ def test_redaction_of_declared():
 
 
 def test_long_names_and_chains_take_linear_time():
-    for text in ("a" * 10**6, "token:" * 10**5 + "x", "a: b[" * 10**5, "'" * 10**5 + "=", "1" * 10**6 + "=x", "'\\'" * 10**5 + "=", '"""\\' * 10**5, "a = b + " * 10**5, "a, " * 10**5 + "= 1", "a = a\n" * 10**4, "k: >\n" * 10**4, "x = (" * 10**5):
+    for text in ("a" * 10**6, "token:" * 10**5 + "x", "a: b[" * 10**5, "'" * 10**5 + "=", "1" * 10**6 + "=x", "'\\'" * 10**5 + "=", '"""\\' * 10**5, "a = b + " * 10**5, "a, " * 10**5 + "= 1", "a = a\n" * 10**4, "k: >\n" * 10**4, "x = (" * 10**5, "a = f(" * 10**5, "a = " + "f(" * 10**5, "a = [" * 10**5, 'f("a", ' * 10**5, "a = b or " * 10**5):
         assert secrets.lexed_spans(text + " =", 0.5) is not None
 
 
