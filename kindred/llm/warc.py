@@ -38,7 +38,7 @@ from .. import storage
 VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 GZIP = b"\x1f\x8b\x08"
-FOLLOWING = re.compile(rb"\r\nWARC/\d\.\d\r\n")
+HEADER_END = re.compile(rb"\r\n\r\n|\r\nWARC/\d\.\d\r\n")
 
 
 def base32_sha1(data: bytes) -> str:
@@ -70,79 +70,121 @@ def record(page: object, url: str | None, payload: bytes, refers_to: object = No
     return "\r\n".join([*head, "", ""]).encode() + block + b"\r\n\r\n"
 
 
-def parse_record(data: bytes, at: int) -> tuple[dict, bytes, int] | str:
-    """Header, block and end of the record that starts at a place; or why there is none."""
-    if data[at : at + 5] != b"WARC/":
+class Held:
+    """Bytes in memory, as ``salvage`` reads them."""
+
+    def __init__(self, data: bytes) -> None:
+        self.view, self.size = memoryview(data), len(data)
+
+    def read(self, at: int, size: int) -> bytes:
+        return bytes(self.view[at : at + size])
+
+
+class Stream:
+    """A file that is read in pieces; the last one is kept, longer ones are not."""
+
+    def __init__(self, file, piece: int = 4 << 20) -> None:
+        self.file, self.size, self.piece, self.start, self.held = file, file.size(), piece, 0, b""
+
+    def read(self, at: int, size: int) -> bytes:
+        size = max(0, min(size, self.size - at))
+        if self.start <= at and at + size <= self.start + len(self.held):
+            return self.held[at - self.start : at - self.start + size]
+        self.file.seek(at)
+        if size > self.piece:
+            return self.file.read(size)
+        self.start, self.held = at, self.file.read(self.piece)
+        return self.held[:size]
+
+
+def header_end(source, at: int, piece: int = 1 << 20) -> tuple[int, bool]:
+    """The first empty line or version line after a place, and whether it is an empty line; the end if there is none.
+    Pieces grow from small ones, so that version lines one after another are read about once."""
+    size = min(piece, 1 << 10)
+    while at < source.size:
+        window = source.read(at, size)
+        if m := HEADER_END.search(window):
+            return at + m.start(), m[0] == b"\r\n\r\n"
+        if at + len(window) >= source.size:
+            break
+        at += max(1, len(window) - 16)  # an end may lie over the end of the piece
+        size = min(piece, size * 4)
+    return source.size, False
+
+
+def parse_record(source, at: int) -> tuple[dict, bytes, int] | str:
+    """Header, block and end of the record that starts at a place; or why there is none. What the header says of the
+    length is checked at the stated end before the block is read."""
+    if source.read(at, 5) != b"WARC/":
         return "no version line"
-    end = data.find(b"\r\n\r\n", at)
-    if FOLLOWING.search(data, at + 5, end if end >= 0 else len(data)):
-        return "bad header"  # another record begins before it ends
-    if end < 0:
-        return "no end of header"
+    end, empty = header_end(source, at + 5)
+    if not empty:
+        return "bad header" if end < source.size else "no end of header"  # another record begins before it ends
     try:
-        lines = data[at:end].decode().split("\r\n")
+        lines = source.read(at, end - at).decode().split("\r\n")
     except UnicodeDecodeError:
         return "header is not UTF-8"
     head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    if not re.fullmatch(r"WARC/\d\.\d", lines[0]) or not head.get("content-length", "").isdigit():
+    length = head.get("content-length", "")
+    if not re.fullmatch(r"WARC/\d\.\d", lines[0]) or not re.fullmatch(r"[0-9]{1,18}", length):
         return "bad header"
-    start, stop = end + 4, end + 4 + int(head["content-length"])
-    if data[stop : stop + 4] != b"\r\n\r\n":
+    start, stop = end + 4, end + 4 + int(length)
+    if source.read(stop, 4) != b"\r\n\r\n":
         return "bad length"
-    block = data[start:stop]
+    block = source.read(start, stop - start)
     if (said := head.get("warc-block-digest")) and said != "sha1:" + base32_sha1(block):
         return "bad digest"
     return head, block, stop + 4
 
 
-def read_at(data: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int] | str:
-    """Records of the gzip member or the plain record at a place, and where it ends."""
-    if data[at : at + 3] != GZIP:
-        found = parse_record(data, at)
+def member_end(source, at: int, piece: int) -> int | str:
+    """The end of the gzip member that starts at a place, all of it checked and nothing of it kept; or why there is none."""
+    d = zlib.decompressobj(31)
+    while not d.eof:
+        window = source.read(at, piece)
+        if not window:
+            return "cut member"
+        at += len(window)
+        try:
+            d.decompress(window, piece)
+            while d.unconsumed_tail and not d.eof:
+                d.decompress(d.unconsumed_tail, piece)
+        except zlib.error as e:
+            return f"bad member: {e}"[:60]
+    return at - len(d.unused_data)
+
+
+def read_at(source, at: int, small: int = 1 << 16, piece: int = 1 << 20) -> tuple[list[tuple[dict, bytes]], int] | str:
+    """Records of the gzip member or the plain record at a place, and where it ends. A member that goes beyond a small
+    piece is checked first and then held."""
+    if source.read(at, 3) != GZIP:
+        found = parse_record(source, at)
         return found if isinstance(found, str) else ([found[:2]], found[2])
     d = zlib.decompressobj(31)
+    window = source.read(at, small)
     try:
-        plain = d.decompress(data[at:] if at else data)
+        plain = d.decompress(window, piece)
     except zlib.error as e:
         return f"bad member: {e}"[:60]
+    end = at + len(window) - len(d.unused_data)
     if not d.eof:
-        return "cut member"
-    out, inner = [], 0
+        end = member_end(source, at, piece)
+        if isinstance(end, str):
+            return end
+        plain = zlib.decompress(source.read(at, end - at), 31)
+    out, inner, whole = [], 0, Held(plain)
     while inner < len(plain):
-        found = parse_record(plain, inner)
+        found = parse_record(whole, inner)
         if isinstance(found, str):
             return f"in member: {found}"
         out.append(found[:2])
         inner = found[2]
-    return out, len(data) - len(d.unused_data)
+    return out, end
 
 
 SIGNS = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")
 
 
-class Held:
-    """Bytes in memory, as ``salvage`` reads them."""
-
-    def __init__(self, data: bytes) -> None:
-        self.view, self.size = memoryview(data), len(data)
-
-    def read(self, at: int, size: int) -> bytes:
-        return bytes(self.view[at : at + size])
-
-
-class Stream:
-    """A file that is read in pieces; the last one is kept."""
-
-    def __init__(self, file, piece: int = 4 << 20) -> None:
-        self.file, self.size, self.piece, self.start, self.held = file, file.size(), piece, 0, b""
-
-    def read(self, at: int, size: int) -> bytes:
-        if not self.start <= at <= at + size <= self.start + len(self.held):
-            self.file.seek(at)
-            self.start, self.held = at, self.file.read(max(size, self.piece))
-        return self.held[at - self.start : at - self.start + size]
-
-
 def next_sign(source, at: int, piece: int = 1 << 20) -> int:
     """The next place that looks like the start of a member or a record, or the end."""
     while at < source.size:
@@ -155,18 +197,12 @@ def next_sign(source, at: int, piece: int = 1 << 20) -> int:
 
 def salvage(data) -> Iterator[tuple]:
     """('record', start, end, header, block) and ('gap', start, end, reason, b'') in order of place.
-    data: bytes, or a source with ``size`` and ``read``, of which no more is held than a member or a record."""
+    data: bytes, or a source with ``size`` and ``read``, of which no more is held than a member or a record that
+    passed the checks of its checksum or its length; what fails them is read in pieces."""
     source = Held(data) if isinstance(data, (bytes, bytearray)) else data
     at, lost, why = 0, None, ""
     while at < source.size:
-        # a member's end is not known before: a window that grows bounds what is copied
-        size = 1 << 16
-        while True:
-            window = source.read(at, size)
-            found = read_at(window, 0)
-            if not isinstance(found, str) or at + size >= source.size or found.startswith("bad member") or found in ("no version line", "header is not UTF-8", "bad header", "bad digest"):
-                break
-            size *= 4
+        found = read_at(source, at)
         if isinstance(found, str):
             if lost is None:
                 lost, why = at, found
@@ -175,10 +211,10 @@ def salvage(data) -> Iterator[tuple]:
         if lost is not None:
             yield "gap", lost, at, why, b""
             lost = None
-        records, length = found
+        records, end = found
         for head, block in records:
-            yield "record", at, at + length, head, block
-        at += length
+            yield "record", at, end, head, block
+        at = end
     if lost is not None:
         yield "gap", lost, source.size, why, b""
 

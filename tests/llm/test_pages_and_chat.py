@@ -69,6 +69,45 @@ def test_salvage_in_pieces(packed, tmp_path):
     assert all(warc.next_sign(source, 0, piece) == 5000 for piece in (20, 33, 4999, 10**6)) and warc.next_sign(source, 5001) == source.size
 
 
+class Counting(warc.Held):
+    """Notes the longest read and the sum of all."""
+
+    longest, total = 0, 0
+
+    def read(self, at, size):
+        out = super().read(at, size)
+        self.longest, self.total = max(self.longest, len(out)), self.total + len(out)
+        return out
+
+
+def test_damage_is_read_in_pieces():
+    """Wrong lengths, headers without end and cut members do not load the rest of an archive."""
+    plain = [warc.record(i, "u", b"payload %d " % i * 2000) for i in range(400)]
+    for k in range(20, 40):  # twenty wrong lengths
+        plain[k] = re.sub(rb"Content-Length: \d+\r\nWARC|Content-Length: (\d+)\r\n\r\nHTTP", lambda m: b"Content-Length: 9%s\r\n\r\nHTTP" % m[1], plain[k])
+    source = Counting(b"".join(plain))
+    found = [f[3]["warc-record-id"] for f in warc.salvage(source) if f[0] == "record"]
+    assert found == [f"<urn:page:{i}>" for i in range(400) if not 20 <= i < 40]
+    assert source.longest <= 1 << 20 and source.total < 4 * source.size
+    import os
+
+    data = b"".join([warc.record(0, "u", b"p"), b"WARC/1.1\r\n", os.urandom(6_000_000).replace(b"\r\n", b"  ")])
+    source = Counting(data)
+    assert [f[0] for f in warc.salvage(source)] == ["record", "gap"] and source.longest <= 1 << 20
+    big = warc.member(warc.record(1, "u", os.urandom(6_000_000)))
+    source = Counting(warc.member(warc.record(0, "u", b"p")) + big[:-3])
+    out = list(warc.salvage(source))
+    assert out[0][0] == "record" and out[1][0] == "gap" and out[1][3] == "cut member" and source.longest <= 1 << 20
+    out = list(warc.salvage(big + warc.member(warc.record(0, "u", b"p"))))
+    assert [f[0] for f in out] == ["record"] * 2 and len(out[0][4]) > 6_000_000
+
+
+def test_version_lines_alone_take_linear_time():
+    began = time.process_time()
+    assert [f[0] for f in warc.salvage(b"WARC/1.1\r\n" * 30_000)] == ["gap"]
+    assert time.process_time() - began < 5
+
+
 def test_long_urls(spark):
     rows = [(1, "http://h.example/?" + "a b" * 40000, "<p>x</p>", None, None, None), (2, "u" * 100_000, "<p>x</p>", None, None, None), (3, "v" * 2_000_000, "<p>y</p>", None, None, None), (4, "w", "<p>y</p>", None, None, None)]
     found = {tuple(r)[:2] + (r.record_type, r.refers_to) for r in warc.archive_round_trip(spark.createDataFrame(rows, PAGES)).collect()}
