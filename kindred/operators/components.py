@@ -54,6 +54,23 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return labels
 
 
+def relabelled(labels: DataFrame, before: DataFrame | None, after: DataFrame) -> DataFrame:
+    """node and component after pairs (id1, id2) appeared or went: only components with an end of such a pair are contracted."""
+    pair = ["id1", "id2"]
+    changed = after.select(*pair)
+    if before is not None:
+        changed = changed.join(before.select(*pair).distinct(), pair, "left_anti").union(before.select(*pair).join(after.select(*pair).distinct(), pair, "left_anti"))
+    ends = changed.select(F.col("id1").alias("node")).union(changed.select("id2")).distinct()
+    parts = labels.join(ends, "node", "left_semi").select("component").distinct()
+    nodes = storage.saved(labels.join(parts, "component", "left_semi").select("node").union(ends).distinct(), "nodes")
+    # a component holds both ends of each of its pairs
+    edges = after.select(F.col("id1").alias("src"), F.col("id2").alias("dst")).join(nodes.select(F.col("node").alias("src")), "src", "left_semi")
+    again = connected_components(edges)
+    new = storage.saved(labels.join(nodes, "node", "left_anti").unionByName(again), "labels")
+    storage.discard(nodes, again)
+    return new
+
+
 def pointed(edges: DataFrame, turn: int) -> DataFrame:
     """node and to for each end of an edge: the first of its neighbours and itself in this turn's order."""
     place = lambda c: F.struct(F.xxhash64(F.lit(turn), c), c.alias("node")) if turn >= OWN_ORDER else F.struct(c.alias("node"))

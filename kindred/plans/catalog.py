@@ -12,11 +12,13 @@ from ..operators import entities, filters, matching as m
 from ..operators.asof import asof_join
 from ..operators.bounded import cand_bounded
 from ..operators.components import connected_components
+from ..operators.cursors import all_pages
 from ..operators.golden import golden_records
+from ..operators.history import advanced, components_at, table_at
 from ..operators.sessions import activity, sessions, tumbling
 from ..schema import COMPANY_COLUMNS, COMPANY_FIELDS, MATCH_TYPES, company_settings, contact_settings
 from ..sources import export, records
-from . import incremental, oracle as o, pipeline
+from . import incremental, oracle as o, pipeline, reports
 from .fixtures import AS_OF, load, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -359,6 +361,42 @@ query("session_activity", f"with {_SESSIONS}, la as (select user_id, count(*) as
 )
 
 
+# reports by every set of columns; lines of orders stand for matches of orders and parts, as they are many
+_LINES = "select cast(l_orderkey as string) as id1, concat('p', cast(l_partkey as string)) as id2, l_returnflag as kind, concat(l_linestatus, cast(l_linenumber as string)) as match_type, cast(l_suppkey % 7 as string) as domain, case when l_discount > 0 then l_discount * 10 end as confidence_score from lineitem"
+_CUBE = ["kind", "match_type", "domain"]
+
+
+def line_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """As they come from several batches: a row for each batch and combination."""
+    rows = derived(spark, d, _LINES, "lineitem")
+    return reports.summarised(rows.withColumn("batch", F.pmod(F.xxhash64("id1"), F.lit(3))), ["batch", *_CUBE])
+
+
+query("report_cube", f"with x as ({_LINES}) select kind, match_type, domain, cast(grouping(kind) * 4 + grouping(match_type) * 2 + grouping(domain) as bigint) as level, cast(count(*) as bigint) as n_matches, cast(count(confidence_score) as bigint) as n_scored, round(coalesce(sum(confidence_score), 0), 2) as score_sum from x group by cube (kind, match_type, domain)")(
+    lambda spark, d: reports.cube(line_summaries(spark, d), _CUBE).select(*_CUBE, "level", "n_matches", "n_scored", F.round(F.coalesce(c("score_sum").cast("double"), F.lit(0.0)), 2).alias("score_sum"))
+)
+query("report_sketches")(lambda spark, d: reports.cube(line_summaries(spark, d), _CUBE))
+
+
+# merges, some undone, some of these done again: chains of up to eight customers
+_CUT = "k % 8 = 0 or (k % 3 = 0 and k % 6 <> 0)"
+
+
+@query("undo_merges", f"""with x as (select c_custkey as k, c_acctbal as survivor_score, {_CUT} as cut from customer), y as (select *, max(case when cut or not exists (select 1 from x b where b.k = x.k - 1) then k end) over (order by k) as part from x),
+best as (select part, arg_max('r' || k, struct_pack(a := survivor_score, b := -k)) as survivor from y group by 1)
+select 'r' || k as record_id, survivor, survivor <> 'r' || k as merged from y join best using (part)""")
+def undo_merges(spark: SparkSession, d: str) -> DataFrame:
+    people = table(spark, d, "customer").select(c("c_custkey").cast("bigint").alias("k"), F.concat(F.lit("r"), c("c_custkey").cast("string")).alias("record_id"), c("c_acctbal").alias("survivor_score"))
+    last = people.agg(F.max("k")).first()[0] or 0
+    merge = people.where("k % 8 <> 0").join(people.select((c("k") + 1).alias("k"), c("record_id").alias("id1")), "k")
+    rows = [merge.select(c("k").alias("seq"), F.lit("merge").alias("action"), "id1", c("record_id").alias("id2"), F.lit(None).cast("long").alias("target"))]
+    for turn, action, each in ((1, "undo", 3), (2, "redo", 6)):
+        rows.append(merge.where(c("k") % each == 0).select((c("k") + turn * (last + 1)).alias("seq"), F.lit(action).alias("action"), F.lit(None).cast("string").alias("id1"), F.lit(None).cast("string").alias("id2"), c("k").alias("target")))
+    log = storage.saved(rows[0].union(rows[1]).union(rows[2]), "log")
+    labels = advanced(components_at(log, last), log, last)
+    return table_at(people, labels)
+
+
 # search requests, over orders
 def orders(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders")
@@ -380,6 +418,11 @@ query("scan_api_search", "select o_orderkey, o_totalprice from orders where (o_o
     lambda spark, d: filters.search(orders(spark, d), 500, ["o_orderkey", "o_totalprice"], _GROUPS, [("o_totalprice", "DESCENDING"), ("o_orderkey", "ASCENDING")])
 )
 
+query("api_pages", """with x as (select o_orderkey, o_orderstatus, o_totalprice, row_number() over (order by o_orderstatus desc, o_totalprice desc, o_orderkey) as n from orders where (o_orderstatus = 'F' and o_totalprice > 100000) or o_custkey < 50)
+select cast((x.n - 1) // 100 + 1 as bigint) as page, cast((x.n - 1) % 100 + 1 as bigint) as nth, x.o_orderkey, x.o_totalprice, y.o_orderkey as after from x left join x y on y.n = (x.n - 1) // 100 * 100""")(
+    lambda spark, d: all_pages(orders(spark, d), "o_orderkey", 100, ["o_orderkey", "o_totalprice"], _GROUPS, [("o_orderstatus", "DESCENDING"), ("o_totalprice", "DESCENDING")])
+)
+
 # JSON items, from events
 _ITEM = """'{"id": ' || event_id || ', "properties": {"hs_object_id": "' || (case when event_id % 5 = 0 then 'h' || event_id else ' ' end) || '", "email": "U' || user_id || '@x.example", "kind": "' || event_type || '"}, "url": "https://x.example/' || event_id || '"}'"""
 

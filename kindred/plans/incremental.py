@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import storage
 from ..functions import text as t
 from ..operators import entities, matching as m
-from ..operators.components import connected_components
+from ..operators.components import relabelled
 from ..schema import Settings, company_settings, contact_settings
 from . import pipeline
 
@@ -132,24 +132,6 @@ def advance(state: State, new: DataFrame) -> State:
     matched = certain.unionByName(m.anti_exclude(blocks.drop("key"), certain))
     matched = m.recommend_survivor(matched, every.select("record_id", "survivor_score"))
     matches = storage.saved(matched.withColumn("action", m.action(F.col("match_type"))), "matches")
-    labels = relabelled(state, matches)
+    labels = relabelled(state.labels, state.matches, matches)
     storage.discard(touched, meeting, new)
     return State(kind, settings, every, index, rules, blocks, matches, labels)
-
-
-def relabelled(state: State, matches: DataFrame) -> DataFrame:
-    """node and component after pairs appeared or went: only components with an end of such a pair are contracted."""
-    pair = ["id1", "id2"]
-    if state.matches is None:
-        changed = matches.select(*pair)
-    else:
-        changed = without(matches.select(*pair), state.matches, *pair).union(without(state.matches.select(*pair), matches, *pair))
-    ends = changed.select(F.col("id1").alias("node")).union(changed.select("id2")).distinct()
-    parts = within(state.labels, ends, "node").select("component").distinct()
-    nodes = storage.saved(within(state.labels, parts, "component").select("node").union(ends).distinct(), "nodes")
-    # a component holds both ends of each of its pairs
-    edges = matches.select(F.col("id1").alias("src"), F.col("id2").alias("dst")).join(nodes.select(F.col("node").alias("src")), "src", "left_semi")
-    again = connected_components(edges)
-    labels = storage.saved(without(state.labels, nodes, "node").unionByName(again), "labels")
-    storage.discard(nodes, again)
-    return labels
