@@ -185,9 +185,9 @@ def test_queries_run_and_match_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("customer", "orders", "pages", "part"):
+    for table in ("customer", "lineitem", "orders", "pages", "part"):
         con.sql(f"create view {table} as from '{SF}/{table}.parquet'")
-    for name in ("norm_domain", "normalize_contact", "score_company", "dedup_companies", "scan_json_company", "row_to_record", "gate_generic_root", "gate_linkedin", "gate_email_conflict"):
+    for name in ("norm_domain", "normalize_contact", "score_company", "dedup_companies", "scan_json_company", "row_to_record", "gate_generic_root", "gate_linkedin", "gate_email_conflict", "api_pages", "undo_merges", "report_cube"):
         got, want = catalog.QUERIES[name](spark, SF).toPandas(), con.sql(catalog.ORACLE[name]).df()
         assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
     assert set(catalog.ORACLE) <= set(catalog.QUERIES)
