@@ -68,7 +68,9 @@ class State:
     labels: DataFrame
 
     def result(self) -> pipeline.Result:
-        return pipeline.Result(self.kind, self.entities, self.matches, pipeline.numbered_clusters(self.labels))
+        found = pipeline.Result(self.kind, self.entities, self.settings)
+        found.matches, found.labels = self.matches, self.labels
+        return found
 
 
 def without(df: DataFrame, other: DataFrame, *columns: str) -> DataFrame:

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kindred.operators import entities, matching as m
+from kindred.operators.components import connected_components
+from kindred.operators.links import match_components
 from kindred.plans import pipeline
 from kindred.schema import company_settings, contact_settings
 
@@ -52,3 +54,13 @@ def test_a_domain_of_many_records_does_not_bring_their_square_to_the_candidates(
     raw = spark.range(30_000).select(F.col("id").cast("string").alias("record_id"), F.concat(F.lit("Acme "), F.col("id") % 9).alias("name"), F.lit("a.example").alias("domain"), F.lit("6175550100").alias("phone"))
     rows = entities.normalize_company(raw).localCheckpoint()
     assert m.unmatched("company", m.candidates(rows, company_settings()), rows).count() == 0
+
+
+@pytest.mark.parametrize("kind", KINDS)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_links_are_those_of_all_matches(spark, kind, seed):
+    make, settings = KINDS[kind]
+    rows = make(spark, 120, seed).localCheckpoint()
+    every = pipeline.find_matches(kind, rows, settings()).select(F.col("id1").alias("src"), F.col("id2").alias("dst"))
+    found = sorted(map(tuple, match_components(kind, rows, settings()).select("node", "component").collect()))
+    assert found == sorted(map(tuple, connected_components(every).select("node", "component").collect()))
