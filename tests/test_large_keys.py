@@ -64,3 +64,14 @@ def test_components_of_links_are_those_of_all_matches(spark, kind, seed):
     every = pipeline.find_matches(kind, rows, settings()).select(F.col("id1").alias("src"), F.col("id2").alias("dst"))
     found = sorted(map(tuple, match_components(kind, rows, settings()).select("node", "component").collect()))
     assert found == sorted(map(tuple, connected_components(every).select("node", "component").collect()))
+
+
+def test_keys_cut_into_pieces_give_each_pair_once(spark, monkeypatch):
+    keys = spark.range(40).select(F.when(F.col("id") < 25, "a").otherwise("b").alias("key"), F.col("id").cast("string").alias("id"), (F.col("id") % 4).cast("string").alias("city"))
+    monkeypatch.setattr(m, "PIECE", 3)
+    pairs = m.pairs_of(keys, "city")
+    assert pairs.rdd.getNumPartitions() >= 8
+    rows = [("a" if i < 25 else "b", str(i), str(i % 4)) for i in range(40)]
+    assert sorted(map(tuple, pairs.select("key", "id1", "id2", "city1", "city2").collect())) == sorted((k, i, j, x, y) for k, i, x in rows for l, j, y in rows if k == l and i < j)
+    found = m.with_value_sim(pairs, keys, "city", "sim").select("city1", "city2", "sim").collect()
+    assert len(found) == pairs.count() and {r.sim for r in found if r.city1 == r.city2} == {1.0} and {r.sim for r in found if r.city1 != r.city2} == {0.0}
