@@ -75,3 +75,36 @@ def test_keys_cut_into_pieces_give_each_pair_once(spark, monkeypatch):
     assert sorted(map(tuple, pairs.select("key", "id1", "id2", "city1", "city2").collect())) == sorted((k, i, j, x, y) for k, i, x in rows for l, j, y in rows if k == l and i < j)
     found = m.with_value_sim(pairs, keys, "city", "sim").select("city1", "city2", "sim").collect()
     assert len(found) == pairs.count() and {r.sim for r in found if r.city1 == r.city2} == {1.0} and {r.sim for r in found if r.city1 != r.city2} == {0.0}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_each_pair_comes_from_its_first_rule_without_a_shuffle_of_pairs(spark, monkeypatch, kind):
+    monkeypatch.setattr(m, "PIECE_NAMES", 4)
+    monkeypatch.setattr(m, "CHUNK", 3)
+    rows = KINDS[kind][0](spark, 200, 7).localCheckpoint()
+    every = {"company": {1: m.det_company_domain, 2: m.det_company_root, 3: m.det_company_linkedin, 4: m.det_company_phone}, "contact": {1: m.det_contact_email, 2: m.det_contact_linkedin, 3: m.det_contact_name_domain}}[kind]
+    rules = {k: f(rows).localCheckpoint() for k, f in every.items()}
+    columns = [*m.MATCH, "rule_rank"]
+    for ranks in {"company": ((1, 2, 3, 4), (1, 2, 4), (2, 4), (1,)), "contact": ((1, 2, 3), (3,))}[kind]:
+        found = m.pairs_by_first_rule(kind, rows, "survivor_score", "name", ranks=ranks)
+        want = sorted(map(str, m.first_rule(*(rules[k] for k in ranks)).select(*columns).collect()))
+        assert sorted(map(str, found.select(*columns).collect())) == want and want
+        scores = {r.record_id: (r.survivor_score, r.name) for r in rows.collect()}
+        assert all(scores[r.id1] == (r.survivor_score1, r.name1) and scores[r.id2] == (r.survivor_score2, r.name2) for r in found.collect())
+    plan = pipeline.find_matches(kind, rows, KINDS[kind][1]())._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[id1" not in plan and "SortAggregate(key=[id1" not in plan and "ObjectHashAggregate(keys=[id1" not in plan
+
+
+def test_pairs_of_similar_names_are_those_of_all_pairs(spark, monkeypatch):
+    r = random.Random(9)
+    names = ["Acme Foods", "Acmes Food", "ACME foods", "Ember Labs", "Embers Lab", "Zq", "", None]
+    rows = [(r.choice(["a", "b", None]), f"{i:03}", r.choice(names), i) for i in range(120)]
+    keys = spark.createDataFrame(rows, "key string, id string, name string, size int")
+    pairs = m.with_name_sim(m.pairs_of(keys, "name", "size")).where("name_sim >= 0.75")
+    want = sorted((x.key, x.id1, x.id2, x.name1, x.name2, x.size1, x.size2, round(x.name_sim, 9)) for x in pairs.collect())
+    for names_each, chunk in ((500, 2000), (2, 5)):
+        monkeypatch.setattr(m, "PIECE_NAMES", names_each)
+        monkeypatch.setattr(m, "CHUNK", chunk)
+        found = m.named_pairs_of(keys, 0.75, "size")
+        assert sorted((x.key, x.id1, x.id2, x.name1, x.name2, x.size1, x.size2, round(x.name_sim, 9)) for x in found.collect()) == want and want
+    assert "hashpartitioning(id1" not in found._jdf.queryExecution().executedPlan().toString()
