@@ -122,7 +122,7 @@ def test_chains_in_the_order_of_their_nodes_meet_in_one_round(spark, monkeypatch
     assert sorted(map(tuple, found.collect())) == sorted([(f"n{i:05d}", f"n{i // 8 * 8:05d}") for i in range(4000)] + [("alone", "alone")])
 
 
-@pytest.mark.parametrize("name", ["gate_generic_prefix", "gate_location_mismatch", "gate_min_name"])
+@pytest.mark.parametrize("name", ["gate_generic_prefix", "gate_location_mismatch", "gate_min_name", "gate_sparse_company"])
 def test_gates_keep_no_square_of_a_domain_on_disk(spark, tmp_path, name):
     # 2,500 customers whose domain is d1.example are 3 million pairs, which no gate needs; folders only shrink by themselves
     spark.range(2500).select((1 + 1055 * F.col("id")).alias("c_custkey")).union(spark.range(2, 700).where("id % 1055 <> 1")).write.parquet(str(tmp_path / "customer.parquet"))
