@@ -28,6 +28,15 @@ def test_no_pair_is_lost(spark):
         assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_pairs_of_one_name_are_dealt_over_tasks(spark, monkeypatch, tmp_path):
+    # one small file: its pairs are many, its rows are not
+    spark.range(3000).select(F.col("id").cast("string").alias("record_id"), F.lit("acme").alias("block_key"), F.lit("Acme Foods").alias("name")).coalesce(1).write.parquet(str(tmp_path / "rows"))
+    monkeypatch.setattr(bounded, "PIECE", 500, raising=False)
+    found = bounded.cand_bounded(spark.read.parquet(str(tmp_path / "rows")), 0.85)
+    tasks = [r.n for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(tasks) == found.distinct().count() == 3000 * 2999 // 2 and max(tasks) < sum(tasks) / 2
+
+
 def test_few_pairs_are_compared(spark):
     rows = catalog.part_blocks(spark, SF).join(catalog.load(spark, SF, "fx_part").select("record_id", "name"), "record_id")
     pairs = sum(n * (n - 1) // 2 for (n,) in rows.where("block_key is not null").groupBy("block_key").count().select("count").collect())
