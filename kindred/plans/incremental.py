@@ -1,13 +1,15 @@
-"""Matching of batches as they come, with the results of a whole run over all rows so far.
+"""Clusters of batches as they come, with the results of a whole run over all rows so far.
 
 Kept between batches, as tables in the shared folder: entities, the index (rule, key,
-id) of all keys, what each key gave (pairs by rule and key, similar pairs by name
-block), and component labels. A batch of rows touches the keys of its records and of the records
-that it replaces (of rows with one id the last stays). Only these keys are joined
-again, over the records that have them, since a rule may depend on all records of a key (how many share a
-link, which of a block come first by id); what they gave before is replaced. Pairs that
-appear or go touch components: only nodes of touched components are contracted
-again, and the others keep their labels.
+id) of all keys, the similar pairs of each name block, which its cap bounds, and component labels: all of
+them grow with the records. A batch of rows touches the keys of its records and of the records
+that it replaces (of rows with one id the last stays). Only name blocks that it touches are compared
+again, over the records that have them, as the first of a block by id count; what they gave before is replaced.
+Records that have a touched key, and the components that these were in, are contracted again from links of
+their keys, not of pairs; the other components keep their labels.
+
+Matches are not kept, as they grow with the square of a key's records: they are a plan over what is kept, as in a
+whole run, and are found where they are read.
 
 Rows of a batch may not share a record with a later batch's unless that replaces it. Each batch
 writes its tables anew, without shuffling what is kept but for the parts that its keys or
@@ -17,18 +19,18 @@ nodes touch, and deletes those before.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
 from .. import storage
 from ..functions import text as t
 from ..operators import entities, matching as m
-from ..operators.components import relabelled
+from ..operators.links import match_components
 from ..schema import Settings, company_settings, contact_settings
 from . import pipeline
 
 BLOCK = 0
-RULE = "id1 string, id2 string, match_type string, confidence_score double, matching_fields array<string>, explanation string, rule_rank int, key string"
 
 
 def keys_of(kind: str, rows: DataFrame) -> DataFrame:
@@ -48,12 +50,6 @@ def keys_of(kind: str, rows: DataFrame) -> DataFrame:
     return out.where("key is not null").distinct().withColumnRenamed("record_id", "id")
 
 
-RULES = {
-    "company": {1: m.det_company_domain, 2: m.det_company_root, 3: m.det_company_linkedin, 4: m.det_company_phone},
-    "contact": {1: m.det_contact_email, 2: m.det_contact_linkedin, 3: m.det_contact_name_domain},
-}
-
-
 @dataclass
 class State:
     """What is kept after a batch. ``blocks`` has the similar pairs of name blocks, whether a rule matches them or not."""
@@ -62,16 +58,21 @@ class State:
     settings: Settings
     entities: DataFrame
     index: DataFrame
-    rules: DataFrame
     blocks: DataFrame
-    matches: DataFrame
     labels: DataFrame
 
     def result(self) -> pipeline.Result:
-        found = pipeline.Result(self.kind, self.entities, self.settings)
-        found.matches, found.labels = self.matches, self.labels
+        found = pipeline.Result(self.kind, self.entities, self.settings, self.blocks.drop("key"))
+        found.labels = self.labels
         return found
 
+    @cached_property
+    def matches(self) -> DataFrame:
+        return self.result().matches
+
+
+KEPT = ("entities", "index", "blocks", "labels")
+
 
 def without(df: DataFrame, other: DataFrame, *columns: str) -> DataFrame:
     return df.join(other.select(*columns).distinct(), list(columns), "left_anti")
@@ -89,13 +90,13 @@ def start(kind: str, rows: DataFrame, as_of: str, settings: Settings | None = No
     new = normalized(kind, rows, as_of)
     spark = rows.sparkSession
     empty = lambda schema: spark.createDataFrame([], schema)
-    kept = {"entities": new.limit(0), "index": empty("rule int, key string, id string"), "rules": empty(RULE), "blocks": None, "matches": None, "labels": empty("node string, component string")}
+    kept = {"entities": new.limit(0), "index": empty("rule int, key string, id string"), "blocks": None, "labels": empty("node string, component string")}
     return advance(State(kind, settings, **kept), new)
 
 
 def add(state: State, rows: DataFrame, as_of: str) -> State:
     """The state after one more batch; the tables of the given one are deleted."""
-    before = [getattr(state, x) for x in ("entities", "index", "rules", "blocks", "matches", "labels")]
+    before = [getattr(state, x) for x in KEPT]
     after = advance(state, normalized(state.kind, rows, as_of))
     storage.discard(*before)
     return after
@@ -115,25 +116,20 @@ def advance(state: State, new: DataFrame) -> State:
     touched = storage.saved(fresh.select("rule", "key").union(gone.select("rule", "key")).distinct(), "touched")
     index = storage.saved(without(state.index, ids.withColumnRenamed("record_id", "id"), "id").unionByName(fresh), "index")
 
-    # the records that have a touched key, and what these keys give now
+    # the records that have a touched key, and what touched blocks give now
     meeting = storage.saved(within(index, touched, "rule", "key"), "meeting")
-    having = lambda rule: within(every, meeting.where(F.col("rule") == rule).select(F.col("id").alias("record_id")), "record_id")
-    keys = lambda rule: touched.where(F.col("rule") == rule).select("key")
-    rules = without(state.rules, touched.withColumnRenamed("rule", "rule_rank"), "rule_rank", "key")
-    for rank, rule in RULES[kind].items():
-        rules = rules.unionByName(within(rule(having(rank)), keys(rank), "key").select(*rules.columns))
-    rules = storage.saved(rules, "rules")
-    some = having(BLOCK).where("block_key is not null")
-    pairs = m.candidates_by_name(some, settings.replaced(blocking_min_candidates=0)).join(every.select(F.col("record_id").alias("id1"), F.col("block_key").alias("key")), "id1")
-    probable = (m.probabilistic_company if kind == "company" else m.probabilistic_contact)(every, pairs.drop("key"), settings)
-    found = probable.join(pairs.select("id1", "id2", "key"), ["id1", "id2"])
-    blocks = storage.saved(found if state.blocks is None else without(state.blocks, keys(BLOCK), "key").unionByName(found), "blocks")
-
-    # of a pair the first rule counts, then the similarity; records changed by the batch give new survivors
-    certain = m.first_rule(rules).drop("rule_rank")
-    matched = certain.unionByName(m.anti_exclude(blocks.drop("key"), certain))
-    matched = m.recommend_survivor(matched, every.select("record_id", "survivor_score"))
-    matches = storage.saved(matched.withColumn("action", m.action(F.col("match_type"))), "matches")
-    labels = relabelled(state.labels, state.matches, matches)
-    storage.discard(touched, meeting, new)
-    return State(kind, settings, every, index, rules, blocks, matches, labels)
+    block = lambda df: df.where(F.col("rule") == BLOCK)
+    some = within(every, block(meeting).select(F.col("id").alias("record_id")), "record_id").where("block_key is not null")
+    pairs = m.candidates_by_name(some, settings.replaced(blocking_min_candidates=0))
+    found = (m.probabilistic_company if kind == "company" else m.probabilistic_contact)(some, pairs, settings)
+    found = found.join(some.select(F.col("record_id").alias("id1"), F.col("block_key").alias("key")), "id1").select(*found.columns, "key")
+    blocks = storage.saved(found if state.blocks is None else without(state.blocks, block(touched), "key").unionByName(found), "blocks")
+
+    # a match of a record in a component that is not touched has both its ends there
+    ends = storage.saved(meeting.select(F.col("id").alias("node")).union(ids).distinct(), "ends")
+    nodes = storage.saved(within(state.labels, within(state.labels, ends, "node"), "component").select("node").union(ends).distinct(), "nodes")
+    inside = lambda df, column: within(df, nodes.withColumnRenamed("node", column), column)
+    again = match_components(kind, inside(every, "record_id"), settings, inside(blocks.select("id1", "id2"), "id1"), inside(m.gate_linkedin(every), "id") if kind == "company" else None)
+    labels = storage.saved(without(state.labels, nodes, "node").unionByName(again), "labels")
+    storage.discard(touched, meeting, new, ends, nodes)
+    return State(kind, settings, every, index, blocks, labels)

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from kindred.operators import matching
 from kindred.operators.asof import asof_join
 from kindred.operators.golden import golden_records, merged
 from kindred.operators.sessions import activity, sessions, tumbling
@@ -37,6 +38,19 @@ def test_batches_give_the_whole_run(spark):
         incremental.start("company", frame(first), AS_OF, company_settings(use_blocking=False))
 
 
+def test_components_of_batches_come_without_the_pairs_of_their_keys(spark, monkeypatch):
+    def pairs(*_, **__):
+        raise AssertionError("all pairs of a key were made")
+
+    monkeypatch.setattr(matching, "pairs_of", pairs)
+    monkeypatch.setattr(matching, "named_pairs_of", pairs)
+    frame = lambda rows: spark.createDataFrame(rows, "record_id string, first_name string, last_name string, email string")
+    state = incremental.start("contact", frame([(f"a{i:03}", "Ann", "Abbot", "ann@x.example") for i in range(200)] + [("z1", "Zoe", "Zuse", "zoe@y.example"), ("z2", "Zoe", "Zuse", "zoe@y.example")]), AS_OF)
+    # a000 leaves its component and z3 comes to the other
+    state = incremental.add(state, frame([("a000", "Quentin", "Moor", "q@w.example"), ("z3", "Zoe", "Zuse", "zoe@y.example")]), AS_OF)
+    assert sorted(map(tuple, state.labels.collect())) == sorted([(f"a{i:03}", "a001") for i in range(1, 200)] + [(x, "z1") for x in ("z1", "z2", "z3")])
+
+
 def test_golden_records(spark):
     rows = [
         ("1", "Foo", "x", None, 5, 0.5, "2024-01-01T00:00:00Z"), ("2", "Foo Inc", "y", "", 7, 0.9, None), ("3", "Foo Ltd", None, "t", 7, 0.9, "2024-01-03T00:00:00Z"), ("4", None, "x", None, None, 0.1, "bad"),
