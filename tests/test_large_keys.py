@@ -11,6 +11,7 @@ from kindred.operators.components import connected_components
 from kindred.operators.links import match_components
 from kindred.plans import catalog, pipeline
 from kindred.schema import company_settings, contact_settings
+from kindred.sources import export
 
 AS_OF = "2024-02-01T00:00:00Z"
 
@@ -131,3 +132,18 @@ def test_gates_keep_no_square_of_a_domain_on_disk(spark, tmp_path, name):
     before = used()
     assert len(catalog.QUERIES[name](spark, str(tmp_path)).collect()) > 100
     assert used() - before < 10_000_000
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_files_of_matches_take_few_bytes_a_pair(spark, tmp_path, kind):
+    # 600 records of one key are 180 thousand pairs; each is 100 to 600 characters as text
+    raw = {"company": (F.lit("Acme").alias("name"), F.lit("a.example").alias("domain")), "contact": (F.lit("Ann").alias("first_name"), F.lit("ann@a.example").alias("email"))}[kind]
+    result = pipeline.deduplicate(spark.range(600).select(F.col("id").cast("string").alias("record_id"), *raw), kind, AS_OF)
+    if kind == "company":
+        export.sink_csv_matches(result, str(tmp_path / "out"))
+        found = spark.read.option("header", True).csv(str(tmp_path / "out"))
+    else:
+        export.sink_json_report(result, str(tmp_path / "out"), AS_OF)
+        found = spark.read.json(str(tmp_path / "out" / "matches"))
+    assert found.count() == 600 * 599 // 2
+    assert sum(p.stat().st_size for p in (tmp_path / "out").rglob("*") if p.is_file()) < 20 * 600 * 599 // 2
