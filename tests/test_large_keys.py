@@ -147,3 +147,14 @@ def test_files_of_matches_take_few_bytes_a_pair(spark, tmp_path, kind):
         found = spark.read.json(str(tmp_path / "out" / "matches"))
     assert found.count() == 600 * 599 // 2
     assert sum(p.stat().st_size for p in (tmp_path / "out").rglob("*") if p.is_file()) < 20 * 600 * 599 // 2
+
+
+def test_first_matches_are_found_without_the_square_of_a_domain(spark, monkeypatch):
+    # 2,000 records of one domain are two million pairs, of which those of the first hundred records are asked for
+    made = []
+    for name in ("pairs_of", "named_pairs_of"):
+        monkeypatch.setattr(m, name, lambda *a, f=getattr(m, name), **k: made.append(f(*a, **k)) or made[-1])
+    raw = spark.range(2000).select(F.col("id").cast("string").alias("record_id"), F.concat(F.lit("Acme "), F.col("id") % 3).alias("name"), F.lit("a.example").alias("domain"))
+    found = [(r.Company_1_ID, r.Company_2_ID) for r in pipeline.sample_matches(pipeline.deduplicate(raw, "company", AS_OF)).collect()]
+    assert found == [("0", x) for x in sorted(map(str, range(1, 2000)))[:10]]
+    assert sum(df.count() for df in made if "key" in df.columns) < 1_000_000
